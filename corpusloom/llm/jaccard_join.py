@@ -1,16 +1,21 @@
 """N-gram Jaccard self-join as a blocked sparse product.
 
 Documents and n-grams form a sparse 0/1 matrix; its product with itself holds
-the overlap of every two documents.  The n-grams' columns are cut into blocks by
-a hash, two to five of a document's n-grams in each.  Two sets with Jaccard
-similarity t or more differ in at most (1-t)/(1+t) of their sizes' sum, and each
-n-gram they differ in spoils one block, so the other blocks agree wholly.  The
-product is taken over whole blocks: equal blocks meet, their count is
-accumulated for each pair, and pairs with fewer than the sizes demand are
-discarded.  What is left is verified by its exact overlap.
+the overlap of every two documents.  The n-grams' columns are put in one order,
+rare before common, and a document is multiplied only by the block of its first
+columns: two sets of sizes that allow similarity t must overlap in t of the
+larger, so they share one of the first (1 - t) * size + 1 columns of each.  The
+products of equal columns are accumulated for each pair, pairs whose sizes or
+counts can't reach the bound are discarded, and what is left is verified by its
+exact overlap.
+
+Any order gives all pairs; a good one keeps common lines and passages out of the
+blocks.  Commonness is counted over all documents, each task passing on what it
+saw more than once, and the most common n-grams (a bounded list) go last, by the
+binary logarithm of their count; the others go by hash.
 
 Copies and groups of near copies don't become all pairs: equal texts are one
-document; then documents are linked to the first of their blocks' documents and
+document; then documents are linked to the first of their columns' documents and
 united, and only pairs of different components are multiplied out.
 """
 
@@ -28,10 +33,8 @@ from corpusloom.llm.common import connected_components, cut, id_filter, join_gro
 
 #: Words in an n-gram, similarity as a per cent.
 WORDS, PERCENT = 4, 85
-#: Sets of up to so many n-grams are met by leaving out one n-gram instead of by blocks.
-SMALL = 12
-#: Bounds of the size classes that share a number of blocks: each 1.5 times the last.
-GROWTH = 1.5
+#: Common n-grams that are ordered by their count, and the count from which one is common.
+COMMON, COMMON_FROM = 400_000, 8
 #: Rounds that unite documents with the first of their blocks before pairs are multiplied out.
 ROUNDS = 2
 MEMO = 400_000
@@ -51,13 +54,6 @@ class _Hash(dict):
 _hash = _Hash()
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word n-grams.
 
@@ -70,91 +66,68 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     if not len(h):
         return h
     k = min(words, len(h))
-    out = np.full(len(h) - k + 1, np.uint64(k), dtype=np.uint64)
+    out = h[: len(h) - k + 1] + np.uint64(k)
     with np.errstate(over="ignore"):
-        for i in range(k):
-            out = _mix(out * _M + h[i : len(h) - k + 1 + i])
+        for i in range(1, k):
+            out = out * _M + h[i : len(h) - k + 1 + i]
     return np.unique(out)
 
 
-def class_bounds(top: int = 1 << 40) -> list[int]:
-    """Lower bounds of the size classes above SMALL."""
-    out = [SMALL]
-    while out[-1] < top:
-        out.append(int(out[-1] * GROWTH) + 1)
-    return out
-
-
-_BOUNDS = np.array(class_bounds(), dtype=np.int64)
-
-
-def most_differing(sizes: int, percent: int) -> int:
-    """Elements in which two sets with sizes' sum may differ at the similarity."""
-    return (100 - percent) * sizes // (100 + percent)
-
-
-def block_count(cls: int, percent: int) -> int:
-    """Blocks of a class: a quarter more than the largest allowed difference of its largest sets spoils, and some."""
-    upper = int(_BOUNDS[cls + 1])
-    return most_differing(upper + upper * 100 // percent, percent) * 5 // 4 + 8
+def first_columns(shingles: np.ndarray, common: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The block of a set: its first columns in the order (level of commonness, hash)."""
+    n = len(shingles)
+    size = n - -(-percent * n // 100) + 1
+    if n and len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        rank = np.where(common[at] == shingles, level[at], 0)
+        if rank.any():
+            return shingles[np.argsort(rank, kind="stable")[:size]]
+    return shingles[:size]
 
 
-def blocks_of(shingles: np.ndarray, percent: int = PERCENT) -> list[tuple[int, np.ndarray]]:
-    """(number of non-empty blocks, block keys) for each class that a set takes part in.
+def common_columns(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, levels) of the most common n-grams: a list of bounded length.
 
-    A set takes part in the class of its own size and in that of the smallest
-    size it can be similar to.  Sets of at most SMALL n-grams may differ in one:
-    they meet by the hash of the whole set or of all but one n-gram.
+    A task passes on an n-gram's count where one batch of its rows holds it more
+    than once, so counts are a little low; they only order the columns.
     """
-    n = len(shingles)
-    if n == 0:
-        return []
-    out: list[tuple[int, np.ndarray]] = []
-    low = -(-percent * n // 100)
-    mixed = _mix(shingles + np.uint64(17))
-    with np.errstate(over="ignore"):
-        if low < SMALL or n <= SMALL:
-            total = mixed.sum(dtype=np.uint64)
-            keys = np.concatenate([[total], total - mixed]) if n > 1 else np.array([total])
-            sizes = np.concatenate([[n], np.full(len(keys) - 1, n - 1)]).astype(np.uint64)
-            out.append((0, np.unique(_mix(keys + sizes * _M))))
-        for cls in sorted({int(np.searchsorted(_BOUNDS, x, "right")) - 1 for x in (low, n) if x >= SMALL}):
-            m = block_count(cls, percent)
-            block = (mixed >> np.uint64(24)) % np.uint64(m)
-            order = np.argsort(block, kind="stable")
-            at = np.flatnonzero(np.r_[True, block[order][1:] != block[order][:-1]])
-            sums = np.add.reduceat(_mix(mixed[order]), at)
-            keys = _mix((sums + block[order][at] * _M) ^ _mix(np.full(1, cls + 1000, np.uint64)))
-            out.append((len(keys), keys))
-    return out
-
-
-def block_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(key, doc_id, n, blocks): each document's block keys, with its set's size and number of non-empty blocks."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sets, held = [], 0
+            for k, text in enumerate(frame["text"]):
+                sets.append(shingle_set(text, words))
+                held += len(sets[-1])
+                if held > 8_000_000 or k == len(frame) - 1:
+                    keys, n = np.unique(np.concatenate(sets), return_counts=True)
+                    yield pd.DataFrame({"key": keys[n > 1].view(np.int64), "n": n[n > 1].astype(np.int64)})
+                    sets, held = [], 0
+
+    seen = docs.select("text").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_FROM)
+    top = seen.orderBy(F.desc("n"), "key").limit(COMMON).toPandas()
+    keys = top["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.log2(np.maximum(top["n"].to_numpy(np.float64), 1)).astype(np.int64)[order]
+
+
+def column_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key, doc_id, n, tag): the first columns of each document, with its set's size."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_columns(docs, words))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common, level = shared.value
         for frame in frames:
-            ids, sizes, counts, keys = [], [], [], []
-            held = 0
-            for i, text in zip(frame["doc_id"], frame["text"], strict=True):
+            keys, sizes = [], []
+            for text in frame["text"]:
                 s = shingle_set(text, words)
-                for count, k in blocks_of(s, percent):
-                    ids.append(np.full(len(k), i, np.int64))
-                    sizes.append(np.full(len(k), len(s), np.int32))
-                    counts.append(np.full(len(k), count, np.int32))
-                    keys.append(k.view(np.int64))
-                    held += len(k)
-                if held > 200_000:
-                    yield _frame(keys, ids, sizes, counts)
-                    ids, sizes, counts, keys, held = [], [], [], [], 0
+                keys.append(first_columns(s, common, level, percent).view(np.int64))
+                sizes.append(len(s))
+            n = [len(k) for k in keys]
             if keys:
-                yield _frame(keys, ids, sizes, counts)
-
-    return docs.select("doc_id", "text").mapInPandas(run, "key long, doc_id long, n int, blocks int")
+                each = lambda c, n=n: np.repeat(c, n)
+                yield pd.DataFrame({"key": np.concatenate(keys), "doc_id": each(frame["doc_id"].to_numpy()), "n": each(np.array(sizes, np.int32)), "tag": each(frame["h1"].to_numpy())})
 
-
-def _frame(keys: list, ids: list, sizes: list, counts: list) -> pd.DataFrame:
-    return pd.DataFrame({"key": np.concatenate(keys), "doc_id": np.concatenate(ids), "n": np.concatenate(sizes), "blocks": np.concatenate(counts)})
+    return docs.select("doc_id", "text", "h1").mapInPandas(run, "key long, doc_id long, n int, tag long")
 
 
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -197,15 +170,11 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     wordy = F.coalesce(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")) & F.col("doc_id").isNotNull(), F.lit(False))
     h1, h2 = F.when(wordy, F.xxhash64("text")), F.when(wordy, F.xxhash64(F.lit(1), "text"))
 
-    @F.pandas_udf("long")
-    def set_size(texts: pd.Series) -> pd.Series:
-        return pd.Series([len(shingle_set(x, words)) for x in texts], dtype="int64")
-
-    keyed = cut(base.select("doc_id", h1.alias("h1"), h2.alias("h2"), set_size("text").alias("n_shingles")))
+    keyed = cut(base.select("doc_id", h1.alias("h1"), h2.alias("h2")))
     # Equal texts: one row of each group goes on, that of the smallest id.
     groups = keyed.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
     groups = cut(groups.filter("rows > 1").select("h1", "h2", "rep"))
-    member = cut(join_groups(keyed.select("doc_id", "h1", "h2"), groups, ["h1", "h2"]).filter("doc_id != rep"))
+    member = cut(join_groups(keyed, groups, ["h1", "h2"]).filter("doc_id != rep"))
     texts = base.filter(wordy).withColumn("h1", h1).withColumn("h2", h2)
     maybe, sole = split_by_filter(texts, "doc_id", id_filter(member, "doc_id"))
     single = sole.unionByName(maybe.join(member.select("doc_id", "h1", "h2").distinct(), ["doc_id", "h1", "h2"], "left_anti").select(*sole.columns))
@@ -213,39 +182,42 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     again = keyed.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
     links = member.join(again, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    links = cut(links.unionByName(find_links(single.select("doc_id", "text"), words, percent)))
+    rows = cut(column_rows(single, words, percent))
+    sizes = cut(rows.groupBy("tag").agg(F.max("n").cast("long").alias("n_shingles")))
+    links = cut(links.unionByName(find_links(rows, single.select("doc_id", "text"), percent, words)))
     part = cut(connected_components(links.toDF("src", "dst")))
-    group_part = groups.join(part.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("of_group"))
+    group_part = groups.join(part.withColumnRenamed("id", "rep"), "rep", "left").join(sizes.withColumnRenamed("tag", "h1"), "h1", "left")
+    group_part = group_part.select("h1", "h2", F.coalesce("component", "rep").alias("of_group"), F.col("n_shingles").alias("n_group"))
     out = join_groups(keyed, group_part, ["h1", "h2"]).join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.least("doc_id", "of_group", "component").alias("component_id"))
+    own = rows.select("doc_id", F.col("tag").alias("h1"), F.col("n").alias("n_own")).distinct()
+    out = out.join(own, ["doc_id", "h1"], "left")
+    return out.select(
+        "doc_id", F.coalesce("n_group", "n_own", F.lit(0)).cast("long").alias("n_shingles"), F.least("doc_id", "of_group", "component").alias("component_id")
+    )
 
 
-def find_links(single: DataFrame, words: int, percent: int) -> DataFrame:
+def find_links(rows: DataFrame, single: DataFrame, percent: int, words: int) -> DataFrame:
     """Verified pairs (a, b) that connect all similar documents of different texts."""
-    rows = cut(block_rows(single, words, percent))
-    met = rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low != high").select("key")
-    maybe, _ = split_by_filter(rows, "key", id_filter(met := cut(met), "key"))
+    met = cut(rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low != high").select("key"))
+    maybe, _ = split_by_filter(rows.select("key", "doc_id", "n"), "key", id_filter(met, "key"))
     rows = cut(maybe.join(met, "key").withColumn("part", F.col("doc_id")))
     links = None
     for _ in range(ROUNDS):
-        heads = rows.groupBy("key").agg(F.min(F.struct("part", "doc_id")).alias("head"), F.max("part").alias("last")).filter("head.part != last")
-        rows = cut(rows.join(cut(heads), "key").select("key", "doc_id", "n", "blocks", "part", "head"))
-        tried = rows.filter("part != head.part").groupBy("doc_id", F.col("head.doc_id").alias("b")).agg(F.count("*").alias("equal"))
+        heads = rows.groupBy("key").agg(F.min(F.struct("part", "doc_id", "n")).alias("head"), F.max("part").alias("last")).filter("head.part != last")
+        rows = cut(rows.join(cut(heads), "key").select("key", "doc_id", "n", "part", "head"))
+        able = rows.filter((F.col("part") != F.col("head.part")) & _similar_sizes(F.col("n"), F.col("head.n"), percent))
+        tried = able.groupBy("doc_id", F.col("head.doc_id").alias("b")).agg(F.count("*").alias("equal"))
         best = tried.groupBy("doc_id").agg(F.max(F.struct("equal", (-F.col("b")).alias("b"))).alias("best"))
         found = verify(best.select((-F.col("best.b")).alias("a"), F.col("doc_id").alias("b")), single, words, percent)
         links = cut(found if links is None else links.unionByName(found))
         part = connected_components(links.toDF("src", "dst"))
-        parts = part.select(F.col("id").alias("doc_id"), F.col("component").alias("new"))
-        rows = rows.drop("part", "head").join(cut(parts), "doc_id", "left")
-        rows = rows.select("key", "doc_id", "n", "blocks", F.coalesce("new", "doc_id").alias("part"))
+        parts = cut(part.select(F.col("id").alias("doc_id"), F.col("component").alias("new")))
+        rows = rows.drop("part", "head").join(parts, "doc_id", "left")
+        rows = rows.select("key", "doc_id", "n", F.coalesce("new", "doc_id").alias("part"))
     heads = rows.groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last")).filter("first != last").select("key")
     rows = cut(rows.join(heads, "key"))
-    a = rows.select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("blocks").alias("k_a"), F.col("part").alias("p_a"))
-    b = rows.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("blocks").alias("k_b"), F.col("part").alias("p_b"))
+    a = rows.select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("p_a"))
+    b = rows.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("p_b"))
     met = a.join(b, "key").filter((F.col("p_a") < F.col("p_b")) & _similar_sizes(F.col("n_a"), F.col("n_b"), percent))
-    counted = met.groupBy("a", "b").agg(
-        F.count("*").alias("equal"), F.min(F.least("k_a", "k_b")).alias("blocks"), F.first(F.col("n_a") + F.col("n_b")).alias("sizes")
-    )
-    spoiled = F.floor(F.col("sizes") * (100 - percent) / (100 + percent))
-    last = verify(counted.filter(F.col("equal") >= F.col("blocks") - spoiled).select("a", "b"), single, words, percent)
+    last = verify(met.select("a", "b").distinct(), single, words, percent)
     return links.unionByName(last)

@@ -75,15 +75,20 @@ def test_jaccard_repeated_ids_and_empty(spark):
     assert jaccard_join.join_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_blocks_leave_room():
-    """For every size of a class, agreeing blocks must remain after the largest allowed difference."""
-    rng = np.random.default_rng(1)
-    for n in [*range(12, 60), 100, 333, 1000, 5000]:
+@pytest.mark.parametrize("n", [1, 2, 6, 7, 19, 20, 60, 400])
+def test_first_columns_meet(n):
+    """Two sets at the similarity share a first column, whatever is common."""
+    rng = np.random.default_rng(n)
+    for _ in range(50):
         x = rng.integers(0, 1 << 63, n).astype(np.uint64)
-        spoiled = jaccard_join.most_differing(n + n * 100 // 85, 85)
-        cls = int(np.searchsorted(jaccard_join._BOUNDS, n, "right")) - 1
-        counts = [c for c, _ in jaccard_join.blocks_of(x)]
-        assert max(counts) > spoiled, (n, cls, counts, spoiled)
+        gone = rng.integers(0, n - -(-85 * n // 100) + 1)
+        y = np.unique(np.concatenate([x[gone:], rng.integers(0, 1 << 63, n // 7).astype(np.uint64)]))
+        x = np.unique(x)
+        common = np.sort(rng.choice(np.union1d(x, y), size=min(n, 5), replace=False))
+        level = rng.integers(1, 4, len(common))
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= 85 * (len(x) + len(y) - both):
+            assert len(np.intersect1d(jaccard_join.first_columns(x, common, level), jaccard_join.first_columns(y, common, level)))
 
 
 def test_components(spark):
