@@ -2,9 +2,9 @@
 
 Fixed masks select some token positions of a short span and ignore the others,
 so a seed still matches where an ignored token was replaced.  Test and training
-text give one hash for each mask and position; equal hashes are hits.  Around a
-hit both texts are laid side by side, and the hit counts if some window of
-`window` tokens agrees in `least` of them.  Everything is DataFrame functions.
+text give one hash for each mask and position; equal hashes are hits.  A hit
+lays the item along a text; it counts if some window of WINDOW tokens agrees in
+LEAST of them.  Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import cut, id_filter, split_by_filter
+
 #: Fixed masks; 1 is a compared position.
 MASKS = ("1111011", "110110111", "11011010011", "1010110101101")
 WINDOW, LEAST = 13, 10
-#: Benchmark tokens that one broadcast block of seeds may hold. A seed row is at most a few hundred bytes.
+#: Benchmark tokens that one broadcast block of seeds may hold; each gives a small row per mask.
 BLOCK_TOKENS = 200_000
 
 
@@ -27,13 +29,20 @@ def tokens_of(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(tokens: str, at: str) -> Column:
-    """One hash per mask at 0-based position `at`; null where the span passes the end."""
-    out = []
+def _seed_rows(df: DataFrame, tokens: str, at: str) -> DataFrame:
+    """df without its tokens, with a row for each 0-based position `at` and mask: its seed.
+
+    The token list is zipped with itself shifted, so that a position's tokens are
+    columns of a row and hashing is compiled code; no row carries the list.
+    """
+    spans = [F.slice(tokens, i + 1, F.greatest(F.size(tokens), F.lit(1))).alias(f"t{i}") for i in range(max(map(len, MASKS)))]
+    rest = [c for c in df.columns if c != tokens]
+    rows = df.select(*rest, F.posexplode(F.arrays_zip(*spans)).alias(at, "_t"))
+    seeds = []
     for k, mask in enumerate(MASKS):
-        cared = [F.get(F.col(tokens), F.col(at) + i) for i, c in enumerate(mask) if c == "1"]
-        out.append(F.when(F.col(at) + len(mask) <= F.size(tokens), F.xxhash64(F.lit(k), *cared)))
-    return F.array(*out)
+        cared = [F.col(f"_t.t{i}") for i, c in enumerate(mask) if c == "1"]
+        seeds.append(F.when(F.col(f"_t.t{len(mask) - 1}").isNotNull(), F.xxhash64(F.lit(k), *cared)))
+    return rows.select(*rest, at, F.explode(F.array(*seeds)).alias("seed")).filter(F.col("seed").isNotNull())
 
 
 def _agree(a: Column, b: Column, window: Column) -> Column:
@@ -43,58 +52,43 @@ def _agree(a: Column, b: Column, window: Column) -> Column:
     return F.array_max(F.transform(starts, lambda i: F.aggregate(F.slice(eq, i, window), F.lit(0), lambda s, x: s + x)))
 
 
-def seed_table(benchmark: DataFrame) -> DataFrame:
-    """(seed, item_id, at, near, left, need): the hashes of each item with the tokens around them."""
-    reach = WINDOW
-    b = (
-        benchmark.select("item_id", tokens_of(F.col("text")).alias("b"))
-        .filter(F.size("b") >= min(map(len, MASKS)))
-        .distinct()
-        .select("item_id", "b", F.explode(F.sequence(F.lit(0), F.size("b") - 1)).alias("at"))
-        .withColumn("seeds", _seeds("b", "at"))
-        .withColumn("from", F.greatest(F.lit(0), F.col("at") - reach))
-    )
-    return b.select(
-        F.explode("seeds").alias("seed"), "item_id", "at", (F.col("at") - F.col("from")).alias("left"),
-        F.slice("b", F.col("from") + 1, F.lit(2 * reach + max(map(len, MASKS)))).alias("near"),
-        F.least(F.lit(WINDOW), F.size("b")).alias("window"),
-    ).filter(F.col("seed").isNotNull())
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows (doc_id, item_id, tokens_equal, n_hits, token_from, token_to), one for each document and item that share a passage.
 
     A passage is shared if a window of 13 tokens (of the whole item, if it is
     shorter) agrees in 10 of 13 tokens, laid at a seed hit.  tokens_equal is the
-    best window's count.  Null or empty texts, and texts shorter than the
-    shortest mask, share nothing.  Repeated rows count as one; rows that share a
-    doc_id are one document.  Other columns are ignored.  The benchmark is the
-    stated query set: its seeds are broadcast in blocks of bounded size, and
-    documents are never shuffled but for their hits.
+    best window's count, token_from and token_to the first and last hit.  Null
+    or empty texts, and texts shorter than the shortest mask, share nothing.
+    Repeated rows count as one; rows that share a doc_id are one document.
+    Other columns are ignored.  The benchmark is the stated query set: its seeds
+    are broadcast in blocks of bounded size.  Of the documents only hits are
+    shuffled, and the texts that have hits (a bit table of fixed size finds them).
     """
+    shortest = min(map(len, MASKS))
     n_tokens = benchmark.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
     blocks = max(1, -(-n_tokens // BLOCK_TOKENS))
-    d = docs.select("doc_id", tokens_of(F.col("text")).alias("d")).filter(F.size("d") >= min(map(len, MASKS)))
-    d = d.select("doc_id", "d", F.explode(F.sequence(F.lit(0), F.size("d") - 1)).alias("p"))
-    d = d.select("doc_id", "d", "p", F.explode(_seeds("d", "p")).alias("seed")).filter(F.col("seed").isNotNull())
-    seeds = seed_table(benchmark)
+    items = benchmark.select("item_id", tokens_of(F.col("text")).alias("b")).filter(F.size("b") >= shortest).distinct()
+    seeds = _seed_rows(items, "b", "at")
+    texts = docs.select("doc_id", "text")
+    rows = _seed_rows(texts.select("doc_id", tokens_of(F.col("text")).alias("d")).filter(F.size("d") >= shortest), "d", "p")
     found = []
     for k in range(blocks):
         block = seeds if blocks == 1 else seeds.filter(F.pmod("seed", F.lit(blocks)) == k)
-        found.append(d.join(F.broadcast(block), "seed"))
-    hits = reduce(DataFrame.unionByName, found)
-    over = F.greatest(F.lit(0), F.col("left") - F.col("p"))
-    near = F.slice("near", over + 1, F.size("near"))
-    hits = hits.select(
-        "doc_id", "item_id", "p", "window", near.alias("near"),
-        F.slice("d", F.col("p") - F.col("left") + over + 1, F.greatest(F.lit(1), F.size(near))).alias("here"),
-    ).withColumn("tokens_equal", _agree(F.col("near"), F.col("here"), F.col("window")))
-    need = F.ceil(F.col("window") * LEAST / WINDOW)
+        found.append(rows.join(F.broadcast(block), "seed"))
+    hits = reduce(DataFrame.unionByName, found).select("doc_id", "item_id", "p", (F.col("p") - F.col("at")).alias("shift"))
+    hits = cut(hits.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("p").alias("n_hits"), F.min("p").alias("token_from"), F.max("p").alias("token_to")))
+
+    some, _ = split_by_filter(texts, "doc_id", id_filter(hits, "doc_id"))
+    laid = hits.join(items, "item_id").join(some.select("doc_id", tokens_of(F.col("text")).alias("d")), "doc_id")
+    before = F.greatest(F.lit(0), -F.col("shift"))
+    here = F.slice("d", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("b") - before)
+    window = F.least(F.lit(WINDOW), F.size("b"))
+    laid = laid.withColumn("tokens_equal", _agree(F.slice("b", before + 1, F.size("b")), here, window)).withColumn("need", F.ceil(window * LEAST / WINDOW))
     return (
-        hits.filter(F.col("tokens_equal") >= need)
+        laid.filter(F.col("tokens_equal") >= F.col("need"))
         .groupBy("doc_id", "item_id")
         .agg(
-            F.max("tokens_equal").alias("tokens_equal"), F.countDistinct("p").alias("n_hits"),
-            F.min("p").alias("token_from"), F.max("p").alias("token_to"),
+            F.max("tokens_equal").alias("tokens_equal"), F.sum("n_hits").alias("n_hits"),
+            F.min("token_from").alias("token_from"), F.max("token_to").alias("token_to"),
         )
     )
