@@ -15,8 +15,9 @@ saw more than once, and the most common n-grams (a bounded list) go last, by the
 binary logarithm of their count; the others go by hash.
 
 Copies and groups of near copies don't become all pairs: equal texts are one
-document; then documents are linked to the first of their columns' documents and
-united, and only pairs of different components are multiplied out.
+document; then documents are linked to the most central document of a few of
+their columns (that whose n-grams are the commonest) and united, and only pairs
+of different components are multiplied out.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ from corpusloom.llm.common import connected_components, cut, id_filter, join_gro
 WORDS, PERCENT = 4, 85
 #: Common n-grams that are ordered by their count, and the count from which one is common.
 COMMON, COMMON_FROM = 400_000, 8
-#: Rounds that unite documents with the first of their blocks before pairs are multiplied out.
-ROUNDS = 2
+#: Rounds that unite documents with one of their columns' documents before pairs are multiplied out, and the columns tried there.
+ROUNDS, TRIED = 2, 6
 MEMO = 400_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,16 +74,16 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def first_columns(shingles: np.ndarray, common: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The block of a set: its first columns in the order (level of commonness, hash)."""
+def first_columns(shingles: np.ndarray, common: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """The block of a set, its first columns in the order (level of commonness, hash), and the mean level of its n-grams by thousandths."""
     n = len(shingles)
     size = n - -(-percent * n // 100) + 1
     if n and len(common):
         at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
         rank = np.where(common[at] == shingles, level[at], 0)
         if rank.any():
-            return shingles[np.argsort(rank, kind="stable")[:size]]
-    return shingles[:size]
+            return shingles[np.argsort(rank, kind="stable")[:size]], int(rank.sum() * 1000 // n)
+    return shingles[:size], 0
 
 
 def common_columns(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,23 +112,31 @@ def common_columns(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def column_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(key, doc_id, n, tag): the first columns of each document, with its set's size."""
+    """(key, doc_id, n, tag, mean, few): the first columns of each document, its set's size and mean commonness, and whether the column is one of a few."""
     shared = docs.sparkSession.sparkContext.broadcast(common_columns(docs, words))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common, level = shared.value
         for frame in frames:
-            keys, sizes = [], []
+            keys, few, sizes, means = [], [], [], []
             for text in frame["text"]:
                 s = shingle_set(text, words)
-                keys.append(first_columns(s, common, level, percent).view(np.int64))
+                k, mean = first_columns(s, common, level, percent)
+                with np.errstate(over="ignore"):
+                    other = (k ^ (k >> np.uint64(31))) * _M
+                keys.append(k.view(np.int64))
+                few.append(other <= np.partition(other, TRIED - 1)[TRIED - 1] if len(k) > TRIED else np.ones(len(k), bool))
                 sizes.append(len(s))
+                means.append(mean)
             n = [len(k) for k in keys]
             if keys:
                 each = lambda c, n=n: np.repeat(c, n)
-                yield pd.DataFrame({"key": np.concatenate(keys), "doc_id": each(frame["doc_id"].to_numpy()), "n": each(np.array(sizes, np.int32)), "tag": each(frame["h1"].to_numpy())})
+                yield pd.DataFrame({
+                    "key": np.concatenate(keys), "doc_id": each(frame["doc_id"].to_numpy()), "n": each(np.array(sizes, np.int32)), "tag": each(frame["h1"].to_numpy()),
+                    "mean": each(np.array(means, np.int32)), "few": np.concatenate(few),
+                })
 
-    return docs.select("doc_id", "text", "h1").mapInPandas(run, "key long, doc_id long, n int, tag long")
+    return docs.select("doc_id", "text", "h1").mapInPandas(run, "key long, doc_id long, n int, tag long, mean int, few boolean")
 
 
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -198,26 +207,31 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 def find_links(rows: DataFrame, single: DataFrame, percent: int, words: int) -> DataFrame:
     """Verified pairs (a, b) that connect all similar documents of different texts."""
-    met = cut(rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low != high").select("key"))
-    maybe, _ = split_by_filter(rows.select("key", "doc_id", "n"), "key", id_filter(met, "key"))
-    rows = cut(maybe.join(met, "key").withColumn("part", F.col("doc_id")))
+    met = rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low != high").select("key")
+    maybe, _ = split_by_filter(rows.drop("tag"), "key", id_filter(cut(met), "key"))
+    rows = cut(maybe)
+    tries = rows.filter("few").withColumn("part", F.col("doc_id"))
     links = None
     for _ in range(ROUNDS):
-        heads = rows.groupBy("key").agg(F.min(F.struct("part", "doc_id", "n")).alias("head"), F.max("part").alias("last")).filter("head.part != last")
-        rows = cut(rows.join(cut(heads), "key").select("key", "doc_id", "n", "part", "head"))
-        able = rows.filter((F.col("part") != F.col("head.part")) & _similar_sizes(F.col("n"), F.col("head.n"), percent))
-        tried = able.groupBy("doc_id", F.col("head.doc_id").alias("b")).agg(F.count("*").alias("equal"))
-        best = tried.groupBy("doc_id").agg(F.max(F.struct("equal", (-F.col("b")).alias("b"))).alias("best"))
+        head = F.max(F.struct("mean", (-F.col("doc_id")).alias("id"), "n", "part")).alias("head")
+        heads = tries.groupBy("key").agg(head, F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high")
+        able = tries.join(cut(heads.select("key", "head")), "key").filter((F.col("part") != F.col("head.part")) & _similar_sizes(F.col("n"), F.col("head.n"), percent))
+        counted = able.groupBy("doc_id", (-F.col("head.id")).alias("b")).agg(F.count("*").alias("equal"), F.max("head.mean").alias("mean"))
+        best = counted.groupBy("doc_id").agg(F.max(F.struct("equal", "mean", (-F.col("b")).alias("b"))).alias("best"))
         found = verify(best.select((-F.col("best.b")).alias("a"), F.col("doc_id").alias("b")), single, words, percent)
         links = cut(found if links is None else links.unionByName(found))
-        part = connected_components(links.toDF("src", "dst"))
-        parts = cut(part.select(F.col("id").alias("doc_id"), F.col("component").alias("new")))
-        rows = rows.drop("part", "head").join(parts, "doc_id", "left")
-        rows = rows.select("key", "doc_id", "n", F.coalesce("new", "doc_id").alias("part"))
-    heads = rows.groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last")).filter("first != last").select("key")
-    rows = cut(rows.join(heads, "key"))
+        parts = cut(connected_components(links.toDF("src", "dst")).select(F.col("id").alias("doc_id"), F.col("component").alias("new")))
+        known = lambda df, parts=parts: df.join(parts, "doc_id", "left").withColumn("part", F.coalesce("new", "doc_id")).drop("new")
+        tries = known(tries.drop("part"))
+    rows = known(rows.select("key", "doc_id", "n"))
+    mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
+    rows = cut(rows.join(cut(mixed), "key"))
     a = rows.select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("p_a"))
     b = rows.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("p_b"))
-    met = a.join(b, "key").filter((F.col("p_a") < F.col("p_b")) & _similar_sizes(F.col("n_a"), F.col("n_b"), percent))
-    last = verify(met.select("a", "b").distinct(), single, words, percent)
-    return links.unionByName(last)
+    pairs = a.join(b, "key").filter((F.col("p_a") < F.col("p_b")) & _similar_sizes(F.col("n_a"), F.col("n_b"), percent))
+    # What stands after the block with the earlier end can add at most its number to the block's overlap.
+    block = lambda n: n - F.ceil(n * percent / 100) + 1
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("equal"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    most = F.col("equal") + F.greatest(F.col("n_a") - block(F.col("n_a")), F.col("n_b") - block(F.col("n_b")))
+    able = most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    return links.unionByName(verify(counted.filter(able).select("a", "b"), single, words, percent))
