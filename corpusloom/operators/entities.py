@@ -79,14 +79,11 @@ def regex_entities(chunks: DataFrame, strict: bool = True) -> DataFrame:
 
 def heuristic_matches(chunks: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, chunk_id, label, text, confidence) by the heuristic patterns, without offsets."""
-    hits = [
-        F.transform(
-            F.regexp_extract_all(F.col(text), F.lit("(?iu)" + p), F.lit(0)),
-            lambda m, label=label, score=score: F.struct(F.lit(label).alias("label"), m.alias("text"), F.lit(score).alias("confidence")),
-        )
-        for label, (score, patterns) in HEURISTICS.items()
-        for p in patterns
-    ]
+    def found(label: str, score: float, pattern: str) -> Column:
+        matches = F.regexp_extract_all(F.col(text), F.lit("(?iu)" + pattern), F.lit(0))
+        return F.transform(matches, lambda m: F.struct(F.lit(label).alias("label"), m.alias("text"), F.lit(score).alias("confidence")))
+
+    hits = [found(label, score, p) for label, (score, patterns) in HEURISTICS.items() for p in patterns]
     return chunks.select("doc_id", "chunk_id", F.explode(F.flatten(F.array(*hits))).alias("m")).select("doc_id", "chunk_id", "m.*")
 
 

@@ -28,12 +28,12 @@ chunks AS (
 def pages_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page, text, alternate): pieces of 1500 characters as pages; every third page has an alternate text."""
     p = chunk_fixed(documents(spark, sf_dir))
-    return p.select("doc_id", F.col("chunk_index").alias("page"), "text", F.when(F.col("chunk_index") % 3 == 0, F.upper("text")).alias("alternate"))
+    return p.select("doc_id", F.col("chunk_index").alias("page"), "text", F.when(F.col("chunk_index") % 3 == 0, F.concat(F.lit("ALT "), "text")).alias("alternate"))
 
 
 PAGES = """
 doc_pages AS (
-  SELECT doc_id, i AS page, substr(text, i * 1500 + 1, 1500) AS text, CASE WHEN i % 3 = 0 THEN upper(substr(text, i * 1500 + 1, 1500)) END AS alternate
+  SELECT doc_id, i AS page, substr(text, i * 1500 + 1, 1500) AS text, CASE WHEN i % 3 = 0 THEN 'ALT ' || substr(text, i * 1500 + 1, 1500) END AS alternate
   FROM (SELECT doc_id, text, unnest(range(0, greatest(1, ceil(length(text) / 1500.0)::BIGINT))) AS i FROM documents WHERE length(text) > 0))
 """
 
@@ -119,8 +119,8 @@ FACTS = (
 facts AS (
   SELECT doc_id, chunk_id, (i - 1)::BIGINT AS idx, lines[i] AS text, (('0x' || substr(sha256(lines[i]), 1, 4))::BIGINT % 100) / 100.0::DOUBLE AS confidence, words
   FROM (SELECT doc_id, chunk_id, lines, words, unnest(range(1, len(lines) + 1)) AS i FROM (
-    SELECT doc_id, chunk_id, (list_filter(string_split(text, chr(10)), x -> length(x) > 0))[1:5] AS lines,
-      len(list_filter(string_split(replace(text, chr(10), ' '), ' '), x -> x <> ''))::BIGINT AS words FROM chunks)))
+    SELECT doc_id, chunk_id, (list_filter(string_split(text, chr(10)), lambda x: length(x) > 0))[1:5] AS lines,
+      len(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> ''))::BIGINT AS words FROM chunks)))
 """
 )
 

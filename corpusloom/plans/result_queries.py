@@ -72,7 +72,7 @@ def embed_inferences(spark, d):
 
 
 @query("vector_normalize", """
-WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE * x))) AS norm FROM embeddings)
+WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS norm FROM embeddings)
 SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 0 ELSE len(embedding) END::BIGINT AS dimension, vec_id % 4 = 0 AS degraded, CASE WHEN vec_id % 4 = 0 THEN NULL ELSE round(embedding[1]::DOUBLE / norm, 6) END AS first FROM n""")
 def vector_normalize(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 4 != 0, F.col("embedding")).alias("embedding"))
@@ -245,7 +245,7 @@ def provenance_report(spark, d):
 
 
 @query("facts_prompt", f"""
-WITH {A.CHUNKS}, w AS (SELECT *, len(list_filter(string_split(replace(text, chr(10), ' '), ' '), x -> x <> '')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1 AS n FROM chunks)
+WITH {A.CHUNKS}, w AS (SELECT *, len(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1 AS n FROM chunks)
 SELECT doc_id, (n // 3)::BIGINT AS "group", sha256(string_agg('[' || chunk_id || '] max facts: ' || CASE WHEN words < 200 THEN '1' WHEN words < 500 THEN '2' ELSE '3' END || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY chunk_index)) AS prompt FROM w GROUP BY ALL""")
 def facts_prompt(spark, d):
     words = F.size(F.filter(F.split("text", "[ \n]"), lambda x: x != ""))
@@ -312,7 +312,7 @@ def regex_entities_loose(spark, d):
 @query("regex_entities", f"""
 WITH {A.CHUNKS}, m AS (SELECT doc_id, chunk_id, 'EMAIL' AS label, unnest(regexp_extract_all(text, '{_b(dict(N.RULES)["EMAIL"])}')) AS text FROM chunks),
 c AS (SELECT doc_id, chunk_id, 'CREDIT_CARD' AS label, unnest(regexp_extract_all(text, '{_b(dict(N.RULES)["CREDIT_CARD"])}')) AS text FROM chunks),
-luhn AS (SELECT *, list_sum(list_transform(range(1, length(text) + 1), i -> CASE WHEN (length(text) - i) % 2 = 0 THEN text[i]::INT WHEN text[i]::INT * 2 > 9 THEN text[i]::INT * 2 - 9 ELSE text[i]::INT * 2 END)) AS s FROM c)
+luhn AS (SELECT *, list_sum(list_transform(range(1, length(text) + 1), lambda i: CASE WHEN (length(text) - i) % 2 = 0 THEN text[i]::INT WHEN text[i]::INT * 2 > 9 THEN text[i]::INT * 2 - 9 ELSE text[i]::INT * 2 END)) AS s FROM c)
 SELECT * FROM m UNION ALL SELECT doc_id, chunk_id, label, text FROM luhn WHERE s % 10 = 0""")
 def regex_entities(spark, d):
     return N.regex_entities(A.chunks(spark, d)).filter(F.col("label").isin("EMAIL", "CREDIT_CARD"))

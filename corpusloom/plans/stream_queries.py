@@ -115,7 +115,7 @@ def quarantine_stream(spark, d):
     return both.groupBy("route").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
-@query("micro_batch_model", "SELECT doc_id, trim(array_to_string(list_slice(list_filter(string_split(replace(text, chr(10), ' '), ' '), x -> x <> ''), 1, 5), ' ')) AS text FROM documents WHERE trim(replace(text, chr(10), ' ')) <> ''")
+@query("micro_batch_model", "SELECT doc_id, trim(array_to_string(list_slice(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> ''), 1, 5), ' ')) AS text FROM documents WHERE trim(replace(text, chr(10), ' ')) <> ''")
 def micro_batch_model(spark, d):
     import json
 

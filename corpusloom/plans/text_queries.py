@@ -103,7 +103,7 @@ def profile_normalize(spark, d):
 
 @query("features_normalize", """
 WITH f AS (SELECT doc_id, list_filter(list_transform(string_split(lower(substr(text, 1, 40)) || ',inferences, Inference_Embeddings ,' || CASE WHEN doc_id % 2 = 0 THEN 'INFERENCES' ELSE 'x' END, ','),
-  x -> lower(trim(x))), x -> x IN ('inferences', 'inference_embeddings')) AS a, doc_id % 2 AS odd FROM documents)
+  lambda x: lower(trim(x))), lambda x: x IN ('inferences', 'inference_embeddings')) AS a, doc_id % 2 AS odd FROM documents)
 SELECT doc_id, array_to_string(CASE WHEN a[1] = 'inferences' THEN ['inferences', 'inference_embeddings'] ELSE list_distinct(a) END, ',') AS features, (len(a) - len(list_distinct(a)))::BIGINT AS duplicates FROM f""")
 def features_normalize(spark, d):
     raw = F.concat(F.lower(F.substring("text", 1, 40)), F.lit(",inferences, Inference_Embeddings ,"), F.when(F.col("doc_id") % 2 == 0, "INFERENCES").otherwise("x"))

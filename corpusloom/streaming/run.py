@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession) -> str:
@@ -21,8 +22,10 @@ def scratch(spark: SparkSession) -> str:
 
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table as a stream, one file at a time, with the table's schema."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """A Parquet table, one file or a folder, as a stream: one file at a time, with the table's schema."""
+    schema = spark.read.parquet(path).schema
+    pattern = f"{path[:-1]}[{path[-1]}]"  # a pattern may name a single file, a plain path must be a folder
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(pattern)
 
 
 def append_result(stream: DataFrame) -> DataFrame:
@@ -42,8 +45,8 @@ def update_result(stream: DataFrame, *keys: str, mode: str = "update") -> DataFr
 
     q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    rows = spark.read.schema(stream.schema.add("batch", "long")).option("basePath", f"{at}/out").parquet(f"{at}/out")
     rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", f"{at}/out").parquet(f"{at}/out")
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, *[f"x.{c}" for c in rest])
 
 
