@@ -107,6 +107,36 @@ FROM c GROUP BY conv_id
 """
 
 
+#: For pages whose article holds only headings, paragraphs, line breaks and inline markup, as the given ones do.
+_OP2_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS x FROM pages),
+t AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(x, '(?s)<!--.*?-->', '', 'g'), '</?(?:p|h1|h2|br|ul|li)\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM a),
+d AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM t)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d
+"""
+
+
+def _seed_sql(rows: str, key: str, tokens: str) -> str:
+    """Seeds of every mask: the tokens that the mask keeps, joined."""
+    parts = []
+    for k, mask in enumerate(decontaminate.MASKS):
+        kept = " || ' ' || ".join(f"{tokens}[i + {o + 1}]" for o, c in enumerate(mask) if c == "1")
+        parts.append(f"SELECT {key}, {k} AS k, unnest(list_transform(range(0, greatest(0, len({tokens}) - {len(mask) - 1})), lambda i: {{'at': i, 's': {kept}}})) AS x FROM {rows}")
+    return f"SELECT {key}, k, x['at'] AS at, x['s'] AS s FROM ({' UNION ALL '.join(parts)})"
+
+
+_OP5_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\pL\\pN]+') AS d FROM documents),
+b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\pL\\pN]+') AS b FROM benchmark),
+ds AS ({_seed_sql("d", "doc_id", "d")}), bs AS ({_seed_sql("b", "item_id", "b")}),
+h AS (SELECT doc_id, item_id, ds.at - bs.at AS shift, count(DISTINCT ds.at) AS n, min(ds.at) AS lo, max(ds.at) AS hi FROM ds JOIN bs USING (k, s) GROUP BY ALL),
+e AS (SELECT h.*, least({decontaminate.WINDOW}, len(b)) AS w, list_transform(range(1, len(b) + 1), lambda i: CASE WHEN i + shift >= 1 AND d[i + shift] = b[i] THEN 1 ELSE 0 END) AS eq FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
+m AS (SELECT *, list_max(list_transform(range(1, greatest(1, len(eq) - w + 1) + 1), lambda i: list_sum(eq[i:i + w - 1]))) AS best FROM e)
+SELECT doc_id, item_id, max(best)::INT AS tokens_equal, sum(n)::BIGINT AS n_hits, min(lo)::INT AS token_from, max(hi)::INT AS token_to FROM m
+WHERE best >= ceil(w * {decontaminate.LEAST} / {decontaminate.WINDOW}.0) GROUP BY doc_id, item_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -126,4 +156,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1_SQL, "op8_chat_format": _OP8_SQL}
+    return {"op1_url_filter": _OP1_SQL, "op2_html_extract": _OP2_SQL, "op5_decontaminate": _OP5_SQL, "op8_chat_format": _OP8_SQL}
