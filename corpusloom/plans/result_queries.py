@@ -262,8 +262,8 @@ def facts_parse(spark, d):
     return out.select("doc_id", "chunk_id", "idx", "text", "confidence", F.array_join("entity_refs", ",").alias("refs"))
 
 
-@query("model_facts")
-def model_facts(spark, d):
+@query("facts_fn")
+def facts_fn(spark, d):
     """The fact plug point with a stand-in model that quotes the prompt's first words."""
     import json
 
@@ -360,6 +360,21 @@ def model_entities(spark, d):
     return N.model_entities(C.ner_windows(A.documents(spark, d)))
 
 
+@query("predict_fn", "SELECT doc_id, window_index, 'LOC' AS label, w AS text, off + pos - 1 AS start FROM (SELECT doc_id, i AS window_index, i * 1702 AS off, instr(t, ' the ') + 1 AS pos, 'the' AS w FROM (SELECT doc_id, i, substr(text, i * 1702 + 1, 2553) AS t FROM (SELECT doc_id, text, unnest(range(0, ceil(length(text) / 1702.0)::BIGINT)) AS i FROM documents WHERE length(text) > 0) WHERE i = 0 OR i * 1702 + 851 < length(text)) WHERE contains(t, ' the '))")
+def predict_fn(spark, d):
+    """The entity plug point with a model of one's own: here, the first ' the ' of a window."""
+
+    def predict(texts):
+        return [[("the", "LOC", 0.9, t.index(" the ") + 1, t.index(" the ") + 4)] if " the " in t else [] for t in texts]
+
+    return N.model_entities(C.ner_windows(A.documents(spark, d)), predict).select("doc_id", "window_index", "label", "text", "start")
+
+
+@query("entity_id", f"WITH {A.ENTITIES} SELECT doc_id, chunk_id, text, entity_id FROM entities")
+def entity_id(spark, d):
+    return _with_ids(spark, d).select("doc_id", "chunk_id", "text", "entity_id")
+
+
 @query("window_entity_merge")
 def window_entity_merge(spark, d):
     return N.merge_windows(N.model_entities(C.ner_windows(A.documents(spark, d))))
