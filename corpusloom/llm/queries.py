@@ -137,6 +137,30 @@ WHERE best >= ceil(w * {decontaminate.LEAST} / {decontaminate.WINDOW}.0) GROUP B
 """
 
 
+_REACH = """
+r(id, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON r.id = e.a WHERE r.root < e.b),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+"""
+
+_OP7_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS g FROM w),
+s AS (SELECT doc_id, unnest(g) AS x FROM g), n AS (SELECT doc_id, len(g)::BIGINT AS n FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)), {_REACH}
+SELECT n.doc_id, n AS n_shingles, coalesce(root, n.doc_id) AS component_id FROM n LEFT JOIN c ON id = n.doc_id
+"""
+
+_OP9_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL),
+n AS (SELECT *, sqrt(list_dot_product(x, x)) AS norm FROM v),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.98), {_REACH}
+SELECT vec_id, (SELECT count(*) FROM e WHERE a = vec_id)::BIGINT AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN c ON id = vec_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -156,4 +180,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1_SQL, "op2_html_extract": _OP2_SQL, "op5_decontaminate": _OP5_SQL, "op8_chat_format": _OP8_SQL}
+    return {"op1_url_filter": _OP1_SQL, "op2_html_extract": _OP2_SQL, "op5_decontaminate": _OP5_SQL, "op7_jaccard_join": _OP7_SQL, "op8_chat_format": _OP8_SQL, "op9_embedding_dedup": _OP9_SQL}
