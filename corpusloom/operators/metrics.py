@@ -15,11 +15,11 @@ def histogram(samples: DataFrame, value: str, *keys: str, bounds: list[float] |
     bucket = F.lit(None).cast("int")
     for k, b in reversed(list(enumerate(edges))):
         bucket = F.when(F.col(value) <= b, k).otherwise(bucket)
-    counts = samples.filter(F.col(value).isNotNull()).groupBy(*keys, bucket.alias("k")).agg(F.count("*").alias("n"))
-    grid = counts.select(*keys).distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(edges) - 1))))
-    full = grid.join(counts, [*keys, "k"], "left").fillna(0, ["n"])
-    w = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    le = F.element_at(F.array(*[F.lit(float(b)) for b in edges]), F.col("k") + 1)
+    counts = samples.filter(F.col(value).isNotNull()).groupBy(*keys, bucket.alias("_bucket")).agg(F.count("*").alias("n"))
+    grid = counts.select(*keys).distinct().withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(len(edges) - 1))))
+    full = grid.join(counts, [*keys, "_bucket"], "left").fillna(0, ["n"])
+    w = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    le = F.element_at(F.array(*[F.lit(float(b)) for b in edges]), F.col("_bucket") + 1)
     return full.select(*keys, le.alias("le"), F.sum("n").over(w).alias("count"))
 
 
