@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +25,17 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "corp
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors once per Spark context, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpusloom_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="corpusloom-code-")) / "corpusloom.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f"corpusloom/{f.relative_to(here)}")
+    sc.addPyFile(str(target))
+    sc._corpusloom_shipped = True
