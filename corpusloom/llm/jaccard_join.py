@@ -37,7 +37,7 @@ WORDS, PERCENT = 4, 85
 #: Common n-grams that are ordered by their count, and the count from which one is common.
 COMMON, COMMON_FROM = 400_000, 8
 #: Rounds that unite documents with one of their columns' documents before pairs are multiplied out, and the columns tried there.
-ROUNDS, TRIED = 2, 6
+ROUNDS, TRIED = 5, 6
 MEMO = 400_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,7 +112,7 @@ def common_columns(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def column_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(key, doc_id, n, tag, mean, few): the first columns of each document, its set's size and mean commonness, and whether the column is one of a few."""
+    """(key, doc_id, n, tag, mean, few, place): the first columns of each document in order, its set's size and mean commonness, whether the column is one of a few."""
     shared = docs.sparkSession.sparkContext.broadcast(common_columns(docs, words))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,9 +134,10 @@ def column_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 yield pd.DataFrame({
                     "key": np.concatenate(keys), "doc_id": each(frame["doc_id"].to_numpy()), "n": each(np.array(sizes, np.int32)), "tag": each(frame["h1"].to_numpy()),
                     "mean": each(np.array(means, np.int32)), "few": np.concatenate(few),
+                    "place": np.concatenate([np.arange(len(k), dtype=np.int32) for k in keys]),
                 })
 
-    return docs.select("doc_id", "text", "h1").mapInPandas(run, "key long, doc_id long, n int, tag long, mean int, few boolean")
+    return docs.select("doc_id", "text", "h1").mapInPandas(run, "key long, doc_id long, n int, tag long, mean int, few boolean, place int")
 
 
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -212,8 +213,10 @@ def find_links(rows: DataFrame, single: DataFrame, percent: int, words: int) ->
     rows = cut(maybe)
     tries = rows.filter("few").withColumn("part", F.col("doc_id"))
     links = None
-    for _ in range(ROUNDS):
-        head = F.max(F.struct("mean", (-F.col("doc_id")).alias("id"), "n", "part")).alias("head")
+    for k in range(ROUNDS):
+        # First the most central document of a column, then one by chance.
+        first = F.col("mean").cast("long") if k == 0 else F.xxhash64("doc_id", F.lit(k))
+        head = F.max(F.struct(first.alias("mean"), (-F.col("doc_id")).alias("id"), "n", "part")).alias("head")
         heads = tries.groupBy("key").agg(head, F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high")
         able = tries.join(cut(heads.select("key", "head")), "key").filter((F.col("part") != F.col("head.part")) & _similar_sizes(F.col("n"), F.col("head.n"), percent))
         counted = able.groupBy("doc_id", (-F.col("head.id")).alias("b")).agg(F.count("*").alias("equal"), F.max("head.mean").alias("mean"))
@@ -223,15 +226,13 @@ def find_links(rows: DataFrame, single: DataFrame, percent: int, words: int) ->
         parts = cut(connected_components(links.toDF("src", "dst")).select(F.col("id").alias("doc_id"), F.col("component").alias("new")))
         known = lambda df, parts=parts: df.join(parts, "doc_id", "left").withColumn("part", F.coalesce("new", "doc_id")).drop("new")
         tries = known(tries.drop("part"))
-    rows = known(rows.select("key", "doc_id", "n"))
+    rows = known(rows.select("key", "doc_id", "n", "place"))
     mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
     rows = cut(rows.join(cut(mixed), "key"))
-    a = rows.select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("p_a"))
-    b = rows.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("p_b"))
-    pairs = a.join(b, "key").filter((F.col("p_a") < F.col("p_b")) & _similar_sizes(F.col("n_a"), F.col("n_b"), percent))
-    # What stands after the block with the earlier end can add at most its number to the block's overlap.
-    block = lambda n: n - F.ceil(n * percent / 100) + 1
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("equal"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    most = F.col("equal") + F.greatest(F.col("n_a") - block(F.col("n_a")), F.col("n_b") - block(F.col("n_b")))
-    able = most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    return links.unionByName(verify(counted.filter(able).select("a", "b"), single, words, percent))
+    a, b = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "part", "place")]) for s in "ab")
+    # Both must hold the column among the first that the overlap of two sets of these sizes leaves.
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    early = (F.col("place_a") <= F.col("n_a") - need) & (F.col("place_b") <= F.col("n_b") - need)
+    pairs = a.join(b, "key").filter((F.col("part_a") < F.col("part_b")) & _similar_sizes(F.col("n_a"), F.col("n_b"), percent) & early)
+    pairs = pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    return links.unionByName(verify(pairs, single, words, percent))
