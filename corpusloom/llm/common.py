@@ -61,13 +61,14 @@ def without_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return surely.unionByName(maybe.join(ids.select(key).distinct(), key, "left_anti").select(*df.columns))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, settle: bool = True) -> DataFrame:
     """Components of an undirected graph by alternating large and small stars.
 
     edges: (src long, dst long), any order, repeats and loops allowed.  Returns
     (id, component) with the smallest id of each component, for every id that
     occurs in an edge.  Each round is one written table; only a count and a sum
-    come to the driver.
+    come to the driver.  settle=False stops after max_rounds: an id's component
+    is then some id that it is connected to, one for each id.
     """
     spark = edges.sparkSession
     e = (
@@ -88,12 +89,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(small_least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(hung.union(small_least.select("u", F.col("m").alias("v"))).distinct())
+        if not settle:
+            continue
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
         if now == before or now[0] == 0:
             break
         before = now
     else:
-        raise RuntimeError("components did not settle")
+        if settle:
+            raise RuntimeError("components did not settle")
+        both = e.select(F.col("u").alias("id"), "v").union(e.select(F.col("v").alias("id"), "v"))
+        return both.groupBy("id").agg(F.min("v").alias("component"))
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 

@@ -223,7 +223,9 @@ def find_links(rows: DataFrame, single: DataFrame, percent: int, words: int) ->
         best = counted.groupBy("doc_id").agg(F.max(F.struct("equal", "mean", (-F.col("b")).alias("b"))).alias("best"))
         found = verify(best.select((-F.col("best.b")).alias("a"), F.col("doc_id").alias("b")), single, words, percent)
         links = cut(found if links is None else links.unionByName(found))
-        parts = cut(connected_components(links.toDF("src", "dst")).select(F.col("id").alias("doc_id"), F.col("component").alias("new")))
+        last = k == ROUNDS - 1
+        parts = connected_components(links.toDF("src", "dst"), 60 if last else 1, settle=last)
+        parts = cut(parts.select(F.col("id").alias("doc_id"), F.col("component").alias("new")))
         known = lambda df, parts=parts: df.join(parts, "doc_id", "left").withColumn("part", F.coalesce("new", "doc_id")).drop("new")
         tries = known(tries.drop("part"))
     rows = known(rows.select("key", "doc_id", "n", "place"))
