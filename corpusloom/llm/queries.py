@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
 
 from corpusloom.llm import bpe, chat_format, decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, license_scan, quality, url_filter
 
