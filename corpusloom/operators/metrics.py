@@ -41,8 +41,8 @@ def latency_report(samples: DataFrame, value: str, *keys: str) -> DataFrame:
     n = F.count(value)
     return samples.groupBy(*keys).agg(
         n.alias("n"), F.sum(value).alias("total"), F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.95).alias("p95"),
-        F.percentile(value, 0.95).alias("_"), F.array_sort(F.collect_list(value)).alias("v"),
-    ).withColumn("p95_index", F.element_at("v", F.greatest(F.lit(1), F.floor(F.lit(0.95) * F.col("n"))).cast("int"))).drop("v", "_")
+        F.array_sort(F.collect_list(value)).alias("v"),
+    ).withColumn("p95_index", F.element_at("v", F.greatest(F.lit(1), F.floor(F.lit(0.95) * F.col("n"))).cast("int"))).drop("v")
 
 
 def counter_rate(samples: DataFrame, seconds: int = 300) -> DataFrame:

@@ -112,7 +112,7 @@ def page_slice(spark, d):
 
 
 @query("results_summary", f"""
-WITH {A.FACTS}, {A.ENTITIES.split("),", 1)[1] if False else A.ENTITIES.replace(A.CHUNKS + ",", "").strip()},
+WITH {A.FACTS}, {A.ENTITIES.replace(A.CHUNKS + ",", "").strip()},
 c AS (SELECT doc_id, count(*) AS n_chunks FROM chunks GROUP BY 1), f AS (SELECT doc_id, count(*) AS n_facts FROM facts GROUP BY 1), e AS (SELECT doc_id, count(DISTINCT entity_id) AS n_entities FROM entities GROUP BY 1)
 SELECT d.doc_id, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_entities, 0) AS n_entities, coalesce(n_facts, 0) AS n_facts FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN e USING (doc_id) LEFT JOIN f USING (doc_id)""")
 def results_summary(spark, d):

@@ -398,8 +398,7 @@ def normalize_date(spark, d):
 def fuzzy_ratio(spark, d):
     from corpusloom.operators.entities import fuzzy_ratio as ratio
 
-    p = table(spark, d, "part") if False else table(spark, d, "customer").select("c_custkey", "c_name")
-    return p.select("c_custkey", ratio(F.col("c_name"), F.concat(F.lit("x"), F.col("c_name"))).alias("ratio"))
+    return table(spark, d, "customer").select("c_custkey", ratio(F.col("c_name"), F.concat(F.lit("x"), F.col("c_name"))).alias("ratio"))
 
 
 @query("cache_keys", "SELECT doc_id, 'emb:' || sha256('m1:' || text) AS embedding_key, 'artifact:inference:m1_07:' || sha256(text || ':' || source) AS facts_key FROM documents")
