@@ -10,11 +10,12 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from corpusloom.session import local_session
+    from corpusloom.session import local_session, ship_code
 
     s = local_session(4, 4, "tests")
     s.sparkContext.setLogLevel("ERROR")
     s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
+    ship_code(s)
     yield s
     s.stop()
 
