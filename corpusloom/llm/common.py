@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of an id filter: 2**20 words of 32 bits each. Its size never depends on the data.
-FILTER_WORDS = 1 << 20
+#: Words of an id filter, of 64 bits each: 2 MB of bits at any size of the data.
+FILTER_WORDS = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,14 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def _slot(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_WORDS * 32))
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_WORDS * 64))
 
 
 def id_filter(ids: DataFrame, key: str) -> DataFrame:
     """A Bloom-like bit table (word, bits) over ids[key]: FILTER_WORDS rows at most, so it may be broadcast at any size."""
     slot = _slot(F.col(key))
     return (
-        ids.select(F.floor(slot / 32).cast("int").alias("_word"), F.pmod(slot, F.lit(32)).cast("int").alias("_bit"))
+        ids.select(F.floor(slot / 64).cast("int").alias("_word"), F.pmod(slot, F.lit(64)).cast("int").alias("_bit"))
         .groupBy("_word")
         .agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
     )
@@ -48,8 +48,8 @@ def id_filter(ids: DataFrame, key: str) -> DataFrame:
 def split_by_filter(df: DataFrame, key: str, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose key may be among the ids, rows whose key surely is not); no shuffle of df."""
     slot = _slot(F.col(key))
-    marked = df.withColumn("_word", F.floor(slot / 32).cast("int")).join(F.broadcast(bits), "_word", "left")
-    maybe = F.coalesce(F.expr("getbit(_bits, cast(pmod(xxhash64(`%s`), %d) %% 32 as int))" % (key, FILTER_WORDS * 32)), F.lit(0)) == 1
+    marked = df.withColumn("_word", F.floor(slot / 64).cast("int")).join(F.broadcast(bits), "_word", "left")
+    maybe = F.coalesce(F.expr("getbit(_bits, cast(pmod(xxhash64(`%s`), %d) %% 64 as int))" % (key, FILTER_WORDS * 64)), F.lit(0)) == 1
     marked = marked.withColumn("_maybe", maybe)
     drop = ("_word", "_bits", "_maybe")
     return marked.filter("_maybe").drop(*drop), marked.filter("not _maybe").drop(*drop)
