@@ -4,7 +4,8 @@ Fixed masks select some token positions of a short span and ignore the others,
 so a seed still matches where an ignored token was replaced.  Test and training
 text give one hash for each mask and position; equal hashes are hits.  A hit
 lays the item along a text; it counts if some window of WINDOW tokens agrees in
-LEAST of them.  Everything is DataFrame functions.
+LEAST of them.  The masks together hit every such window, whichever of its
+tokens were replaced.  Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from corpusloom.llm.common import cut, id_filter, split_by_filter
 #: Fixed masks; 1 is a compared position.
 MASKS = ("1111011", "110110111", "11011010011", "1010110101101")
 WINDOW, LEAST = 13, 10
+#: What MASKS alone leave out: with MORE every window of 13 tokens that agrees in 10 has a hit, with SHORT every item of 7 to 12 tokens that agrees as asked.
+MORE = ("11010001011", "1100011011", "111001011", "10111000011")
+SHORT = ("11111", "110111", "11010011")
 #: Benchmark tokens that one broadcast block of seeds may hold; each gives a small row per mask.
 BLOCK_TOKENS = 200_000
 
@@ -29,17 +33,17 @@ def tokens_of(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seed_rows(df: DataFrame, tokens: str, at: str) -> DataFrame:
-    """df without its tokens, with a row for each 0-based position `at` and mask: its seed.
+def _seed_rows(df: DataFrame, tokens: str, at: str, masks: tuple[str, ...], first: int = 0) -> DataFrame:
+    """df without its tokens, with a row for each 0-based position `at` and mask: its seed; masks are numbered from `first`.
 
     The token list is zipped with itself shifted, so that a position's tokens are
     columns of a row and hashing is compiled code; no row carries the list.
     """
-    spans = [F.slice(tokens, i + 1, F.greatest(F.size(tokens), F.lit(1))).alias(f"t{i}") for i in range(max(map(len, MASKS)))]
+    spans = [F.slice(tokens, i + 1, F.greatest(F.size(tokens), F.lit(1))).alias(f"t{i}") for i in range(max(map(len, masks)))]
     rest = [c for c in df.columns if c != tokens]
     rows = df.select(*rest, F.posexplode(F.arrays_zip(*spans)).alias(at, "_t"))
     seeds = []
-    for k, mask in enumerate(MASKS):
+    for k, mask in enumerate(masks, first):
         cared = [F.col(f"_t.t{i}") for i, c in enumerate(mask) if c == "1"]
         seeds.append(F.when(F.col(f"_t.t{len(mask) - 1}").isNotNull(), F.xxhash64(F.lit(k), *cared)))
     return rows.select(*rest, at, F.explode(F.array(*seeds)).alias("seed")).filter(F.col("seed").isNotNull())
@@ -57,26 +61,37 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A passage is shared if a window of 13 tokens (of the whole item, if it is
     shorter) agrees in 10 of 13 tokens, laid at a seed hit.  tokens_equal is the
-    best window's count, token_from and token_to the first and last hit.  Null
-    or empty texts, and texts shorter than the shortest mask, share nothing.
+    best window's count, n_hits the hits of MASKS, token_from and token_to the
+    first and last of them; where MASKS have none, those of the other masks.  Null
+    or empty texts, and items of fewer than 7 tokens, share nothing.
     Repeated rows count as one; rows that share a doc_id are one document.
     Other columns are ignored.  The benchmark is the stated query set: its seeds
     are broadcast in blocks of bounded size.  Of the documents only hits are
     shuffled, and the texts that have hits (a bit table of fixed size finds them).
     """
     shortest = min(map(len, MASKS))
+    items = benchmark.select("item_id", tokens_of(F.col("text")).alias("b")).filter(F.size("b") >= shortest).distinct()
     n_tokens = benchmark.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
     blocks = max(1, -(-n_tokens // BLOCK_TOKENS))
-    items = benchmark.select("item_id", tokens_of(F.col("text")).alias("b")).filter(F.size("b") >= shortest).distinct()
-    seeds = _seed_rows(items, "b", "at")
+    brief = items.filter(F.size("b") < WINDOW)
+    masks = MASKS + MORE + (SHORT if not brief.isEmpty() else ())
+    seeds = _seed_rows(items, "b", "at", MASKS).withColumn("stated", F.lit(True))
+    for frame, more, first in ((items, MORE, len(MASKS)), (brief, SHORT, len(MASKS + MORE)))[: 1 + (len(masks) > len(MASKS + MORE))]:
+        seeds = seeds.unionByName(_seed_rows(frame, "b", "at", more, first).withColumn("stated", F.lit(False)))
     texts = docs.select("doc_id", "text")
-    rows = _seed_rows(texts.select("doc_id", tokens_of(F.col("text")).alias("d")).filter(F.size("d") >= shortest), "d", "p")
+    least = min(map(len, masks))
+    rows = _seed_rows(texts.select("doc_id", tokens_of(F.col("text")).alias("d")).filter(F.size("d") >= least), "d", "p", masks)
     found = []
     for k in range(blocks):
         block = seeds if blocks == 1 else seeds.filter(F.pmod("seed", F.lit(blocks)) == k)
         found.append(rows.join(F.broadcast(block), "seed"))
-    hits = reduce(DataFrame.unionByName, found).select("doc_id", "item_id", "p", (F.col("p") - F.col("at")).alias("shift"))
-    hits = cut(hits.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("p").alias("n_hits"), F.min("p").alias("token_from"), F.max("p").alias("token_to")))
+    hits = reduce(DataFrame.unionByName, found).select("doc_id", "item_id", "p", (F.col("p") - F.col("at")).alias("shift"), "stated")
+    hits = hits.groupBy("doc_id", "item_id", "shift", "p").agg(F.max("stated").alias("stated"))
+    stated = F.when(F.col("stated"), F.col("p"))
+    hits = cut(hits.groupBy("doc_id", "item_id", "shift").agg(
+        F.count(stated).alias("n_hits"), F.min(stated).alias("token_from"), F.max(stated).alias("token_to"),
+        F.count("p").alias("n_any"), F.min("p").alias("from_any"), F.max("p").alias("to_any"),
+    ))
 
     some, _ = split_by_filter(texts, "doc_id", id_filter(hits, "doc_id"))
     laid = hits.join(items, "item_id").join(some.select("doc_id", tokens_of(F.col("text")).alias("d")), "doc_id")
@@ -88,7 +103,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         laid.filter(F.col("tokens_equal") >= F.col("need"))
         .groupBy("doc_id", "item_id")
         .agg(
-            F.max("tokens_equal").alias("tokens_equal"), F.sum("n_hits").alias("n_hits"),
-            F.min("token_from").alias("token_from"), F.max("token_to").alias("token_to"),
+            F.max("tokens_equal").alias("tokens_equal"), F.coalesce(F.nullif(F.sum("n_hits"), F.lit(0)), F.sum("n_any")).alias("n_hits"),
+            F.coalesce(F.min("token_from"), F.min("from_any")).alias("token_from"), F.coalesce(F.max("token_to"), F.max("to_any")).alias("token_to"),
         )
     )

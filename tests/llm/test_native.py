@@ -1,6 +1,7 @@
 """URL filter, chat formatting and decontamination: fixed cases and brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -151,3 +152,29 @@ def test_leaks_in_blocks(spark, monkeypatch):
     assert [r[0] for r in one] == [0, 1, 2, 3, 4]
     assert D.find_leaks(docs.limit(0), bench).count() == 0
     assert D.find_leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_masks_hit_every_window():
+    for size in range(7, D.WINDOW + 1):
+        masks = D.MASKS + D.MORE + (D.SHORT if size < D.WINDOW else ())
+        laid = [{o + i for i, c in enumerate(m) if c == "1"} for m in masks for o in range(size - len(m) + 1)]
+        for swapped in itertools.combinations(range(size), size + (-size * D.LEAST // D.WINDOW)):
+            assert any(not at & set(swapped) for at in laid), (size, swapped)
+
+
+def test_no_leak_is_missed(spark):
+    long = [f"w{k}" for k in range(59)]
+    brief = {n: [f"b{n}x{k}" for k in range(n)] for n in range(7, 13)}
+    docs = [(0, " ".join(w if k % 4 else "swapped" for k, w in enumerate(long)))]
+    for swapped in itertools.combinations(range(13), 3):
+        docs.append((len(docs), " ".join(["x"] * 3 + ["y" if k in swapped else long[k] for k in range(13)] + ["x"] * 3)))
+    for n, b in brief.items():
+        for swapped in itertools.combinations(range(n), n + (-n * D.LEAST // D.WINDOW)):
+            docs.append((len(docs), " ".join("y" if k in swapped else w for k, w in enumerate(b))))
+    one = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(99, " ".join(long))] + [(n, " ".join(b)) for n, b in brief.items()], "item_id long, text string")
+    rows = D.find_leaks(one, bench).collect()
+    assert {r["doc_id"] for r in rows} == {i for i, _ in docs}
+    assert all(r["n_hits"] > 0 and r["token_from"] <= r["token_to"] for r in rows)
+    # without short items too, where SHORT isn't asked
+    assert D.find_leaks(one, bench.filter("item_id = 99")).count() == 1 + 286
