@@ -128,6 +128,14 @@ def test_html_blocks(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_unclosed_elements():
+    texts = lambda page: [b[0] for b in html_extract.blocks(page)]
+    for tag in ("<embed src=x>", "<iframe src=x>", "<object data=x>", "<video src=x>", "<canvas>", "<math>", "<iframe src=x/>"):
+        assert texts(f"<article><p>a</p>{tag}<p>b</p></article>") == ["a", "b"]
+        assert texts(f"<p>a</p>{tag}<p>b</p><iframe>no</iframe><p>c</p>") == ["a", "b", "c"]
+    assert texts("<p>a</p><object>x<object>y</object>z</object><p>b</p><svg/><p>c</p><svg><svg/><text>d</text></svg><script>e") == ["a", "b", "c"]
+
+
 def test_html_repeated_runs_of_a_host(spark):
     rng = random.Random(2)
     text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(30))
