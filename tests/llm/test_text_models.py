@@ -147,6 +147,20 @@ def test_html_repeated_runs_of_a_host(spark):
     assert got[100] == "Welcome to our lovely site today alone"
 
 
+def test_html_repeats_over_shards(spark, monkeypatch):
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    own, twice, brief = [text(30) for _ in range(24)], [text(8) for _ in range(12)], [text(2) for _ in range(12)]
+    pages = [(i, f"http://h.org/{i}", f"<p>{brief[i % 12]}</p><p>{t}</p><p>{twice[i % 12]}</p><p>seen once {i}</p>") for i, t in enumerate(own)]
+    pages += [pages[0], (50, "http://h.org/x", "<article>kept</article><p>" + own[3] + "</p>"), (51, "http://h.org/y", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    one = sorted((r["page_id"], r["text"]) for r in html_extract.extract(df).collect())
+    monkeypatch.setattr(html_extract, "SHARD_PAGES", 2)
+    many = sorted((r["page_id"], r["text"]) for r in html_extract.extract(df).collect())
+    assert many == one
+    assert dict(one)[1] == f"{own[1]} seen once 1" and dict(one)[3] == "seen once 3" and len(one) == len(pages)
+
+
 def test_suffix_array_by_sorting():
     rng = random.Random(4)
     for _ in range(30):
