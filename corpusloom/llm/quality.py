@@ -26,6 +26,8 @@ FIT_ROWS = 6_000
 #: Words of a text that are handled at once.
 BLOCK = 1 << 18
 MEMO = 400_000
+#: Letters of one piece: a longer word is broken into consecutive pieces, each a word of its own.
+PIECE = 256
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"^(\W*)(.*?)(\W*)$", re.DOTALL)
@@ -34,15 +36,15 @@ _WORD = re.compile(r"^(\W*)(.*?)(\W*)$", re.DOTALL)
 def _shape(word: str) -> str:
     lead, body, tail = _WORD.match(word).groups()
     kind = "" if not body else "0" if body.isdigit() else "X" if len(body) > 1 and body.isupper() else "Xx" if body[:1].isupper() else "x" if body.isalpha() else "m"
-    return f"{lead[:6]}{kind}{tail[:6]}"
+    return f"{lead}{kind}{tail}"
 
 
 class _Words(dict):
     """word -> hash of the word, with the hash of its shape in the low 32 bits."""
 
     def __missing__(self, word: str) -> int:
-        whole = xxhash.xxh64_intdigest(word[:256].lower()) & 0xFFFFFFFF
-        value = whole << 32 | xxhash.xxh32_intdigest(_shape(word[:256]))
+        whole = xxhash.xxh64_intdigest(word.lower()) & 0xFFFFFFFF
+        value = whole << 32 | xxhash.xxh32_intdigest(_shape(word))
         if len(self) >= MEMO:
             self.clear()
         if len(word) <= 64:
@@ -53,9 +55,16 @@ class _Words(dict):
 _words = _Words()
 
 
+def pieces(words: list[str]) -> list[str]:
+    """words with each one over PIECE letters broken up, without loss."""
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[at : at + PIECE] for w in words for at in range(0, len(w), PIECE)]
+
+
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct feature numbers of a whole text (the first is the bias)."""
-    words, top, out = (text or "").split(), np.uint64(64 - BITS), [np.zeros(1, np.int64)]
+    words, top, out = pieces((text or "").split()), np.uint64(64 - BITS), [np.zeros(1, np.int64)]
     with np.errstate(over="ignore"):
         for at in range(0, len(words), BLOCK):
             part = words[max(0, at - 2) : at + BLOCK]

@@ -47,6 +47,15 @@ def test_profile_distance_by_hand():
     assert len(codes) == len(by_hand)
 
 
+def test_quality_reads_long_words_whole():
+    start, parts = "汉" * 256, ["字" * 256, "word。" * 60, "Z" * 70]
+    assert quality.pieces(["a", start + "".join(parts)]) != ["a", start + "".join(parts)]
+    assert "".join(quality.pieces(["a", start + "".join(parts)])) == "a" + start + "".join(parts)
+    seen = {quality.features(start + p).tobytes() for p in ["", *parts]}
+    assert len(seen) == 4
+    assert len({quality.features("x" * 1000 + end).tobytes() for end in ("", "!", "!!!!!!!", "!!!!!!!!")}) == 4
+
+
 def test_quality_held_out(spark, sf_dir):
     out = queries.op6_quality(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
     rows = out.filter("held_out").collect()
