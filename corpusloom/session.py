@@ -39,3 +39,19 @@ def ship_code(spark: SparkSession) -> None:
             z.write(f, f"corpusloom/{f.relative_to(here)}")
     sc.addPyFile(str(target))
     sc._corpusloom_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    A temporary folder stands in where neither is set and the session is local; a cluster's executors couldn't see it.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="corpusloom-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named
