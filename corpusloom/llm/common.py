@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import shared_dir
+
 #: Words of an id filter, of 64 bits each: 2 MB of bits at any size of the data.
 FILTER_WORDS = 1 << 18
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named is None:
-        named = tempfile.mkdtemp(prefix="corpusloom-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: short lineage, safe from lost executors."""
     spark = df.sparkSession

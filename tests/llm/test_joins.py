@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from corpusloom.llm import embedding_dedup, jaccard_join
+from corpusloom.llm import embedding_dedup, jaccard_join, shingles
 from corpusloom.llm.common import connected_components, without_ids
 
 
@@ -76,19 +77,54 @@ def test_jaccard_repeated_ids_and_empty(spark):
 
 
 @pytest.mark.parametrize("n", [1, 2, 6, 7, 19, 20, 60, 400])
-def test_first_columns_meet(n):
-    """Two sets at the similarity share a first column, whatever is common."""
+def test_blocks_share_what_is_asked(n):
+    """Two sets at the similarity share as many columns of their blocks as the join asks for, whatever is common."""
     rng = np.random.default_rng(n)
     for _ in range(50):
         x = rng.integers(0, 1 << 63, n).astype(np.uint64)
         gone = rng.integers(0, n - -(-85 * n // 100) + 1)
         y = np.unique(np.concatenate([x[gone:], rng.integers(0, 1 << 63, n // 7).astype(np.uint64)]))
         x = np.unique(x)
-        common = np.sort(rng.choice(np.union1d(x, y), size=min(n, 5), replace=False))
-        level = rng.integers(1, 4, len(common))
+        order = jaccard_join.Order(rng.choice(np.union1d(x, y), size=min(n, 5), replace=False), rng.integers(8, 90, min(n, 5)).astype(float))
         both = len(np.intersect1d(x, y))
         if 100 * both >= 85 * (len(x) + len(y) - both):
-            assert len(np.intersect1d(jaccard_join.first_columns(x, common, level)[0], jaccard_join.first_columns(y, common, level)[0]))
+            bx, by = x[jaccard_join.block(order.level(x))].tolist(), y[jaccard_join.block(order.level(y))].tolist()
+            o = -(-85 * (len(x) + len(y)) // 185)
+            asked = min(o, len(bx) - (len(x) - o), len(by) - (len(y) - o))
+            ranks = [max(bx.index(c) - (len(x) - o), by.index(c) - (len(y) - o)) + 1 for c in set(bx) & set(by)]
+            assert asked >= 1 and sum(r <= asked for r in ranks) >= asked and min(ranks) <= 1
+
+
+def test_shingle_sets_are_those_of_the_words(monkeypatch):
+    rng = random.Random(5)
+    letters = "aAbZ \t\n\x0b\x0c\r \u00e9\u00a0\u3000\u00df"
+    texts = [None, "", " "] + ["".join(rng.choice(letters) for _ in range(rng.choice([1, 3, 10, 50, 700]))) for _ in range(200)] + ["x" * 5000, "X" * 5000 + " y"]
+    want = [sets(t) for t in texts]
+    for size in (7, 64, 1 << 17):
+        monkeypatch.setattr(shingles, "BLOCK", size)
+        got = [s for _, h, o in shingles.shingle_sets(pa.array(texts), 4) for s in np.split(h, o[1:-1])]
+        assert [len(s) for s in got] == [len(s) for s in want]
+        for _ in range(3000):
+            a, b = rng.randrange(len(texts)), rng.randrange(len(texts))
+            assert len(np.intersect1d(got[a], got[b])) == len(want[a] & want[b])
+
+
+def test_jaccard_hot_columns(spark, monkeypatch):
+    """A large group of near copies, dealt under salts and verified under salts, is one component; so are its stragglers."""
+    monkeypatch.setattr(jaccard_join, "HOT", 3)
+    monkeypatch.setattr(jaccard_join, "PARTNERS", 16)
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for i in range(160):
+        d = list(base)
+        for _ in range(rng.randrange(4)):
+            d[rng.randrange(len(d))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(d)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    s = {i: sets(t) for i, t in rows}
+    want = union(list(s), [(a, b) for a in s for b in s if a < b and 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b])])
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.join_components(df).collect()} == want
 
 
 def test_components(spark):
