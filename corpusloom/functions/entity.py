@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,20 @@ from pyspark.sql import functions as F
 FOLD_FROM = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
 FOLD_TO = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
 
+#: Letters of other alphabets and ligatures, and how they are romanised (lower case; a capital gives a capital).
+ROMAN = {
+    "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ð": "d", "þ": "th", "ł": "l", "đ": "d", "ı": "i",
+    "ā": "a", "ă": "a", "ą": "a", "ć": "c", "č": "c", "ď": "d", "ē": "e", "ė": "e", "ę": "e", "ě": "e", "ğ": "g", "ģ": "g", "ī": "i", "į": "i", "ķ": "k",
+    "ļ": "l", "ľ": "l", "ń": "n", "ň": "n", "ņ": "n", "ō": "o", "ő": "o", "ŕ": "r", "ř": "r", "ś": "s", "š": "s", "ş": "s", "ș": "s", "ť": "t", "ţ": "t", "ț": "t",
+    "ū": "u", "ů": "u", "ű": "u", "ų": "u", "ź": "z", "ż": "z", "ž": "z",
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o",
+    "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e",
+    "ю": "iu", "я": "ia", "є": "ie", "і": "i", "ї": "yi", "ґ": "g",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o",
+    "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+    "ά": "a", "έ": "e", "ή": "e", "ί": "i", "ό": "o", "ύ": "u", "ώ": "o", "ϊ": "i", "ϋ": "u",
+}
+
 #: Fixed values, applied in this order.
 DEFANG = [
     ("[.]", "."), ("(dot)", "."), ("[dot]", "."), (" dot ", "."), (" (at) ", "@"), ("[at]", "@"), ("{at}", "@"), (" at ", "@"),
@@ -33,23 +49,44 @@ THRESHOLDS = {"PER": 0.35, "ORG": 0.50, "LOC": 0.50, "DATE": 0.45, "MONEY": 0.55
 OTHER_THRESHOLD = 0.50
 
 
+def _romans() -> tuple[str, str, list[tuple[str, str]]]:
+    """Letters that give one letter, what they give, and the replacements of the others."""
+    both = {k: v for low, v in ROMAN.items() for k, v in ((low, v), (low.upper(), v.capitalize())) if len(k) == 1}
+    one = {k: v for k, v in both.items() if len(v) == 1}
+    return FOLD_FROM + "".join(one), FOLD_TO + "".join(one.values()), [(k, v) for k, v in both.items() if len(v) != 1]
+
+
 def fold(text: Column) -> Column:
-    folded = F.translate(text, FOLD_FROM, FOLD_TO)
-    for a, b in (("ß", "ss"), ("æ", "ae"), ("Æ", "AE"), ("œ", "oe"), ("Œ", "OE")):
+    """ASCII for letters with marks and for Cyrillic and Greek ones; letters of other scripts stay."""
+    old, new, others = _romans()
+    folded = F.translate(text, old, new)
+    for a, b in others:
         folded = F.replace(folded, F.lit(a), F.lit(b))
-    return folded
+    return F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), folded).otherwise(text)
 
 
 def normalize_entity(text: Column, keep_marks: bool = False) -> Column:
-    """ASCII letters, lower case, trimmed; punctuation goes unless keep_marks."""
+    """Folded letters, lower case, trimmed; punctuation goes unless keep_marks."""
     out = fold(text)
     if not keep_marks:
-        out = F.regexp_replace(out, r"[^A-Za-z0-9_\s]", "")
+        out = F.regexp_replace(out, r"[^\p{L}\p{M}\p{N}_\s]", "")
     return F.trim(F.lower(out))
 
 
+def normalize_sql(text: str) -> str:
+    """normalize_entity as DuckDB SQL."""
+    old, new, others = _romans()
+    out = f"translate({text}, '{old}', '{new}')"
+    for a, b in others:
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"trim(lower(regexp_replace({out}, '[^\\pL\\pM\\pN_\\s]', '', 'g')))"
+
+
 def entity_id(label: Column, text: Column) -> Column:
-    return F.substring(F.sha2(F.concat(label, F.lit(":"), normalize_entity(text)), 256), 1, 12)
+    """Twelve hex digits of the label and the normal form; a text of punctuation alone stands for itself."""
+    norm = normalize_entity(text)
+    name = F.when(norm == "", F.trim(text)).otherwise(norm)
+    return F.substring(F.sha2(F.concat(label, F.lit(":"), name), 256), 1, 12)
 
 
 def defang(text: Column) -> Column:
@@ -160,8 +197,15 @@ def passes_threshold(label: Column, score: Column, override: float | None = None
     return score >= F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in THRESHOLDS.items() for x in kv]), label), F.lit(OTHER_THRESHOLD))
 
 
-def ascii_boundary(pattern: str) -> str:
-    r"""The pattern with \b rewritten so that only ASCII letters, digits and '_' are word characters."""
+def ascii_boundary(pattern: str, first: bool = False, last: bool = False) -> str:
+    r"""The pattern with \b rewritten so that only ASCII letters, digits and '_' are word characters.
+
+    first, last: whether a \b at that end stands beside a word character of the pattern, so that looking to one side is enough.
+    """
+    if first:
+        pattern = re.sub(r"^(\(\?i\))?\\b", lambda m: (m[1] or "") + r"(?<!\w)", pattern)
+    if last and pattern.endswith(r"\b"):
+        pattern = pattern[:-2] + r"(?!\w)"
     return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
 
 

@@ -1,9 +1,13 @@
-"""Column expressions over document text. All run inside Spark's code generation; none needs Python."""
+"""Column expressions over document text. They run inside Spark's code generation; only the decoding of character references needs Python."""
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The words that the language heuristic looks for.
 SPANISH = ["el", "la", "de", "que", "y", "a", "en", "un", "ser", "se"]
@@ -135,12 +139,15 @@ def source_type(text: Column) -> Column:
     return F.when(best["confidence"] > 0, best)
 
 
+@F.pandas_udf(T.StringType())
+def _unescape(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
 def html_text(page: Column, drop_scripts: bool = False) -> Column:
-    """All text nodes without separators, character references decoded, runs of white space as one space."""
+    """All text nodes without separators, named and numeric character references decoded, runs of white space as one space."""
     out = F.regexp_replace(page, r"(?s)<!--.*?-->", "")
     if drop_scripts:
         out = F.regexp_replace(out, r"(?is)<(script|style)\b[^>]*>.*?</(?:script|style)\s*>", "")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", "")
-    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(ref), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return F.trim(F.regexp_replace(_unescape(out), r"(?U)\s+", " "))

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 
-@udtf(returnType="chunk_index: bigint, text: string")
+@udtf(returnType="chunk_index: bigint, text: string", useArrow=True)
 class ChunkOverlap:
     def eval(self, text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
         at, k = 0, 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,27 +103,16 @@ def sentences(text: Column) -> Column:
 
 
 def pack_sentences(docs: DataFrame, size: int = 1000) -> DataFrame:
-    """(doc_id, chunk_index, text): sentences packed greedily; a new chunk where the next one would exceed `size` characters.
+    """(doc_id, chunk_index, text): sentences packed greedily; a new chunk where the next one would exceed `size` characters."""
+    none = F.struct(F.lit("").alias("held"), F.array().cast("array<string>").alias("done"))
 
-    The packing is a fold over one document's sentences, done in order inside the task.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for doc, parts in zip(frame["doc_id"], frame["s"], strict=True):
-                k, held, length = 0, [], 0
-                for s in parts:
-                    if held and length + 1 + len(s) > size:
-                        rows.append((doc, k, " ".join(held)))
-                        k, held, length = k + 1, [], 0
-                    length += len(s) + (1 if held else 0)
-                    held.append(s)
-                if held:
-                    rows.append((doc, k, " ".join(held)))
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text"])
+    def step(acc: Column, s: Column) -> Column:
+        joined = F.when(acc["held"] == "", s).otherwise(F.concat(acc["held"], F.lit(" "), s))
+        full = (acc["held"] != "") & (F.length(joined) > size)
+        return F.struct(F.when(full, s).otherwise(joined).alias("held"), F.when(full, F.concat(acc["done"], F.array(acc["held"]))).otherwise(acc["done"]).alias("done"))
 
-    return docs.select("doc_id", sentences(F.col("text")).alias("s")).mapInPandas(run, "doc_id long, chunk_index long, text string")
+    packed = F.aggregate(sentences(F.col("text")), none, step, lambda acc: F.when(acc["held"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["held"]))))
+    return docs.select("doc_id", F.posexplode(packed).alias("chunk_index", "text")).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
 
 
 def turn_groups(segments: DataFrame) -> DataFrame:
@@ -133,31 +122,61 @@ def turn_groups(segments: DataFrame) -> DataFrame:
     return segments.withColumn("_new", changed).withColumn("turn", F.sum("_new").over(w) - 1).drop("_new")
 
 
-def chunk_turns(segments: DataFrame, size: int = 1500) -> DataFrame:
-    """(doc_id, chunk_index, speaker, text, first_segment, last_segment): turns joined up to `size` characters, longer ones cut."""
-    turns = turn_groups(segments)
+def chunk_turns(segments: DataFrame, size: int = 1500, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, chunk_index, speaker, text, first_segment, last_segment): turns joined up to `size` characters, longer ones cut.
+
+    Documents of docs (doc_id, text) that have no segments are cut into fixed pieces, without speaker and segments.
+    A null segment text is empty.  Conversations stand one after another in a sorted partition.
+    """
+    turns = turn_groups(segments).select("doc_id", "seg_index", "speaker", F.coalesce("text", F.lit("")).alias("text"), "turn")
+    kinds = [("chunk_index", pa.int64()), ("text", pa.string()), ("speaker", pa.string()), ("first_segment", pa.int64()), ("last_segment", pa.int64())]
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        held: list[str] = []
-        first = last = 0
+        doc, turn, count, held, length, places = None, None, 0, [], 0, []
         speaker = None
 
         def flush() -> None:
+            nonlocal count, length
             if held:
                 joined = f"[{speaker}]: " + " ".join(held)
-                rows.extend((joined[at : at + size], speaker, first, last) for at in range(0, len(joined), size))
+                for at in range(0, len(joined), size):
+                    rows.append((doc, count, joined[at : at + size], speaker, places[0], places[-1]))
+                    count += 1
                 held.clear()
-
-        turn = None
-        for seg, who, text, t in frame.sort_values("seg_index")[["seg_index", "speaker", "text", "turn"]].itertuples(index=False):
-            if held and (t != turn or sum(map(len, held)) + len(text or "") > size):
-                flush()
-            if not held:
-                first, speaker, turn = seg, who, t
-            last = seg
-            held.append(text or "")
+                places.clear()
+                length = 0
+
+        def made() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], id_type), *(pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(kinds, 1))], names=["doc_id", *(n for n, _ in kinds)]
+            )
+            rows.clear()
+            return out
+
+        id_type = None
+        for batch in batches:
+            id_type = batch["doc_id"].type
+            for r in batch.to_pylist():
+                if held and (r["doc_id"] != doc or r["turn"] != turn or length + len(r["text"]) > size):
+                    flush()
+                if r["doc_id"] != doc:
+                    doc, count = r["doc_id"], 0
+                if not held:
+                    speaker, turn = r["speaker"], r["turn"]
+                held.append(r["text"])
+                places.append(r["seg_index"])
+                length += len(r["text"])
+            if rows:
+                yield made()
         flush()
-        return pd.DataFrame([(frame["doc_id"].iloc[0], k, *r) for k, r in enumerate(rows)], columns=["doc_id", "chunk_index", "text", "speaker", "first_segment", "last_segment"])
-
-    return turns.groupBy("doc_id").applyInPandas(fold, "doc_id long, chunk_index long, text string, speaker string, first_segment long, last_segment long")
+        if rows:
+            yield made()
+
+    kind = segments.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, chunk_index long, text string, speaker string, first_segment long, last_segment long"
+    out = turns.repartition("doc_id").sortWithinPartitions("doc_id", "seg_index").mapInArrow(run, schema)
+    if docs is not None:
+        plain = chunk_fixed(docs.select("doc_id", "text").join(segments.select("doc_id").distinct(), "doc_id", "left_anti"), size)
+        out = out.unionByName(plain.select("doc_id", "chunk_index", "text"), allowMissingColumns=True)
+    return out

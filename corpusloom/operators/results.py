@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,43 +43,39 @@ def cache_split(items: DataFrame, cache: DataFrame, dimension: int) -> tuple[Dat
 
 
 def embed_texts(items: DataFrame, cache: DataFrame, embed: Callable[[list[str]], list[list[float]]], dimension: int, batch: int = 32) -> DataFrame:
-    """(key, text) -> key, embedding, degraded: the cache first, each missing text once, in batches; a failed batch is degraded."""
+    """(key, text) -> key, embedding, degraded: the cache first, each missing text once, in batches.
+
+    A batch that fails, and a vector of another size, is empty and degraded.
+    """
     hits, misses = cache_split(items, cache, dimension)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            texts, made = part["text"].to_pylist(), []
+            for at in range(0, len(texts), batch):
+                some = texts[at : at + batch]
                 try:
-                    made = embed(part["text"].tolist())
+                    made += embed(some)
                 except Exception:
-                    made = [[] for _ in range(len(part))]
-                rows += [(k, v if len(v) == dimension else [], len(v) != dimension) for k, v in zip(part["key"], made, strict=True)]
-            yield pd.DataFrame(rows, columns=["key", "embedding", "degraded"])
-
-    fresh = misses.select("key", "text").mapInPandas(run, "key string, embedding array<float>, degraded boolean")
-    return hits.select("key", "embedding", F.lit(False).alias("degraded")).distinct().unionByName(fresh)
-
+                    made += [[]] * len(some)
+            good = [list(v) if len(v) == dimension else [] for v in made]
+            yield pa.RecordBatch.from_arrays([part["key"], pa.array(good, pa.list_(pa.float32())), pa.array([not v for v in good])], names=["key", "embedding", "degraded"])
 
-def hashed_bag(dimension: int = 64) -> Callable[[list[str]], list[list[float]]]:
-    """A deterministic stand-in for an embedding model: a unit vector of hashed words."""
+    fresh = misses.select("key", "text").mapInArrow(run, "key string, embedding array<float>, degraded boolean")
+    return hits.select("key", "embedding", F.lit(False).alias("degraded")).dropDuplicates(["key"]).unionByName(fresh)
 
-    def embed(texts: list[str]) -> list[list[float]]:
-        import zlib
 
-        import numpy as np
+def embedding_status(parts: DataFrame) -> DataFrame:
+    """(doc_id, degraded) rows -> (doc_id, n, n_degraded, status): a document none of whose parts got a vector has failed."""
+    g = parts.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.coalesce("degraded", F.lit(True))).alias("n_degraded"))
+    status = F.when(F.col("n_degraded") == F.col("n"), "failed").when(F.col("n_degraded") > 0, "degraded").otherwise("ok")
+    return g.withColumn("status", status)
 
-        out = []
-        for t in texts:
-            v = np.zeros(dimension)
-            for w in t.split():
-                v[zlib.crc32(w.encode()) % dimension] += 1.0
-            n = float(np.sqrt((v * v).sum()))
-            out.append((v / n if n else v).tolist())
-        return out
 
-    return embed
+def all_or_error(status: DataFrame) -> DataFrame:
+    """status, whose failed documents raise an error where the rows are computed: total failure isn't a result."""
+    message = F.concat(F.lit("no vector for any part of document "), F.col("doc_id").cast("string"))
+    return status.withColumn("status", F.when(F.col("status") == "failed", F.raise_error(message).cast("string")).otherwise(F.col("status")))
 
 
 def normalize_vector(v: Column, dimension: int) -> tuple[Column, Column]:
@@ -190,12 +187,16 @@ def page_repair(pages: DataFrame, budget: int = 50) -> DataFrame:
     )
 
 
+def facts_line(chunks: DataFrame) -> Column:
+    """A passage as a prompt states it, with its id and number of facts."""
+    budget = F.when(chunks["words"] < 200, 1).when(chunks["words"] < 500, 2).otherwise(3)
+    return F.concat(F.lit("["), chunks["chunk_id"], F.lit("] max facts: "), budget.cast("string"), F.lit("\n"), chunks["text"])
+
+
 def facts_prompt(chunks: DataFrame, group: int = 3) -> DataFrame:
     """(doc_id, group, prompt): passages in groups, each with its id and number of facts."""
-    budget = F.when(F.col("words") < 200, 1).when(F.col("words") < 500, 2).otherwise(3)
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index")) - 1
-    line = F.concat(F.lit("["), F.col("chunk_id"), F.lit("] max facts: "), budget.cast("string"), F.lit("\n"), F.col("text"))
-    g = chunks.withColumn("group", F.floor(n / group).cast("long")).withColumn("line", line)
+    g = chunks.select("doc_id", "chunk_index", F.floor(n / group).cast("long").alias("group"), facts_line(chunks).alias("line"))
     parts = F.array_sort(F.collect_list(F.struct("chunk_index", "line")))
     return g.groupBy("doc_id", "group").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n---\n").alias("prompt"))
 
@@ -241,17 +242,42 @@ def facts_parse(replies: DataFrame, least: float | None = None) -> DataFrame:
     return out if least is None else out.filter(F.col("confidence") >= least)
 
 
-def ask_model(prompts: DataFrame, answer: Callable[[str], str]) -> DataFrame:
-    """(doc_id, chunk_id, prompt) -> reply; a prompt that fails gets a null reply."""
+def ask_model(prompts: DataFrame, answer: Callable[[str], str], keep: tuple[str, ...] = ("doc_id", "chunk_id")) -> DataFrame:
+    """(keep, prompt) -> keep, reply; a prompt that fails gets a null reply."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
             made = []
-            for p in frame["prompt"]:
+            for prompt in part["prompt"].to_pylist():
                 try:
-                    made.append(answer(p))
+                    made.append(answer(prompt))
                 except Exception:
                     made.append(None)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "chunk_id": frame["chunk_id"], "reply": made})
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), pa.array(made, pa.string())], names=[*keep, "reply"])
+
+    schema = ", ".join(f"`{c}` {prompts.schema[c].dataType.simpleString()}" for c in keep)
+    return prompts.select(*keep, "prompt").mapInArrow(run, f"{schema}, reply string")
 
-    return prompts.select("doc_id", "chunk_id", "prompt").mapInPandas(run, "doc_id long, chunk_id string, reply string")
+
+def ask_once(prompts: DataFrame, cache: DataFrame, answer: Callable[[str], str]) -> DataFrame:
+    """(doc_id, chunk_id, key, prompt) and cached (key, reply) -> doc_id, chunk_id, reply, cached: each missing key is asked once."""
+    known = cache.filter("reply is not null").select("key", "reply").dropDuplicates(["key"])
+    misses = prompts.join(known, "key", "left_anti").select("key", "prompt").dropDuplicates(["key"])
+    fresh = ask_model(misses, answer, ("key",))
+    replies = known.withColumn("cached", F.lit(True)).unionByName(fresh.withColumn("cached", F.lit(False)))
+    return prompts.join(replies, "key").select("doc_id", "chunk_id", "reply", "cached")
+
+
+def ask_in_groups(chunks: DataFrame, answer: Callable[[str], str], group: int = 3) -> DataFrame:
+    """(doc_id, chunk_index, chunk_id, words, text) -> doc_id, chunk_id, reply, single: chunks are asked in groups.
+
+    Every chunk of a group whose prompt fails is asked again by itself; chunk_id of a group's reply is that of its first chunk.
+    """
+    asked = ask_model(facts_prompt(chunks, group), answer, ("doc_id", "group"))
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index")) - 1
+    member = chunks.withColumn("group", F.floor(n / group).cast("long"))
+    first = member.groupBy("doc_id", "group").agg(F.min_by("chunk_id", "chunk_index").alias("chunk_id"))
+    good = asked.filter("reply is not null").join(first, ["doc_id", "group"]).select("doc_id", "chunk_id", "reply", F.lit(False).alias("single"))
+    again = member.join(asked.filter("reply is null").select("doc_id", "group"), ["doc_id", "group"])
+    alone = ask_model(again.select("doc_id", "chunk_id", facts_line(again).alias("prompt")), answer)
+    return good.unionByName(alone.withColumn("single", F.lit(True)))

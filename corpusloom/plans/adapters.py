@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.entity import normalize_sql
 from corpusloom.operators.chunking import chunk_fixed, chunk_overlap
 from corpusloom.plans.registry import table
 
@@ -104,9 +105,9 @@ steps AS (
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, chunk_id, idx, text, confidence, words): the first five lines of each chunk as facts, with a confidence from a hash."""
+    """(doc_id, chunk_id, idx, text, confidence, words): the lines of each chunk as facts, with a confidence from a hash."""
     c = chunks(spark, sf_dir)
-    lines = F.slice(F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0), 1, 5)
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0)
     words = F.size(F.filter(F.split("text", "[ \n]"), lambda x: x != "")).cast("long")
     f = c.select("doc_id", "chunk_id", words.alias("words"), F.posexplode(lines).alias("idx", "text"))
     confidence = (F.conv(F.substring(F.sha2("text", 256), 1, 4), 16, 10).cast("long") % 100) / 100.0
@@ -119,32 +120,47 @@ FACTS = (
 facts AS (
   SELECT doc_id, chunk_id, (i - 1)::BIGINT AS idx, lines[i] AS text, (('0x' || substr(sha256(lines[i]), 1, 4))::BIGINT % 100) / 100.0::DOUBLE AS confidence, words
   FROM (SELECT doc_id, chunk_id, lines, words, unnest(range(1, len(lines) + 1)) AS i FROM (
-    SELECT doc_id, chunk_id, (list_filter(string_split(text, chr(10)), lambda x: length(x) > 0))[1:5] AS lines,
+    SELECT doc_id, chunk_id, list_filter(string_split(text, chr(10)), lambda x: length(x) > 0) AS lines,
       len(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> ''))::BIGINT AS words FROM chunks)))
 """
 )
 
 
+#: Labels that entities get in turn, and the letters by which every fifth name is written in another alphabet.
+LABELS = ["ORG", "PER", "LOC", "ORG", "MISC"]
+LATIN, CYRILLIC = "abcdefghijklmnoprstuvyz", "абцдефгхийклмнопрстувыз"
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, chunk_id, label, text, confidence, start, end): capitalised words of a chunk of 7 letters or more as entities of label ORG."""
+    """(doc_id, chunk_id, label, text, confidence, start, end): capitalised words of a chunk of 7 letters or more as entities.
+
+    The label follows the word's hash.  Every fifth word is written in Cyrillic letters and every seventh gets a mark,
+    so that normal forms are more than lower case.
+    """
     c = chunks(spark, sf_dir)
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{6,}"), F.lit(0)))
-    e = c.select("doc_id", "chunk_id", "start_offset", F.col("text").alias("body"), F.explode(found).alias("text"))
-    confidence = (F.conv(F.substring(F.sha2(F.concat("chunk_id", "text"), 256), 1, 4), 16, 10).cast("long") % 100) / 100.0
-    start = F.col("start_offset") + F.instr("body", F.col("text")) - 1
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{Ll}{6,}"), F.lit(0)))
+    e = c.select("doc_id", "chunk_id", "start_offset", F.col("text").alias("body"), F.explode(found).alias("word"))
+    share = lambda col: F.conv(F.substring(F.sha2(col, 256), 1, 4), 16, 10).cast("long")
+    code = share(F.col("word"))
+    start = F.col("start_offset") + F.instr("body", F.col("word")) - 1
+    name = F.when(code % 5 == 0, F.translate("word", LATIN, CYRILLIC)).when(code % 7 == 0, F.concat("word", F.lit("’s"))).otherwise(F.col("word"))
     return e.select(
-        "doc_id", "chunk_id", F.lit("ORG").alias("label"), "text", confidence.alias("confidence"), start.cast("long").alias("start"),
-        (start + F.length("text")).cast("long").alias("end"),
+        "doc_id", "chunk_id", F.element_at(F.array(*map(F.lit, LABELS)), (code % 5 + 1).cast("int")).alias("label"), name.alias("text"),
+        ((share(F.concat("chunk_id", "word")) % 100) / 100.0).alias("confidence"), start.cast("long").alias("start"), (start + F.length("word")).cast("long").alias("end"),
     )
 
 
 ENTITIES = (
     CHUNKS
-    + """,
+    + f""",
+words AS (
+  SELECT doc_id, chunk_id, start_offset, body, w, ('0x' || substr(sha256(w), 1, 4))::BIGINT AS code
+  FROM (SELECT doc_id, chunk_id, start_offset, text AS body, unnest(list_distinct(regexp_extract_all(text, '\\p{{Lu}}\\p{{Ll}}{{6,}}'))) AS w FROM chunks)),
+named AS (
+  SELECT doc_id, chunk_id, {LABELS}[code % 5 + 1] AS label, CASE WHEN code % 5 = 0 THEN translate(w, '{LATIN}', '{CYRILLIC}') WHEN code % 7 = 0 THEN w || '’s' ELSE w END AS text,
+    (('0x' || substr(sha256(chunk_id || w), 1, 4))::BIGINT % 100) / 100.0::DOUBLE AS confidence,
+    (start_offset + instr(body, w) - 1)::BIGINT AS start, (start_offset + instr(body, w) - 1 + length(w))::BIGINT AS "end" FROM words),
 entities AS (
-  SELECT doc_id, chunk_id, 'ORG' AS label, w AS text, (('0x' || substr(sha256(chunk_id || w), 1, 4))::BIGINT % 100) / 100.0::DOUBLE AS confidence,
-    (start_offset + instr(body, w) - 1)::BIGINT AS start, (start_offset + instr(body, w) - 1 + length(w))::BIGINT AS "end",
-    substr(sha256('ORG:' || lower(w)), 1, 12) AS entity_id
-  FROM (SELECT doc_id, chunk_id, start_offset, text AS body, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{6,}'))) AS w FROM chunks))
+  SELECT *, substr(sha256(label || ':' || norm), 1, 12) AS entity_id FROM (SELECT *, {normalize_sql("text")} AS norm FROM named))
 """
 )

@@ -56,19 +56,33 @@ def cache_split(spark, d):
     return hits.agg(F.count("*").alias("n")).select(F.lit("hit").alias("kind"), "n").unionByName(misses.agg(F.count("*").alias("n")).select(F.lit("miss").alias("kind"), "n"))
 
 
-@query("embed_chunks")
+def _length_vectors(texts):
+    """An embedding for the plug point that SQL can state: the text's length 64 times, and a vector too short for lengths that 7 divides."""
+    return [[float(len(t))] * (63 if len(t) % 7 == 0 else 64) for t in texts]
+
+
+_KEYED = f"""
+WITH {A.CHUNKS}, {_VEC}, k AS (SELECT c.*, sha256(text) AS key FROM chunks c),
+cached AS (SELECT DISTINCT key FROM k JOIN v USING (doc_id, chunk_id) WHERE len(embedding) = 64),
+made AS (SELECT k.key, any_value(length(text)) AS n, bool_or(cached.key IS NOT NULL) AS hit FROM k LEFT JOIN cached USING (key) GROUP BY k.key)
+"""
+
+
+@query("embed_chunks", _KEYED + "SELECT key, CASE WHEN hit OR n % 7 <> 0 THEN 64 ELSE 0 END::BIGINT AS dimension, NOT hit AND n % 7 = 0 AS degraded FROM made")
 def embed_chunks(spark, d):
     k = A.chunks(spark, d).select("doc_id", "chunk_id", "text").withColumn("key", F.sha2("text", 256))
     cache = k.join(A.vectors(spark, d), ["doc_id", "chunk_id"]).select("key", "embedding").dropDuplicates(["key"])
-    return R.embed_texts(k, cache, R.hashed_bag(64), 64).select("key", F.size("embedding").cast("long").alias("dimension"), "degraded")
+    return R.embed_texts(k, cache, _length_vectors, 64).select("key", F.size("embedding").cast("long").alias("dimension"), "degraded")
 
 
-@query("embed_inferences")
+@query("embed_inferences", f"""
+WITH {A.FACTS} SELECT doc_id, count(*) AS n, count(*) FILTER (length(text) % 7 = 0) AS n_degraded,
+CASE WHEN count(*) = count(*) FILTER (length(text) % 7 = 0) THEN 'failed' WHEN count(*) FILTER (length(text) % 7 = 0) > 0 THEN 'degraded' ELSE 'ok' END AS status FROM facts GROUP BY doc_id""")
 def embed_inferences(spark, d):
-    k = A.facts(spark, d).select("doc_id", "chunk_id", "idx", "text").withColumn("key", F.sha2("text", 256))
-    none = spark.createDataFrame([], "key string, embedding array<float>")
-    made = R.embed_texts(k, none, R.hashed_bag(64), 64)
-    return k.join(made, "key", "left").groupBy("doc_id", "chunk_id").agg(F.count("*").alias("n_facts"), F.count_if(F.col("degraded")).alias("n_degraded"))
+    k = A.facts(spark, d).select("doc_id", "text").withColumn("key", F.sha2("text", 256))
+    none = A.vectors(spark, d).select(F.lit("").alias("key"), "embedding").filter("false")
+    made = R.embed_texts(k, none, _length_vectors, 64).select("key", "degraded")
+    return R.embedding_status(k.join(made, "key", "left"))
 
 
 @query("vector_normalize", """
@@ -80,9 +94,9 @@ def vector_normalize(spark, d):
     return v.select("vec_id", unit.alias("u"), degraded.alias("degraded")).select("vec_id", F.size("u").cast("long").alias("dimension"), "degraded", F.round(F.get("u", F.lit(0)), 6).alias("first"))
 
 
-@query("fact_confidence", f"WITH {A.FACTS} SELECT doc_id, chunk_id, idx, CASE WHEN idx = 4 THEN 0.5 ELSE confidence END AS confidence FROM facts WHERE CASE WHEN idx = 4 THEN 0.5 ELSE confidence END >= 0.7")
+@query("fact_confidence", f"WITH {A.FACTS} SELECT doc_id, chunk_id, idx, CASE WHEN idx % 5 = 4 THEN 0.5 ELSE confidence END AS confidence FROM facts WHERE CASE WHEN idx % 5 = 4 THEN 0.5 ELSE confidence END >= 0.7")
 def fact_confidence(spark, d):
-    f = A.facts(spark, d).withColumn("confidence", F.coalesce(F.when(F.col("idx") != 4, F.col("confidence")), F.lit(0.5)))
+    f = A.facts(spark, d).withColumn("confidence", F.coalesce(F.when(F.col("idx") % 5 != 4, F.col("confidence")), F.lit(0.5)))
     return f.filter("confidence >= 0.7").select("doc_id", "chunk_id", "idx", "confidence")
 
 
@@ -98,12 +112,12 @@ def inference_ids(spark, d):
     return A.facts(spark, d).select("doc_id", F.concat(F.lit("inf_"), F.col("chunk_id"), F.lit("_"), F.col("idx").cast("string")).alias("id"), "text")
 
 
-@query("chunk_ids", f"WITH {A.CHUNKS} SELECT doc_id, chunk_index, printf('chunk_%03d', row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1) AS chunk_id FROM chunks WHERE chunk_index % 3 <> 1")
+@query("chunk_ids", f"WITH {A.CHUNKS} SELECT doc_id, chunk_index, printf('chunk_%03d', row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1) AS chunk_id FROM chunks")
 def chunk_ids(spark, d):
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index")) - 1
-    return A.chunks(spark, d).filter("chunk_index % 3 <> 1").select("doc_id", "chunk_index", F.format_string("chunk_%03d", n).alias("chunk_id"))
+    return A.chunks(spark, d).select("doc_id", "chunk_index", F.format_string("chunk_%03d", n).alias("chunk_id"))
 
 
 @query("page_slice", f"WITH {A.CHUNKS} SELECT doc_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS n FROM chunks) WHERE n BETWEEN 3 AND 4")
@@ -148,11 +162,10 @@ def graph_nodes(spark, d):
 @query("graph_edges", _CEF + """
 SELECT doc_id, doc_id::VARCHAR AS "from", chunk_id AS "to", 'HAS_CHUNK' AS type FROM chunks UNION ALL SELECT DISTINCT doc_id, chunk_id, entity_id, 'HAS_ENTITY' FROM entities
 UNION ALL SELECT doc_id, chunk_id, 'inf_' || chunk_id || '_' || idx, 'HAS_INFERENCE' FROM facts
-UNION ALL SELECT DISTINCT f.doc_id, 'inf_' || f.chunk_id || '_' || idx, e.entity_id, 'REFERS_TO' FROM facts f JOIN entities e ON f.doc_id = e.doc_id AND lower(string_split(f.text, ' ')[1]) = lower(e.text)""")
+UNION ALL SELECT f.doc_id, 'inf_' || f.chunk_id || '_' || idx, e.entity_id, 'REFERS_TO' FROM (SELECT *, """ + E.normalize_sql("string_split(text, ' ')[1]") + """ AS ref FROM facts) f JOIN (SELECT doc_id, norm, min(entity_id) AS entity_id FROM entities WHERE norm <> '' GROUP BY ALL) e ON f.doc_id = e.doc_id AND f.ref = e.norm""")
 def graph_edges(spark, d):
     ents, f = _with_ids(spark, d), A.facts(spark, d)
-    key = ents.select("doc_id", F.lower("text").alias("w"), "entity_id").distinct()
-    refs = f.withColumn("w", F.lower(F.substring_index("text", " ", 1))).join(key, ["doc_id", "w"])
+    refs = N.resolve_exact(f.withColumn("ref", F.substring_index("text", " ", 1)), ents).filter("entity_id is not null")
     return R.graph_edges(A.chunks(spark, d), ents, f, refs)
 
 
@@ -175,13 +188,13 @@ def inferences_flat(spark, d):
     return j.select("doc_id", "chunk_id", F.explode_outer("f").alias("x")).select("doc_id", "chunk_id", "x.idx", "x.text")
 
 
-_ART = "a AS (SELECT DISTINCT sha256(text) AS sha256, text AS payload FROM documents WHERE doc_id % 2 = 0)"
+_ART = "a AS (SELECT DISTINCT sha256(text) AS sha256, text AS payload FROM documents)"
 
 
-@query("artifact_put", f"WITH {_ART} SELECT DISTINCT sha256(text) AS sha256, strlen(text)::BIGINT AS size FROM documents WHERE sha256(text) NOT IN (SELECT sha256 FROM a)")
+@query("artifact_put", "SELECT DISTINCT sha256(text) AS sha256, strlen(text)::BIGINT AS size FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en' AND text IS NOT NULL)")
 def artifact_put(spark, d):
     docs = A.documents(spark, d).select("doc_id", F.col("text").alias("payload"))
-    stored = docs.filter("doc_id % 2 = 0").select(F.sha2("payload", 256).alias("sha256"))
+    stored = A.documents(spark, d).filter("lang = 'en'").select(F.sha2("text", 256).alias("sha256"))
     return R.artifact_put(docs, stored).select("sha256", "size")
 
 
@@ -191,7 +204,7 @@ def _values(spark, d):
 
 
 def _artifacts(spark, d):
-    docs = A.documents(spark, d).filter("doc_id % 2 = 0")
+    docs = A.documents(spark, d)
     return docs.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.first("text").alias("payload"), F.min("doc_id").alias("age"))
 
 
@@ -201,7 +214,7 @@ def artifact_resolve(spark, d):
 
 
 _ORPHANS = """
-WITH a AS (SELECT sha256(text) AS sha256, any_value(text) AS payload, min(doc_id) AS age FROM documents WHERE doc_id % 2 = 0 GROUP BY 1),
+WITH a AS (SELECT sha256(text) AS sha256, any_value(text) AS payload, min(doc_id) AS age FROM documents GROUP BY 1),
 live AS (SELECT DISTINCT sha256(text) AS sha256 FROM documents WHERE doc_id % 3 <> 0),
 o AS (SELECT *, age > 50 AS eligible FROM a WHERE sha256 NOT IN (SELECT sha256 FROM live))
 """
@@ -252,25 +265,46 @@ def facts_prompt(spark, d):
     return R.facts_prompt(A.chunks(spark, d).withColumn("words", words)).withColumn("prompt", F.sha2("prompt", 256))
 
 
-@query("facts_parse", f"WITH {A.FACTS} SELECT doc_id, chunk_id, idx, text, CASE WHEN idx = 4 THEN 0.5 ELSE confidence END AS confidence, upper(chunk_id) AS refs FROM facts")
+@query("facts_parse", f"WITH {A.FACTS} SELECT doc_id, chunk_id, idx, text, CASE WHEN idx % 5 = 4 THEN 0.5 ELSE confidence END AS confidence, upper(chunk_id) AS refs FROM facts")
 def facts_parse(spark, d):
     f = A.facts(spark, d)
-    item = F.struct("idx", F.to_json(F.struct("text", F.when(F.col("idx") != 4, F.col("confidence")).alias("confidence"), F.array(F.upper("chunk_id")).alias("entities"))).alias("j"))
+    item = F.struct("idx", F.to_json(F.struct("text", F.when(F.col("idx") % 5 != 4, F.col("confidence")).alias("confidence"), F.array(F.upper("chunk_id")).alias("entities"))).alias("j"))
     lists = f.groupBy("doc_id", "chunk_id").agg(F.array_sort(F.collect_list(item)).alias("x"))
     reply = F.concat(F.lit("<think>[not this]</think>```json\nHere: ["), F.array_join(F.col("x.j"), ", "), F.lit("] done\n```"))
     out = R.facts_parse(lists.select("doc_id", "chunk_id", reply.alias("reply")))
     return out.select("doc_id", "chunk_id", "idx", "text", "confidence", F.array_join("entity_refs", ",").alias("refs"))
 
 
-@query("facts_fn")
-def facts_fn(spark, d):
-    """The fact plug point with a stand-in model that quotes the prompt's first words."""
+def _first_words(prompt):
+    """A reply for the plug point that SQL can state: the first five words of the passage; three passages at once are too many for it."""
     import json
 
+    if prompt.count("max facts: ") > 2:
+        raise ValueError("too long")
+    return json.dumps([{"text": " ".join(prompt.split("\n")[1].split(" ")[:5]), "confidence": 0.9}])
+
+
+@query("facts_fn", f"""
+WITH {A.CHUNKS}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1 AS n, count(*) OVER (PARTITION BY doc_id) AS total FROM chunks),
+g AS (SELECT *, least(3, total - 3 * (n // 3)) AS members FROM n),
+a AS (SELECT doc_id, chunk_id, members = 3 AS single, array_to_string(string_split(string_split(text, chr(10))[1], ' ')[1:5], ' ') AS text FROM g WHERE members = 3 OR n % 3 = 0)
+SELECT doc_id, chunk_id, single, 0::BIGINT AS idx, text, 0.9::DOUBLE AS confidence FROM a WHERE trim(text) <> ''""")
+def facts_fn(spark, d):
+    """The fact plug point: groups of three, then the chunks of a group that fails one by one."""
     words = F.size(F.filter(F.split("text", "[ \n]"), lambda x: x != ""))
-    prompts = R.facts_prompt(A.chunks(spark, d).withColumn("words", words)).select("doc_id", F.format_string("group_%03d", "group").alias("chunk_id"), "prompt")
-    answer = lambda p: json.dumps([{"text": " ".join(p.split("\n")[1].split()[:5]), "confidence": 0.9}])
-    return R.facts_parse(R.ask_model(prompts, answer), 0.7).select("doc_id", "chunk_id", "idx", "text", "confidence")
+    replies = R.ask_in_groups(A.chunks(spark, d).withColumn("words", words), _first_words)
+    facts = R.facts_parse(replies.filter("not single"), 0.7).withColumn("single", F.lit(False)).unionByName(R.facts_parse(replies.filter("single"), 0.7).withColumn("single", F.lit(True)))
+    return facts.select("doc_id", "chunk_id", "single", "idx", "text", "confidence")
+
+
+@query("facts_cache", f"""
+WITH {A.CHUNKS}, k AS (SELECT *, sha256(text || ':') AS key FROM chunks), known AS (SELECT DISTINCT key FROM k WHERE chunk_index = 0)
+SELECT doc_id, chunk_id, key IN (SELECT key FROM known) AS cached, CASE WHEN key IN (SELECT key FROM known) THEN 'cached' ELSE length(text)::VARCHAR END AS reply FROM k""")
+def facts_cache(spark, d):
+    """Replies by their cache key: first chunks have one, the others are asked, each distinct text once."""
+    k = A.chunks(spark, d).withColumn("key", E.facts_key(F.lit("v1"), F.col("text"), F.lit("")))
+    cache = k.filter("chunk_index = 0").select("key", F.lit("cached").alias("reply"))
+    return R.ask_once(k.withColumn("prompt", F.col("text")), cache, lambda p: str(len(p))).select("doc_id", "chunk_id", "cached", "reply")
 
 
 _LABEL = "(['PER', 'ORG', 'LOC', 'DATE', 'MONEY', 'MISC'])[(start % 6) + 1]"
@@ -305,8 +339,7 @@ def _rules_sql(cte: str, source: str) -> str:
 
 @query("regex_entities_loose", _rules_sql(f"WITH {A.CHUNKS} ", "chunks"))
 def regex_entities_loose(spark, d):
-    found = N.regex_entities(A.chunks(spark, d), strict=False)
-    return found.filter(F.col("label").isin("EMAIL", "IPV4", "SOCIAL_MENTION", "HASHTAG", "MAC_ADDRESS"))
+    return N.regex_entities(A.chunks(spark, d), strict=False, labels=["EMAIL", "IPV4", "SOCIAL_MENTION", "HASHTAG", "MAC_ADDRESS"])
 
 
 @query("regex_entities", f"""
@@ -315,12 +348,13 @@ c AS (SELECT doc_id, chunk_id, 'CREDIT_CARD' AS label, unnest(regexp_extract_all
 luhn AS (SELECT *, list_sum(list_transform(range(1, length(text) + 1), lambda i: CASE WHEN (length(text) - i) % 2 = 0 THEN text[i]::INT WHEN text[i]::INT * 2 > 9 THEN text[i]::INT * 2 - 9 ELSE text[i]::INT * 2 END)) AS s FROM c)
 SELECT * FROM m UNION ALL SELECT doc_id, chunk_id, label, text FROM luhn WHERE s % 10 = 0""")
 def regex_entities(spark, d):
-    return N.regex_entities(A.chunks(spark, d)).filter(F.col("label").isin("EMAIL", "CREDIT_CARD"))
+    return N.regex_entities(A.chunks(spark, d), labels=["EMAIL", "CREDIT_CARD"])
 
 
 @query("regex_entities_all")
 def regex_entities_all(spark, d):
-    return N.regex_entities(A.chunks(spark, d)).groupBy("label").agg(F.count("*").alias("n"))
+    """All rules; the tests compare it with Python's own matches."""
+    return N.regex_entities(A.chunks(spark, d), strict=False)
 
 
 @query("validate_entities", """
@@ -346,18 +380,50 @@ def validate_entities(spark, d):
 _SEED = "text || ' Paid $1,200.50 to Acme Corp. in Madrid on 2024-03-08, then 30 EUR.'"
 
 
+def _spans_sql(label: str, score: str, pattern: str, rows: str) -> str:
+    """Matches with their places: a match begins where the pieces that the pattern splits off, and the matches before it, end."""
+    p = _b(pattern)
+    return f"""SELECT doc_id, chunk_id, '{label}' AS label, m[k] AS text, {score}::DOUBLE AS confidence, (list_sum(list_transform(q[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::INT AS start
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM (SELECT doc_id, chunk_id, regexp_extract_all(text, '{p}') AS m, regexp_split_to_array(text, '{p}') AS q FROM {rows}))"""
+
+
 @query("heuristic_entities", f"""
-WITH {A.CHUNKS}, s AS (SELECT doc_id, chunk_id, {_SEED} AS text FROM chunks) """ + " UNION ALL ".join(
-    f"SELECT doc_id, chunk_id, '{label}' AS label, unnest(regexp_extract_all(text, '(?i){_b(p)}')) AS text, {score}::DOUBLE AS confidence FROM s" for label, (score, ps) in N.HEURISTICS.items() for p in ps
-))
+WITH {A.CHUNKS}, s AS (SELECT doc_id, chunk_id, {_SEED} AS text FROM chunks) """ + "SELECT *, (start + length(text))::INT AS \"end\" FROM (" + " UNION ALL ".join(
+    [_spans_sql(label, str(score), f"(?i){p}", "s") for label, (score, ps) in N.HEURISTICS.items() for p in ps] + [_spans_sql("PER", str(N.PERSON[0]), N.PERSON[1], "s")]
+) + ")")
 def heuristic_entities(spark, d):
     c = A.chunks(spark, d).withColumn("text", F.concat("text", F.lit(" Paid $1,200.50 to Acme Corp. in Madrid on 2024-03-08, then 30 EUR.")))
     return N.heuristic_matches(c)
 
 
-@query("model_entities")
+_CAPITALS = "[A-Z][a-z]{6,}"
+
+
+def _capitals(texts):
+    """Entities for the plug point that SQL can state: capitalised words, with a score by their length; texts without any fail."""
+    import re
+
+    out = [[(m.group(), "ORG" if len(m.group()) % 2 else "PER", 0.4 if len(m.group()) < 10 else 0.9, m.start(), m.end()) for m in re.finditer(_CAPITALS, t)] for t in texts]
+    if not all(out):
+        raise ValueError("nothing found")
+    return out
+
+
+_WINDOWS = "w AS (SELECT doc_id, i AS chunk_id, i * 1702 AS off, substr(text, i * 1702 + 1, 2553) AS text FROM (SELECT doc_id, text, unnest(range(0, ceil(length(text) / 1702.0)::BIGINT)) AS i FROM documents WHERE length(text) > 0) WHERE i = 0 OR i * 1702 + 851 < length(text))"
+_MODEL = f"""
+{_WINDOWS}, found AS ({_spans_sql("", "0", _CAPITALS, "w")}),
+model AS (SELECT doc_id, chunk_id::BIGINT AS window_index, CASE WHEN length(text) % 2 = 1 THEN 'ORG' ELSE 'PER' END AS label, text, CASE WHEN length(text) < 10 THEN 0.4 ELSE 0.9 END::DOUBLE AS confidence,
+  (start + chunk_id * 1702)::BIGINT AS start, (start + chunk_id * 1702 + length(text))::BIGINT AS "end" FROM found WHERE length(text) >= 10 OR length(text) % 2 = 0)
+"""
+
+
+def _model(spark, d):
+    return N.model_entities(C.ner_windows(A.documents(spark, d)), _capitals)
+
+
+@query("model_entities", f'WITH {_MODEL} SELECT doc_id, window_index, label, text, confidence, start, "end" FROM model')
 def model_entities(spark, d):
-    return N.model_entities(C.ner_windows(A.documents(spark, d)))
+    return _model(spark, d)
 
 
 @query("predict_fn", "SELECT doc_id, window_index, 'LOC' AS label, w AS text, off + pos - 1 AS start FROM (SELECT doc_id, i AS window_index, i * 1702 AS off, instr(t, ' the ') + 1 AS pos, 'the' AS w FROM (SELECT doc_id, i, substr(text, i * 1702 + 1, 2553) AS t FROM (SELECT doc_id, text, unnest(range(0, ceil(length(text) / 1702.0)::BIGINT)) AS i FROM documents WHERE length(text) > 0) WHERE i = 0 OR i * 1702 + 851 < length(text)) WHERE contains(t, ' the '))")
@@ -377,7 +443,7 @@ def entity_id(spark, d):
 
 @query("window_entity_merge")
 def window_entity_merge(spark, d):
-    return N.merge_windows(N.model_entities(C.ner_windows(A.documents(spark, d))))
+    return N.merge_windows(_model(spark, d))
 
 
 @query("span_overlap_pairs", f"""
@@ -399,9 +465,9 @@ def resolve_entity_refs(spark, d):
 
 
 @query("resolve_entity_refs_exact", _CEF + """,
-k AS (SELECT DISTINCT doc_id, lower(text) AS norm, entity_id FROM entities),
-r AS (SELECT doc_id, chunk_id, trim(lower(regexp_replace(translate(string_split(text, ' ')[1], '{0}', '{1}'), '[^A-Za-z0-9_\\s]', '', 'g'))) AS norm FROM facts)
-SELECT doc_id, chunk_id, string_agg(DISTINCT entity_id, ',' ORDER BY entity_id) AS entity_ids FROM r JOIN k USING (doc_id, norm) GROUP BY ALL""".format(E.FOLD_FROM, E.FOLD_TO))
+k AS (SELECT doc_id, norm, min(entity_id) AS entity_id FROM entities WHERE norm <> '' GROUP BY ALL),
+r AS (SELECT doc_id, chunk_id, """ + E.normalize_sql("string_split(text, ' ')[1]") + """ AS norm FROM facts)
+SELECT doc_id, chunk_id, string_agg(DISTINCT entity_id, ',' ORDER BY entity_id) AS entity_ids FROM r JOIN k USING (doc_id, norm) GROUP BY ALL""")
 def resolve_entity_refs_exact(spark, d):
     r = N.resolve_exact(_refs(spark, d), _with_ids(spark, d)).filter("entity_id is not null")
     return r.groupBy("doc_id", "chunk_id").agg(F.array_join(F.array_sort(F.collect_set("entity_id")), ",").alias("entity_ids"))
@@ -412,15 +478,14 @@ WITH {A.ENTITIES} SELECT doc_id, chunk_id, label, text, confidence, 0 AS source_
 UNION ALL SELECT doc_id, chunk_id, 'EMAIL', unnest(regexp_extract_all(text, '{_b(dict(N.RULES)["EMAIL"])}')), 1.0, 1 FROM chunks""")
 def entities_union(spark, d):
     model = A.entities(spark, d).select("doc_id", "chunk_id", "label", "text", "confidence", F.lit(0).alias("source_rank"))
-    rules = N.regex_entities(A.chunks(spark, d)).filter("label = 'EMAIL'").select("doc_id", "chunk_id", "label", "text", F.lit(1.0).alias("confidence"), F.lit(1).alias("source_rank"))
+    rules = N.regex_entities(A.chunks(spark, d), labels=["EMAIL"]).select("doc_id", "chunk_id", "label", "text", F.lit(1.0).alias("confidence"), F.lit(1).alias("source_rank"))
     return model.unionByName(rules)
 
 
 @query("entity_pipeline")
 def entity_pipeline(spark, d):
     """Windows, model, merge, thresholds, rules, ids, fuzzy de-duplication."""
-    docs = A.documents(spark, d)
-    model = N.merge_windows(N.model_entities(C.ner_windows(docs))).drop("window_index")
+    model = N.merge_windows(_model(spark, d)).drop("window_index")
     rules = N.regex_entities(A.chunks(spark, d)).select("doc_id", "label", "text", F.lit(1.0).alias("confidence"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
     return N.dedupe_fuzzy(model.unionByName(rules))
 

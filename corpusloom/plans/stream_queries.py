@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text as T
 from corpusloom.operators.chunking import chunk_overlap
 from corpusloom.operators.entities import regex_entities
-from corpusloom.operators.results import ask_model, facts_parse
 from corpusloom.plans import adapters as A
 from corpusloom.plans.registry import query, table
 from corpusloom.sources import files as S
@@ -54,32 +52,44 @@ def progress_stream(spark, d):
     return run.update_result(windows.progress(_events(spark, d)), "job_id")
 
 
-@query("redelivery_dedupe")
+@query("redelivery_dedupe", f"WITH {A.EVENTS}, t AS (SELECT unnest([0, 1]) AS copy) SELECT event_id, count(*) AS n FROM (SELECT DISTINCT event_id FROM job_events, t) GROUP BY event_id")
 def redelivery_dedupe(spark, d):
-    return run.append_result(windows.first_deliveries(_events(spark, d), ["job_id", "stage"])).select("event_id", "job_id", "stage")
+    """Every event delivered twice, each kept once."""
+    twice = _events(spark, d).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    return run.append_result(windows.first_deliveries(twice, ["event_id"])).groupBy("event_id").agg(F.count("*").alias("n"))
 
 
-@query("job_state_stream")
+_FOLD = f"""
+WITH {A.EVENTS}, r AS (SELECT *, CASE WHEN event_type = 'stage.failed' AND stage = 'extraction' THEN 'failed' WHEN event_type = 'stage.completed' AND stage = 'inferences' THEN 'completed' END AS terminal FROM job_events),
+t AS (SELECT job_id, min((ts, event_id)) AS at, arg_min(terminal, (ts, event_id)) AS status, arg_min(stage, (ts, event_id)) AS step FROM r WHERE terminal IS NOT NULL GROUP BY job_id),
+s AS (SELECT job_id, arg_max(stage, (ts, event_id)) AS step FROM r WHERE event_type = 'stage.started' GROUP BY job_id),
+j AS (SELECT job_id, count(*) AS n_events, max(ts) AS last FROM r GROUP BY job_id),
+f AS (SELECT j.job_id, coalesce(t.status, CASE WHEN s.step IS NOT NULL THEN 'processing' ELSE 'pending' END) AS status, coalesce(t.step, s.step) AS step, n_events, last FROM j LEFT JOIN t USING (job_id) LEFT JOIN s USING (job_id))
+"""
+
+
+@query("job_state_stream", _FOLD + "SELECT job_id, status, step, NULL::VARCHAR AS error, n_events FROM f")
 def job_state_stream(spark, d):
     return run.update_result(state.job_state(_events(spark, d), 10**15), "job_id")
 
 
-@query("stuck_jobs_stream")
+@query("stuck_jobs_stream", _FOLD + "SELECT job_id, 'failed' AS status, step, 'Job timeout after 3600 s' AS error, n_events FROM f WHERE status NOT IN ('failed', 'completed') AND last + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM job_events)")
 def stuck_jobs_stream(spark, d):
-    return run.update_result(state.job_state(_events(spark, d), 86_400_000), "job_id").filter("error is not null")
+    """Jobs without an end whose last event is an hour behind the watermark when all is read."""
+    return run.update_result(state.job_state(_events(spark, d), 3_600_000), "job_id").filter("error is not null")
 
 
 @query("completion_stream", f"""
 WITH {A.EVENTS} SELECT job_id, count(DISTINCT stage) AS n_steps FROM job_events WHERE event_type = 'stage.completed' GROUP BY job_id HAVING list_has_all(list(stage), ['extraction', 'embeddings'])""")
 def completion_stream(spark, d):
-    return run.append_result(state.completions(_events(spark, d), ["extraction", "embeddings"]))
+    return run.append_result(state.completions(_events(spark, d), ["extraction", "embeddings"], 10**15))
 
 
 @query("fanin_stream", "SELECT l_orderkey AS job_id, count(DISTINCT l_linenumber) AS got FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) >= max(l_linenumber)")
 def fanin_stream(spark, d):
     expected = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("expected"))
     s = run.stream_table(spark, f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber").join(expected, "l_orderkey")
-    return run.append_result(state.fan_in(s.select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("chunk"), "expected")))
+    return run.update_result(state.fan_in(s.select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("chunk"), "expected")), "job_id")
 
 
 @query("batch_done_stream", f"WITH {A.JOBS} SELECT batch_id, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM jobs GROUP BY batch_id HAVING count(*) FILTER (status = 'pending') = 0")
@@ -87,8 +97,8 @@ def batch_done_stream(spark, d):
     total = A.jobs(spark, d).groupBy("batch_id").agg(F.count("*").alias("total"))
     o = run.stream_table(spark, f"{d}/orders.parquet")
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("pending")
-    j = o.select(F.col("o_custkey").alias("batch_id"), F.col("o_orderkey").alias("job_id"), status.alias("status")).join(total, "batch_id")
-    return run.append_result(state.batch_done(j))
+    j = o.select(F.col("o_custkey").alias("batch_id"), F.col("o_orderkey").alias("job_id"), status.alias("status"), F.col("o_orderdate").cast("timestamp").alias("ts")).join(total, "batch_id")
+    return run.append_result(state.batch_done(j, 10**15))
 
 
 @query("state_ttl", f"WITH {A.EVENTS} SELECT job_id, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS n FROM job_events GROUP BY job_id")
@@ -105,35 +115,68 @@ def alert_rules_stream(spark, d):
     return windows.firing(w).select(F.unix_micros("window_start").alias("window_start"), "failed", "completed", "hot", "firing")
 
 
-@query("quarantine_stream", "SELECT 'dead' AS route, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events WHERE event_type = 'error' AND event_id % 8 >= 3 UNION ALL SELECT 'retry', count(*), sum(event_id)::BIGINT FROM events WHERE event_type = 'error' AND event_id % 8 < 3")
+@query("alert_rules_sliding", f"""
+WITH {A.EVENTS}, t AS (SELECT ts, event_type, unnest(range(0, 10)) AS k FROM job_events),
+w AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) - k * INTERVAL 1 MINUTE AS t, count(*) FILTER (event_type = 'stage.failed') AS failed, count(*) FILTER (event_type = 'stage.completed') AS completed FROM t GROUP BY 1)
+SELECT epoch_us(t)::BIGINT AS window_start, failed, completed, failed > 0.5 * (failed + completed) AS hot FROM w WHERE t + INTERVAL 10 MINUTE <= {_CLOSED}""")
+def alert_rules_sliding(spark, d):
+    """The ten-minute rule in steps of a minute."""
+    w = run.append_result(windows.failure_windows(_events(spark, d), "10 minutes", "1 minute"))
+    return w.select(F.unix_micros("window_start").alias("window_start"), "failed", "completed", "hot")
+
+
+@query("late_events", f"""
+WITH {A.EVENTS}, a AS (SELECT event_type, ts, 2 * (event_id + CASE WHEN event_id % 50 = 0 THEN 2000 ELSE 0 END) + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END AS event_id FROM job_events),
+s AS (SELECT *, max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM a)
+SELECT event_type, count(*) AS n FROM s WHERE ts < newest - INTERVAL 1 HOUR GROUP BY event_type""")
+def late_events(spark, d):
+    """Every fiftieth event arrives two thousand events after its place."""
+    held = F.col("event_id") % 50 == 0
+    e = A.job_events(spark, d).withColumn("event_id", 2 * (F.col("event_id") + F.when(held, 2000).otherwise(0)) + F.when(held, 1).otherwise(0))
+    return windows.late_events(e)
+
+
+@query("quarantine_stream", """
+WITH e AS (SELECT event_id, epoch_us(ts) AS us, event_id % 8 AS attempt FROM events WHERE event_type = 'error')
+SELECT 'dead' AS route, count(*) AS n, sum(event_id)::BIGINT AS ids, NULL::BIGINT AS first_due FROM e WHERE attempt >= 3
+UNION ALL SELECT 'retry', count(*), sum(event_id)::BIGINT, min(us + 1000000 * least(power(2, attempt), 60))::BIGINT FROM e WHERE attempt < 3""")
 def quarantine_stream(spark, d):
-    e = run.stream_table(spark, f"{d}/events.parquet").filter("event_type = 'error'").select("event_id", (F.col("event_id") % 8).alias("attempt"))
+    """Failed messages: those to be tried again with the time at which they are due, the others dead."""
+    e = run.stream_table(spark, f"{d}/events.parquet").filter("event_type = 'error'").select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 8).alias("attempt"))
     delay, route = S.retry_route(F.col("attempt"))
     marked = e.withColumn("delay", delay).withColumn("route", route)
-    parts = run.split_result(marked, {"dead": lambda b: b.filter("route = 'dead'"), "retry": lambda b: b.filter("route = 'retry'")})
+    none = F.lit(None).cast("timestamp")
+    parts = run.split_result(
+        marked, {"dead": lambda b: b.filter("route = 'dead'").withColumn("due", none), "retry": lambda b: run.due_again(b.filter("route = 'retry'"), "delay")}
+    )
     both = parts["dead"].unionByName(parts["retry"])
-    return both.groupBy("route").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    return both.groupBy("route").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.min(F.unix_micros("due")).alias("first_due"))
 
 
-@query("micro_batch_model", "SELECT doc_id, trim(array_to_string(list_slice(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> ''), 1, 5), ' ')) AS text FROM documents WHERE trim(replace(text, chr(10), ' ')) <> ''")
+@query("micro_batch_model", "SELECT doc_id, length(text) AS n_chars, least(32, n - 32 * (k // 32)) AS n_batch FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY doc_id // 1000) AS n FROM documents)")
 def micro_batch_model(spark, d):
-    import json
-
-    s = run.stream_table(spark, f"{d}/documents.parquet").select("doc_id", F.lit("whole").alias("chunk_id"), F.col("text").alias("prompt"))
-    answer = lambda p: json.dumps([{"text": " ".join(p.split()[:5]), "confidence": 0.9}])
-    parts = run.split_result(s, {"facts": lambda b: facts_parse(ask_model(b, answer))})
-    return parts["facts"].select("doc_id", "text")
+    """Messages that are buffered to 32 of a queue before one call of the model; the last batch of a queue is what is left."""
+    s = run.stream_table(spark, f"{d}/documents.parquet").select("doc_id", "text", F.floor(F.col("doc_id") / 1000).alias("queue"))
+    answer = lambda texts: [f"{len(t)}/{len(texts)}" for t in texts]
+    parts = run.split_result(s, {"replies": lambda b: run.buffered(b, answer, "text", ["queue"], ["doc_id"], 32)})
+    reply = F.split("reply", "/")
+    return parts["replies"].select("doc_id", reply[0].cast("long").alias("n_chars"), reply[1].cast("long").alias("n_batch"))
 
 
-@query("doc_stream", f"WITH {A.CHUNKS} SELECT doc_id, count(*) AS n_chunks, sum(length(text))::BIGINT AS n_chars FROM chunks GROUP BY doc_id")
+@query("doc_stream", f"""
+WITH {A.CHUNKS}, c AS (SELECT doc_id, count(*) AS n_chunks, sum(length(text))::BIGINT AS n_chars, sum(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')))::BIGINT AS n_mails FROM chunks GROUP BY doc_id)
+SELECT doc_id, coalesce(n_chunks, 0) AS n_chunks, coalesce(c.n_chars, 0) AS n_chars, length(text) AS n_all, coalesce(n_mails, 0) AS n_mails FROM documents LEFT JOIN c USING (doc_id)""")
 def doc_stream(spark, d):
+    """Chunks, statistics and entities of each micro-batch as tables of their own."""
     docs = run.stream_table(spark, f"{d}/documents.parquet").select("doc_id", "text")
     parts = run.split_result(
         docs,
         {
             "chunks": lambda b: chunk_overlap(b),
-            "stats": lambda b: b.select("doc_id", T.word_count(F.col("text")).alias("words")),
-            "entities": lambda b: regex_entities(chunk_overlap(b)),
+            "stats": lambda b: b.select("doc_id", F.length("text").alias("n_all")),
+            "entities": lambda b: regex_entities(chunk_overlap(b), labels=["EMAIL"]),
         },
     )
-    return parts["chunks"].groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
+    chunks = parts["chunks"].groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+    mails = parts["entities"].groupBy("doc_id").agg(F.count("*").alias("n_mails"))
+    return parts["stats"].select("doc_id", F.col("n_all").cast("long")).join(chunks, "doc_id", "left").join(mails, "doc_id", "left").fillna(0)

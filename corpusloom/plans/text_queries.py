@@ -52,16 +52,17 @@ def decode_text(spark, d):
 
 
 @query("batch_explode", """
-SELECT source AS batch, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::BIGINT AS idx, 'doc-' || doc_id || '.txt' AS filename,
+SELECT source || '-' || doc_id // 100 AS batch, (row_number() OVER (PARTITION BY source, doc_id // 100 ORDER BY doc_id) - 1)::BIGINT AS idx, 'doc-' || doc_id || '.txt' AS filename,
   length(text) AS n_chars, CASE WHEN doc_id % 7 = 3 THEN 'invalid_profile' END AS reason,
   CASE doc_id % 7 WHEN 0 THEN 'rag' WHEN 3 THEN NULL ELSE 'full' END AS profile
 FROM documents""")
 def batch_explode(spark, d):
+    """Requests of at most 100 documents: a source's documents of one hundred of ids."""
     own = F.when(F.col("doc_id") % 7 == 0, " RAG ").when(F.col("doc_id") % 7 == 3, "deluxe")
     item = F.struct("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), "text", own.alias("profile"))
-    body = A.documents(spark, d).groupBy("source").agg(F.to_json(F.struct(F.lit("full").alias("profile"), F.array_sort(F.collect_list(item)).alias("documents"))).alias("body"))
-    out = S.batch_explode(body.select(F.col("source").alias("batch"), "body"), most=1 << 30)
-    return out.select("batch", "idx", "filename", F.length("text").alias("n_chars"), "reason", "profile")
+    batch = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 100).cast("string"))
+    body = A.documents(spark, d).groupBy(batch.alias("batch")).agg(F.to_json(F.struct(F.lit("full").alias("profile"), F.array_sort(F.collect_list(item)).alias("documents"))).alias("body"))
+    return S.batch_explode(body).select("batch", "idx", "filename", F.length("text").alias("n_chars"), "reason", "profile")
 
 
 @query("page_texts", f"""
@@ -277,7 +278,12 @@ def chunk_stats(spark, d):
     return C.chunk_stats(A.documents(spark, d))
 
 
-@query("chunk_sentences")
+@query("chunk_sentences", r"""
+WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])[ \t\r\x0b\f]*\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents),
+f AS (SELECT doc_id, s, 1::BIGINT AS i, s[1] AS held, 0::BIGINT AS k FROM s WHERE len(s) > 0
+  UNION ALL SELECT doc_id, s, i + 1, CASE WHEN length(held) + 1 + length(s[i + 1]) > 1000 THEN s[i + 1] ELSE held || ' ' || s[i + 1] END,
+    CASE WHEN length(held) + 1 + length(s[i + 1]) > 1000 THEN k + 1 ELSE k END FROM f WHERE i < len(s))
+SELECT doc_id, k AS chunk_index, arg_max(held, i) AS text FROM f GROUP BY doc_id, k""")
 def chunk_sentences(spark, d):
     return C.pack_sentences(A.documents(spark, d))
 
@@ -293,7 +299,15 @@ def turn_groups(spark, d):
     return C.turn_groups(_segments(spark, d)).drop("text")
 
 
-@query("chunk_turns")
+@query("chunk_turns", """
+WITH RECURSIVE g AS (SELECT conv_id AS doc_id, turn AS seg_index, role AS speaker, coalesce(text, '') AS text, row_number() OVER w AS i,
+    CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER w AND row_number() OVER w > 1 THEN false ELSE true END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+f AS (SELECT doc_id, i, 1::BIGINT AS k, length(text) AS n FROM g WHERE i = 1
+  UNION ALL SELECT g.doc_id, g.i, CASE WHEN g.new OR f.n + length(g.text) > 1500 THEN k + 1 ELSE k END, CASE WHEN g.new OR f.n + length(g.text) > 1500 THEN length(g.text) ELSE f.n + length(g.text) END
+    FROM f JOIN g ON g.doc_id = f.doc_id AND g.i = f.i + 1),
+b AS (SELECT g.doc_id, k, any_value(speaker) AS speaker, '[' || any_value(speaker) || ']: ' || string_agg(text, ' ' ORDER BY g.i) AS t, min(seg_index) AS first_segment, max(seg_index) AS last_segment FROM g JOIN f USING (doc_id, i) GROUP BY g.doc_id, k),
+p AS (SELECT *, unnest(range(0, ceil(length(t) / 1500.0)::BIGINT)) AS j FROM b)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1 AS chunk_index, substr(t, j * 1500 + 1, 1500) AS text, speaker, first_segment::BIGINT AS first_segment, last_segment::BIGINT AS last_segment FROM p""")
 def chunk_turns(spark, d):
     return C.chunk_turns(_segments(spark, d))
 
@@ -394,7 +408,7 @@ def normalize_date(spark, d):
     return table(spark, d, "orders").select("o_orderkey", raw.alias("raw")).withColumn("norm", E.normalize_date(F.col("raw")))
 
 
-@query("fuzzy_ratio")
+@query("fuzzy_ratio", "SELECT c_custkey, 100.0::DOUBLE * 2 * length(c_name) / (2 * length(c_name) + 1) AS ratio FROM customer")
 def fuzzy_ratio(spark, d):
     from corpusloom.operators.entities import fuzzy_ratio as ratio
 

@@ -3,22 +3,20 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.session import shared_dir
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared folder of the session; a temporary one only where none is set."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named is None:
-        import tempfile
 
-        named = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.sparkContext.setCheckpointDir(named)
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the session's shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
@@ -64,3 +62,41 @@ def split_result(stream: DataFrame, parts: dict[str, Callable[[DataFrame], DataF
     q = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return {k: spark.read.schema(s).option("basePath", f"{at}/{k}").parquet(f"{at}/{k}") for k, s in schemas.items()}
+
+
+def buffered(messages: DataFrame, answer: Callable[[list[str]], list[str]], text: str, queues: list[str], order: list[str], most: int = 32) -> DataFrame:
+    """messages of a micro-batch with a reply; the model is called with up to `most` messages of a queue at once.
+
+    The trigger is the time limit: what a queue holds at the end of a micro-batch is sent, however little.  A call that fails gives null replies.
+    """
+    names = messages.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def sent() -> pa.RecordBatch:
+            try:
+                replies = answer([r[text] for r in held])
+            except Exception:
+                replies = [None] * len(held)
+            columns = [pa.array([r[c] for r in held], kinds[c]) for c in names]
+            held.clear()
+            return pa.RecordBatch.from_arrays([*columns, pa.array(replies, pa.string())], names=[*names, "reply"])
+
+        kinds: dict[str, pa.DataType] = {}
+        for batch in batches:
+            kinds = {c: batch[c].type for c in names}
+            for row in batch.to_pylist():
+                if held and (len(held) == most or any(row[q] != held[0][q] for q in queues)):
+                    yield sent()
+                held.append(row)
+        if held:
+            yield sent()
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema.fields)
+    return messages.repartition(*queues).sortWithinPartitions(*queues, *order).mapInArrow(run, f"{schema}, reply string")
+
+
+def due_again(dead: DataFrame, delay: str, at: str = "ts") -> DataFrame:
+    """Failed messages with the time at which they are due: their event time and `delay` seconds."""
+    return dead.withColumn("due", F.timestamp_seconds(F.unix_micros(at) / 1e6 + F.col(delay)))

@@ -7,9 +7,11 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TERMINAL = ("completed", "failed", "cancelled")
+DAY_MS = 86_400_000
 
 
 def job_state(events: DataFrame, stuck_after_ms: int = 3_600_000, late: str = "1 hour") -> DataFrame:
@@ -52,55 +54,104 @@ def job_state(events: DataFrame, stuck_after_ms: int = 3_600_000, late: str = "1
     )
 
 
-def completions(events: DataFrame, required: list[str]) -> DataFrame:
-    """Emit (job_id, n_steps) exactly once, when all required stages are completed; a cancelled job never."""
+def _remember(state: GroupState, value: tuple, frames: list[pd.DataFrame], keep_ms: int) -> None:
+    """Keep a key's state until keep_ms of event time after its last event."""
+    last = max((int(f["ts"].max().value // 1_000_000) for f in frames if len(f)), default=0)
+    state.update(value)
+    state.setTimeoutTimestamp(max(last + keep_ms, state.getCurrentWatermarkMs() + 1))
+
+
+def completions(events: DataFrame, required: list[str], keep_ms: int = DAY_MS, late: str = "1 hour") -> DataFrame:
+    """Emit (job_id, n_steps) exactly once, when all required stages are completed; a cancelled job never.
+
+    A job's state is forgotten when no event of it has come for keep_ms of event time.
+    """
 
     def fold(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         steps, done = state.get if state.exists else ("", False)
-        have = set(filter(None, steps.split(",")))
-        out = 0
-        for f in frames:
+        have, out, held = set(filter(None, steps.split(","))), 0, list(frames)
+        for f in held:
             if (f["event_type"] == "job_cancelled").any():
                 done = True
             have |= set(f.loc[f["event_type"] == "stage.completed", "stage"])
         if not done and have >= set(required):
             done, out = True, len(have)
-        state.update((",".join(sorted(have)), done))
+        _remember(state, (",".join(sorted(have)), done), held, keep_ms)
         yield pd.DataFrame({"job_id": [key[0]] * bool(out), "n_steps": [out] * bool(out)})
 
-    return events.groupBy("job_id").applyInPandasWithState(fold, "job_id string, n_steps long", "steps string, done boolean", "append", GroupStateTimeout.NoTimeout)
+    return (
+        events.withWatermark("ts", late)
+        .groupBy("job_id")
+        .applyInPandasWithState(fold, "job_id string, n_steps long", "steps string, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    )
 
 
 def fan_in(chunks: DataFrame) -> DataFrame:
-    """(job_id, chunk, expected) -> (job_id, got) once, when every chunk has arrived; each chunk counts once."""
+    """(job_id, chunk, expected) -> (job_id, got) of each batch that brings a job's last chunk; each chunk counts once.
+
+    For update mode.  The state is a job's set of chunk numbers, in Spark's own aggregate.
+    """
+    g = chunks.groupBy("job_id").agg(F.size(F.collect_set("chunk")).cast("long").alias("got"), F.max("expected").alias("expected"))
+    return g.filter((F.col("expected") > 0) & (F.col("got") >= F.col("expected"))).select("job_id", "got")
+
+
+def fan_in_expiring(chunks: DataFrame, keep_ms: int = DAY_MS, late: str = "1 hour") -> DataFrame:
+    """As fan_in on (job_id, chunk, expected, ts), in append mode, once; a job's chunks are forgotten after keep_ms of event time without one.
+
+    The chunk numbers that have come are bits of the state.
+    """
 
     def fold(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, done = state.get if state.exists else ("", False)
-        have, expected = set(filter(None, seen.split(","))), 0
-        for f in frames:
-            have |= set(f["chunk"].astype(str))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        bits, done = state.get if state.exists else (b"", False)
+        have, expected, held = int.from_bytes(bits, "little"), 0, list(frames)
+        for f in held:
+            for chunk in f["chunk"].unique():
+                have |= 1 << int(chunk)
             expected = max(expected, int(f["expected"].max()))
-        out = not done and expected and len(have) >= expected
-        state.update((",".join(sorted(have)), done or bool(out)))
-        yield pd.DataFrame({"job_id": [key[0]] * bool(out), "got": [len(have)] * bool(out)})
+        out = bool(not done and expected and have.bit_count() >= expected)
+        _remember(state, (have.to_bytes((have.bit_length() + 7) // 8, "little"), done or out), held, keep_ms)
+        yield pd.DataFrame({"job_id": [key[0]] * out, "got": [have.bit_count()] * out})
+
+    return (
+        chunks.withWatermark("ts", late)
+        .groupBy("job_id")
+        .applyInPandasWithState(fold, "job_id long, got long", "bits binary, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    )
 
-    return chunks.groupBy("job_id").applyInPandasWithState(fold, "job_id long, got long", "seen string, done boolean", "append", GroupStateTimeout.NoTimeout)
 
+def batch_done(jobs: DataFrame, keep_ms: int = DAY_MS, late: str = "1 hour") -> DataFrame:
+    """(batch_id, job_id, status, total, ts) -> (batch_id, completed, failed) once, when `total` jobs are terminal.
 
-def batch_done(jobs: DataFrame) -> DataFrame:
-    """(batch_id, job_id, status, total) -> (batch_id, completed, failed) once, when `total` jobs are terminal."""
+    A redelivered job counts once, with its first terminal status; jobs are held in the state until the batch is done,
+    and a batch is forgotten after keep_ms of event time without an event.
+    """
 
     def fold(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, failed, emitted = state.get if state.exists else (0, 0, False)
-        total = 0
-        for f in frames:
-            done += int((f["status"] == "completed").sum())
-            failed += int((f["status"] == "failed").sum())
+        if state.hasTimedOut:
+            state.remove()
+            return
+        done, failed, emitted = state.get if state.exists else ([], [], False)
+        good, bad, total, held = set(done), set(failed), 0, list(frames)
+        for f in held:
+            for job, status in zip(f["job_id"].tolist(), f["status"], strict=True):
+                if job not in good and job not in bad and status in ("completed", "failed"):
+                    (good if status == "completed" else bad).add(job)
             total = max(total, int(f["total"].max()))
-        out = not emitted and done + failed >= total > 0
-        state.update((done, failed, emitted or out))
-        yield pd.DataFrame({"batch_id": [key[0]] * out, "completed": [done] * out, "failed": [failed] * out})
+        out = not emitted and len(good) + len(bad) >= total > 0
+        emitted = emitted or out
+        _remember(state, ([] if emitted else sorted(good), [] if emitted else sorted(bad), emitted), held, keep_ms)
+        yield pd.DataFrame({"batch_id": [key[0]] * out, "completed": [len(good)] * out, "failed": [len(bad)] * out})
 
-    return jobs.groupBy("batch_id").applyInPandasWithState(
-        fold, "batch_id long, completed long, failed long", "done long, failed long, emitted boolean", "append", GroupStateTimeout.NoTimeout
-    )
+    return (
+        jobs.withWatermark("ts", late)
+        .groupBy("batch_id")
+        .applyInPandasWithState(
+            fold, "batch_id long, completed long, failed long", "done array<long>, failed array<long>, emitted boolean", "append", GroupStateTimeout.EventTimeTimeout
+        )
+    )

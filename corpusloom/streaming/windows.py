@@ -23,10 +23,27 @@ def failure_windows(events: DataFrame, size: str = "10 minutes", slide: str | No
     return g.select(F.col("w.start").alias("window_start"), "failed", "completed", (F.col("failed") > share * (F.col("failed") + F.col("completed"))).alias("hot"))
 
 
-def firing(windows: DataFrame) -> DataFrame:
-    """A rule fires in a window that is hot after a hot one. The windows are one row per time step, few beside the events."""
-    w = Window.orderBy("window_start")
-    return windows.withColumn("firing", F.col("hot") & F.coalesce(F.lag("hot").over(w), F.lit(False)))
+def firing(windows: DataFrame, hold: int = 2) -> DataFrame:
+    """A rule fires in a window that is the last of `hold` hot ones in a row. The windows are one row per time step, few beside the events."""
+    w = Window.orderBy("window_start").rowsBetween(1 - hold, 0)
+    held = F.count_if("hot").over(w) == hold
+    return windows.withColumn("firing", held)
+
+
+def late_events(events: DataFrame, late: str = LATE) -> DataFrame:
+    """(event_type, n) of a table's events that came more than `late` behind the newest event before them, by event_id as the order of arrival.
+
+    A stream drops such events from its windows; the count says how many a batch run has to add.  Newest times run up
+    within blocks of arrival first, and over the blocks then.
+    """
+    e = events.select("event_type", "event_id", "ts", F.floor(F.col("event_id") / 10_000).alias("block"))
+    blocks = e.groupBy("block").agg(F.max("ts").alias("newest"))
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("block", F.max("newest").over(earlier).alias("before"))
+    inside = Window.partitionBy("block").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("seen", F.max("ts").over(inside)).join(blocks, "block")
+    behind = F.col("ts") < F.greatest("seen", "before") - F.expr(f"INTERVAL {late}")
+    return e.filter(behind).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 def sessions(events: DataFrame, gap: str = "12 hours") -> DataFrame:

@@ -1,5 +1,8 @@
 """Validators, dates, rules and de-duplication on fixed cases."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +74,83 @@ def test_fuzzy_dedupe_keeps_first_id(spark):
     assert got[0]["entity_id"] == first and len(first) == 12
 
 
+def test_fuzzy_dedupe_in_order_of_mention(spark):
+    rows = [(1, "c0", "ORG", "Acme Corp", 0.5, 10, 19), (1, "c0", "ORG", "Acme Corq", 0.6, 100, 109), (1, "c1", "ORG", "Acme Corp", 0.9, 900, 909)]
+    got = N.dedupe_fuzzy(entities(spark, rows)).collect()
+    ids = {r["text"]: r["i"] for r in entities(spark, rows).select("text", E.entity_id(F.lit("ORG"), F.col("text")).alias("i")).collect()}
+    assert [(r["entity_id"], r["text"], r["confidence"], r["start"]) for r in got] == [(ids["Acme Corp"], "Acme Corp", 0.9, 900)]
+
+
+def test_fuzzy_dedupe_against_a_plain_loop(spark):
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 9))) for _ in range(30)] + ["!!", "??", "Москва", "Москвы"]
+    rows = [(rng.randrange(4), "c", rng.choice(["ORG", "PER"]), rng.choice(names), rng.randrange(100) / 100, k, k + 3) for k in range(300)]
+    norm = {r["text"]: r["n"] for r in entities(spark, rows).select("text", E.normalize_entity(F.col("text")).alias("n")).distinct().collect()}
+    want = {}
+    for doc, _, label, text, confidence, start, _ in rows:
+        for rep in want.setdefault((doc, label), []):
+            a, b = norm[rep[0]], norm[text]
+            if (a or rep[0].strip() == text.strip()) and N.indel_ratio(a, b) >= 85:
+                if confidence > rep[1]:
+                    rep[:] = [text, confidence, start]
+                break
+        else:
+            want[doc, label].append([text, confidence, start])
+    got = {}
+    for r in N.dedupe_fuzzy(entities(spark, rows)).collect():
+        got.setdefault((r["doc_id"], r["label"]), []).append([r["text"], r["confidence"], r["start"]])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_names_of_other_scripts_are_apart(spark):
+    names = ["Москва", "Київ", "東京", "北京", "Αθήνα", "القاهرة", "!!!", "???", "", "Zürich", "zurich", "Łódź", "Lodz", "Straße", "STRASSE"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, text string")
+    rows = df.withColumn("n", E.normalize_entity(F.col("text"))).withColumn("e", E.entity_id(F.lit("LOC"), F.col("text"))).orderBy("i").collect()
+    assert [r["n"] for r in rows] == ["moskva", "kiyiv", "東京", "北京", "athena", "القاهرة", "", "", "", "zurich", "zurich", "lodz", "lodz", "strasse", "strasse"]
+    ids = [r["e"] for r in rows]
+    assert len(set(ids)) == 12 and ids[9] == ids[10] and ids[11] == ids[12] and ids[13] == ids[14]
+    refs = df.select(F.lit(1).cast("long").alias("doc_id"), F.lit("c").alias("chunk_id"), F.col("text").alias("ref"))
+    known = df.select(F.lit(1).cast("long").alias("doc_id"), "text", F.col("i").cast("string").alias("entity_id"))
+    assert {r["ref"] for r in N.resolve_exact(refs, known).filter("entity_id is null").collect()} == {"!!!", "???", ""}
+
+
+def test_boundaries_from_one_side_find_the_same(spark):
+    rng = random.Random(9)
+    parts = ["é", "_", " ", "-", "4111111111111111", "12345678Z", "ES9121000418450200051332", "X1234567L", "1234 BCD", "a@b.org", ".", "%", "1.2.3.4", "2024-03-08", "8 March 2023", "12°, 3°", "41.4, 2.1", "ESA12345678", "5"]
+    df = spark.createDataFrame([("".join(rng.choice(parts) for _ in range(8)),) for _ in range(300)], "t string")
+    for label, p in N.RULES:
+        both = [F.regexp_extract_all("t", F.lit(x), F.lit(0)) for x in (E.ascii_boundary(p), E.ascii_boundary(p, label not in N.OPEN_FIRST, label not in N.OPEN_LAST))]
+        gate = F.rlike("t", F.lit(N.GATES[label])) | (F.size(both[0]) == 0)
+        assert df.filter(~both[0].eqNullSafe(both[1]) | ~gate).count() == 0, label
+
+
+def test_rules_against_python(spark, sf_dir):
+    """All rules over the given documents against Python's matches, judged by the same checks."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit("c").alias("chunk_id"), "text")
+    planted = (
+        "ES9121000418450200051332, GB82WEST12345698765432 y 12345678Z X1234567L B1234567J ESA12345678 é1234 BCD 1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa "
+        "41° 24' 12.2\" N, 2° 10' 26.5\" E 41.40338, 2.17403 12°, 3° https://www.a.org/é?x=1 00:1B:44:11:3A:B7 #año @yo +34 912 345 678 "
+        "Tel: +34 91 234 567 29/02/2023 29-02-2024 2024-03-08 8 de marzo de 2023 March 8, 2023 8 Mar 2023 enero de 2020 January 1890 May 2020"
+    )
+    docs = docs.unionByName(spark.createDataFrame([(-1, "c", planted)], docs.schema))
+    found = [(r["doc_id"], label, m) for r in docs.collect() for label, p in N.RULES for m in re.findall(p, r["text"] or "", re.ASCII)]
+    assert len({label for _, label, _ in found}) > 15
+    raw = spark.createDataFrame(found, "doc_id long, label string, raw string")
+    unchecked = F.col("label").isin("IPV4", "MAC_ADDRESS", "PASSPORT_EU", "HASHTAG", "SOCIAL_MENTION")
+    date = F.when(F.col("label") == "DATE", E.normalize_date(F.col("raw")))
+    good = raw.filter(unchecked | date.isNotNull() | E.is_valid(F.col("label"), F.col("raw"))).select("doc_id", "label", F.coalesce(date, "raw").alias("text"))
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "label", "text").collect()))
+    assert rows(N.regex_entities(docs, strict=False)) == rows(good)
+
+
+def test_heuristic_places(spark):
+    text = "Ana Ruiz paid €5 on 1/2/2024; xAna Ruiz, Ana Ruiz and Bob Lee. 1/2/2024"
+    df = spark.createDataFrame([(1, "c", text), (2, "c", ""), (3, "c", None)], "doc_id long, chunk_id string, text string")
+    got = N.heuristic_matches(df).collect()
+    assert all(text[r["start"] : r["end"]] == r["text"] for r in got)
+    assert sorted((r["start"], r["label"]) for r in got if r["label"] in ("PER", "DATE")) == [(0, "PER"), (20, "DATE"), (41, "PER"), (54, "PER"), (63, "DATE")]
+
+
 def test_merge_windows(spark):
     rows = [(1, 0, "PER", "Tim Cook", 0.8, 100, 108), (1, 1, "PER", "Tim Cook", 0.9, 100, 108), (1, 1, "PER", "Ana", 0.7, 400, 403), (1, 0, "ORG", "Apple", 0.9, 5, 10)]
     df = spark.createDataFrame(rows, "doc_id long, window_index long, label string, text string, confidence double, start long, end long")
@@ -89,6 +169,30 @@ def test_resolve_refs(spark):
     assert got == {1: ["e1", "e2"]}
 
 
+def test_resolve_refs_against_all_pairs(spark):
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 8)))
+    ents = [(doc, name(), f"e{doc}-{k:02d}") for doc in range(3) for k in range(25)]
+    refs = [(rng.randrange(3), f"c{k % 40}", name()) for k in range(300)]
+    want = {}
+    for doc, chunk, ref in refs:
+        exact = sorted(e for d, n, e in ents if d == doc and n == ref)
+        near = max(((N.indel_ratio(ref, n), e) for d, n, e in ents if d == doc and N.indel_ratio(ref, n) >= 85), default=None)
+        if exact or near:
+            want.setdefault((doc, chunk), set()).add(exact[0] if exact else near[1])
+    got = N.resolve_refs(
+        spark.createDataFrame(refs, "doc_id long, chunk_id string, ref string"), spark.createDataFrame(ents, "doc_id long, text string, entity_id string")
+    ).collect()
+    assert {(r["doc_id"], r["chunk_id"]): set(r["entity_ids"]) for r in got} == want
+
+
+def test_model_keeps_large_ids_beside_null(spark):
+    big = (1 << 53) + 1
+    df = spark.createDataFrame([(None, 0, 0, "a"), (big, 1, 0, "b")], "doc_id long, window_index long, offset long, text string").coalesce(1)
+    got = N.model_entities(df, lambda texts: [[(t, "ORG", 0.9, 0, 1)] for t in texts]).collect()
+    assert {(r["doc_id"], r["text"]) for r in got} == {(None, "a"), (big, "b")}
+
+
 def test_model_retries_one_by_one(spark):
     def predict(texts):
         if len(texts) > 1 or texts[0] == "bad":

@@ -1,5 +1,8 @@
 """Expressions, chunkers and results on fixed cases."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +11,7 @@ from corpusloom.operators import chunking as C
 from corpusloom.operators import jobs as J
 from corpusloom.operators import metrics as M
 from corpusloom.operators import results as R
+from corpusloom.sources import files as S
 
 
 def one(spark, expr, **cols):
@@ -78,6 +82,15 @@ def test_turns(spark):
     assert len([r for r in got if r["doc_id"] == 2]) > 1
 
 
+def test_turns_fall_back_to_text(spark):
+    segments = spark.createDataFrame([(1, 0, "a", "hello"), ((1 << 53) + 1, 0, None, None)], "doc_id long, seg_index long, speaker string, text string")
+    docs = spark.createDataFrame([(1, "unused"), (2, "x" * 1200)], "doc_id long, text string")
+    got = C.chunk_turns(segments, 500, docs).orderBy("doc_id", "chunk_index").collect()
+    assert [(r["doc_id"], r["chunk_index"], len(r["text"]), r["speaker"]) for r in got] == [
+        (1, 0, 10, "a"), (2, 0, 500, None), (2, 1, 500, None), (2, 2, 200, None), ((1 << 53) + 1, 0, 8, None),
+    ]
+
+
 def test_sentences_pack(spark):
     got = C.pack_sentences(spark.createDataFrame([(1, "One two. Three four! Five six? Seven.")], "doc_id long, text string"), 20).orderBy("chunk_index").collect()
     assert [r["text"] for r in got] == ["One two. Three four!", "Five six? Seven."]
@@ -134,3 +147,84 @@ def test_results_write_twice(spark, tmp_path):
     R.write_results(df, str(tmp_path))
     R.write_results(df.filter("lang = 'en'"), str(tmp_path))
     assert spark.read.parquet(str(tmp_path)).count() == 2
+
+
+def test_status_of_total_failure(spark):
+    parts = spark.createDataFrame([(1, True), (1, True), (2, True), (2, False), (3, False), (4, None)], "doc_id long, degraded boolean")
+    status = R.embedding_status(parts)
+    assert {r["doc_id"]: r["status"] for r in status.collect()} == {1: "failed", 2: "degraded", 3: "ok", 4: "failed"}
+    assert R.all_or_error(status.filter("doc_id in (2, 3)")).count() == 2
+    with pytest.raises(Exception, match="no vector for any part of document 1"):
+        R.all_or_error(status).collect()
+
+
+def test_groups_fall_back_to_single_chunks(spark):
+    chunks = spark.createDataFrame([(1, k, f"c{k}", 10, "bad" if k == 4 else f"t{k}") for k in range(7)], "doc_id long, chunk_index long, chunk_id string, words long, text string")
+    asked = []
+
+    def answer(prompt):
+        if "bad" in prompt:
+            raise RuntimeError("no")
+        asked.append(prompt)
+        return str(prompt.count("max facts: "))
+
+    got = {r["chunk_id"]: (r["reply"], r["single"]) for r in R.ask_in_groups(chunks, answer).collect()}
+    assert got == {"c0": ("3", False), "c6": ("1", False), "c3": ("1", True), "c4": (None, True), "c5": ("1", True)}
+
+
+def test_replies_are_cached(spark):
+    prompts = spark.createDataFrame([(1, "a", "k1", "x"), (2, "b", "k1", "x"), (3, "c", "k2", "yy"), (4, "d", "k3", "zzz")], "doc_id long, chunk_id string, key string, prompt string")
+    cache = spark.createDataFrame([("k2", "known"), ("k3", None)], "key string, reply string")
+    got = {r["doc_id"]: (r["reply"], r["cached"]) for r in R.ask_once(prompts, cache, lambda p: str(len(p))).collect()}
+    assert got == {1: ("1", False), 2: ("1", False), 3: ("known", True), 4: ("3", False)}
+
+
+def test_order_statistics_against_sorting(spark):
+    rng = random.Random(8)
+    rows = [(k, round(rng.choice([rng.random(), 0.5, 7.0]), 3)) for k in ("a", "b", None) for _ in range(rng.choice([1, 2, 37, 400]))] + [("c", None)]
+    got = {r["k"]: r for r in M.latency_report(spark.createDataFrame(rows, "k string, v double"), "v", "k").collect()}
+    assert set(got) == {"a", "b", None}
+    for k, r in got.items():
+        v = sorted(x for g, x in rows if g == k)
+        assert r["n"] == len(v) and r["p95_index"] == v[max(1, int(0.95 * len(v))) - 1]
+        for name, q in (("p50", 0.5), ("p95", 0.95)):
+            at = (len(v) - 1) * q
+            assert r[name] == pytest.approx(v[math.floor(at)] * (1 - at % 1) + v[math.ceil(at)] * (at % 1))
+
+
+def test_rate_over_spans(spark):
+    rng = random.Random(2)
+    rows = [("c", t, float(rng.randrange(50))) for t in sorted(rng.sample(range(5000), 120))]
+    got = {r["t"]: r["increase"] for r in M.counter_rate(spark.createDataFrame(rows, "name string, t long, value double"), 300).collect()}
+    deltas = [0.0] + [b[2] - a[2] if b[2] >= a[2] else b[2] for a, b in zip(rows, rows[1:], strict=False)]
+    assert got == {t: sum(d for (_, u, _), d in zip(rows, deltas, strict=True) if t - 300 <= u <= t) for _, t, _ in rows}
+
+
+def test_page_text_decodes_references(spark):
+    page = "<p>caf&eacute; &#8364; &mdash; &#x41;&amp;lt; &nbsp; <b>x</b><!-- no --></p>"
+    assert one(spark, T.html_text(F.col("h")), h=page) == "café € — A&lt; x"
+    assert spark.createDataFrame([(None,)], "h string").select(T.html_text(F.col("h"))).first()[0] is None
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    for name, data in (("a.txt", b"hi"), ("b.exe", b"x"), ("c.csv", b"h\n" + b"1\n" * 5000), ("sub/d.pdf", b"y" * 3000)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"].rsplit("/", 1)[1]: r["refusal"] for r in S.admit_files(S.read_files(spark, str(tmp_path)), document_mb=1, sheet_bytes=4096).collect()}
+    assert got == {"a.txt": None, "b.exe": "invalid_file_type", "c.csv": "spreadsheet_too_large", "d.pdf": None}
+
+
+def test_records_of_csv_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,text\n1,"two\nlines"\n2,"a ""b"", c"\n')
+    (tmp_path / "b.csv").write_text("id,text\n" + "".join(f"{i},x\n" for i in range(5)))
+    got = {r["path"].rsplit("/", 1)[1]: (r["n_records"], r["refused"]) for r in S.csv_row_guard(S.read_csv_records(spark, str(tmp_path)), 4).collect()}
+    assert got == {"a.csv": (2, False), "b.csv": (5, True)}
+
+
+def test_batch_of_too_many_documents(spark):
+    import json
+
+    body = lambda n, **more: json.dumps({"profile": "full", "documents": [{"doc_id": i, "filename": f"{i}.pdf", "text": "x"} for i in range(n)]} | more)
+    df = spark.createDataFrame([("ok", body(100)), ("many", body(101)), ("odd", body(1, profile="deluxe"))], "batch string, body string")
+    got = {(r["batch"], r["reason"]): r["n"] for r in S.batch_explode(df).groupBy("batch", "reason").agg(F.count("*").alias("n")).collect()}
+    assert got == {("ok", None): 100, ("many", "too_many_documents"): 101, ("odd", "invalid_profile"): 1}
