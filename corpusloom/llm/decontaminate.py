@@ -23,7 +23,9 @@ WINDOW, LEAST = 13, 10
 #: What MASKS alone leave out: with MORE every window of 13 tokens that agrees in 10 has a hit, with SHORT every item of 7 to 12 tokens that agrees as asked.
 MORE = ("11010001011", "1100011011", "111001011", "10111000011")
 SHORT = ("11111", "110111", "11010011")
-#: Benchmark tokens that one broadcast block of seeds may hold; each gives a small row per mask.
+#: For items of 1 to 6 tokens, by their number: each of these masks hits whatever the item may have replaced (none up to 4 tokens, then one).
+BRIEF = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("111", "11011"), 6: ("111",)}
+#: Benchmark tokens whose seeds may be broadcast; each gives a small row per mask.
 BLOCK_TOKENS = 200_000
 
 
@@ -56,36 +58,44 @@ def _agree(a: Column, b: Column, window: Column) -> Column:
     return F.array_max(F.transform(starts, lambda i: F.aggregate(F.slice(eq, i, window), F.lit(0), lambda s, x: s + x)))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, shortest: int = 1) -> DataFrame:
     """Rows (doc_id, item_id, tokens_equal, n_hits, token_from, token_to), one for each document and item that share a passage.
 
     A passage is shared if a window of 13 tokens (of the whole item, if it is
     shorter) agrees in 10 of 13 tokens, laid at a seed hit.  tokens_equal is the
     best window's count, n_hits the hits of MASKS, token_from and token_to the
-    first and last of them; where MASKS have none, those of the other masks.  Null
-    or empty texts, and items of fewer than 7 tokens, share nothing.
-    Repeated rows count as one; rows that share a doc_id are one document.
-    Other columns are ignored.  The benchmark is the stated query set: its seeds
-    are broadcast in blocks of bounded size.  Of the documents only hits are
-    shuffled, and the texts that have hits (a bit table of fixed size finds them).
+    first and last of them; where MASKS have none, those of the other masks.
+    Items of fewer than `shortest` tokens, null and empty texts and rows with a
+    null doc_id or item_id share nothing.  Repeated rows count as one; rows that
+    share a doc_id are one document.  Other columns are ignored.
+
+    The documents are read once for their seeds, whatever the benchmark's size.
+    Up to BLOCK_TOKENS its seeds are broadcast and only hits are shuffled; a
+    larger one's seeds make a bit table of fixed size, and the seeds that pass
+    it are shuffled.  Then the texts that have hits are shuffled (by such a
+    table too).
     """
-    shortest = min(map(len, MASKS))
-    items = benchmark.select("item_id", tokens_of(F.col("text")).alias("b")).filter(F.size("b") >= shortest).distinct()
-    n_tokens = benchmark.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
-    blocks = max(1, -(-n_tokens // BLOCK_TOKENS))
-    brief = items.filter(F.size("b") < WINDOW)
-    masks = MASKS + MORE + (SHORT if not brief.isEmpty() else ())
-    seeds = _seed_rows(items, "b", "at", MASKS).withColumn("stated", F.lit(True))
-    for frame, more, first in ((items, MORE, len(MASKS)), (brief, SHORT, len(MASKS + MORE)))[: 1 + (len(masks) > len(MASKS + MORE))]:
-        seeds = seeds.unionByName(_seed_rows(frame, "b", "at", more, first).withColumn("stated", F.lit(False)))
-    texts = docs.select("doc_id", "text")
-    least = min(map(len, masks))
-    rows = _seed_rows(texts.select("doc_id", tokens_of(F.col("text")).alias("d")).filter(F.size("d") >= least), "d", "p", masks)
-    found = []
-    for k in range(blocks):
-        block = seeds if blocks == 1 else seeds.filter(F.pmod("seed", F.lit(blocks)) == k)
-        found.append(rows.join(F.broadcast(block), "seed"))
-    hits = reduce(DataFrame.unionByName, found).select("doc_id", "item_id", "p", (F.col("p") - F.col("at")).alias("shift"), "stated")
+    items = benchmark.filter("item_id is not null").select("item_id", tokens_of(F.col("text")).alias("b")).filter(F.size("b") >= max(1, shortest)).distinct()
+    items = cut(items)
+    n_tokens, least = items.agg(F.coalesce(F.sum(F.size("b")), F.lit(0)), F.coalesce(F.min(F.size("b")), F.lit(WINDOW))).first()
+    kinds = [(items, MASKS, True), (items, MORE, False)]
+    if least < WINDOW:
+        kinds.append((items.filter(F.size("b") < WINDOW), SHORT, False))
+    kinds += [(items.filter(F.size("b") == n), masks, False) for n, masks in BRIEF.items() if n >= least]
+    masks: tuple[str, ...] = ()
+    seeds = []
+    for frame, more, stated in kinds:
+        seeds.append(_seed_rows(frame, "b", "at", more, len(masks)).withColumn("stated", F.lit(stated)))
+        masks += more
+    seeds = reduce(DataFrame.unionByName, seeds)
+    texts = docs.filter("doc_id is not null").select("doc_id", "text")
+    shortest_mask = min(map(len, masks))
+    rows = _seed_rows(texts.select("doc_id", tokens_of(F.col("text")).alias("d")).filter(F.size("d") >= shortest_mask), "d", "p", masks)
+    if n_tokens <= BLOCK_TOKENS:
+        hits = rows.join(F.broadcast(seeds), "seed")
+    else:
+        hits = split_by_filter(rows, "seed", id_filter(seeds, "seed"))[0].join(seeds, "seed")
+    hits = hits.select("doc_id", "item_id", "p", (F.col("p") - F.col("at")).alias("shift"), "stated")
     hits = hits.groupBy("doc_id", "item_id", "shift", "p").agg(F.max("stated").alias("stated"))
     stated = F.when(F.col("stated"), F.col("p"))
     hits = cut(hits.groupBy("doc_id", "item_id", "shift").agg(

@@ -5,9 +5,9 @@ and path segments; the one that occurs in the fewest rules indexes it.  The
 tokens of a URL fetch candidate rules from that index, and only these run their
 regular expression.  The longest rule that fits gives the verdict.
 
-The rule list is a parameter that the driver holds, with a bound on its length
-(MAX_RULES), so the index is a literal map inside the projection: no join, no
-shuffle, one pass over the url column.
+Up to MAX_RULES the index is a literal map inside the projection: no join, no
+shuffle, one pass over the url column.  A longer list is a table: the tokens of
+each distinct host and path are joined with it, and the verdicts with the rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules that one call may hold. The index is a literal in the plan.
+from corpusloom.llm.common import join_groups
+
+#: Rules up to which the index is a literal in the plan.
 MAX_RULES = 5000
 
 
@@ -71,6 +73,40 @@ def path_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, path).otherwise(F.lit(""))
 
 
+def _tokens() -> Column:
+    labels = F.transform(F.split("host", r"\."), lambda x: F.concat(F.lit("h:"), x))
+    segments = F.transform(F.split("path", "/"), lambda x: F.concat(F.lit("p:"), x))
+    return F.array_distinct(F.concat(F.array(F.lit("")), labels, segments))
+
+
+def _subject() -> Column:
+    return F.concat(F.col("host"), F.lit("\n"), F.col("path"))
+
+
+def _by_map(rules: list[Rule]) -> Column:
+    """The best fitting rule of the row's host and path, from an index that is a literal."""
+    entry = lambda r: F.struct(
+        F.lit(len(r.pattern)).alias("size"), F.lit(int(r.verdict == "block")).alias("block"),
+        F.lit(r.pattern).alias("pattern"), F.lit(r.verdict).alias("verdict"), F.lit(r.regex()).alias("regex"),
+    )
+    index = F.create_map(*[x for token, found in sorted(_index(rules).items()) for x in (F.lit(token), F.array(*map(entry, found)))])
+    candidates = F.flatten(F.filter(F.transform(_tokens(), lambda t: F.try_element_at(index, t)), lambda c: c.isNotNull()))
+    fits = F.filter(candidates, lambda c: F.rlike(_subject(), c["regex"]))
+    best = F.array_max(F.transform(fits, lambda c: F.struct(c["size"], c["block"], c["pattern"], c["verdict"])))
+    return F.when(F.col("host") != "", best)
+
+
+def _by_join(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """rows with `best`, from an index that is a table.  Distinct hosts and paths are looked up once, so a hot url is one row there."""
+    spark = rows.sparkSession
+    flat = [(token, len(r.pattern), int(r.verdict == "block"), r.pattern, r.verdict, r.regex()) for token, found in _index(rules).items() for r in found]
+    index = spark.createDataFrame(flat, "token string, size int, block int, pattern string, verdict string, regex string")
+    asked = rows.filter("host != ''").select("host", "path").distinct()
+    candidates = asked.withColumn("token", F.explode(_tokens())).join(index, "token").filter(F.rlike(_subject(), F.col("regex")))
+    best = candidates.groupBy("host", "path").agg(F.max(F.struct("size", "block", "pattern", "verdict")).alias("best"))
+    return join_groups(rows, best, ["host", "path"])
+
+
 def filter_urls(df: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow") -> DataFrame:
     """df with host, path, rule and verdict.
 
@@ -79,48 +115,19 @@ def filter_urls(df: DataFrame, rules: list[Rule], url: str = "url", default: str
     without '://' has an empty host and path and fits no rule.  A path segment
     counts as a token only where the rule's prefix holds it whole.  Repeated
     rows stay; columns of df with the names of the new ones are replaced.  An
-    empty rule list gives the default everywhere.
+    empty rule list gives the default everywhere; a list of any length is taken.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; a call takes {MAX_RULES}")
     rules = list(dict.fromkeys(rules))
-    out = df.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    none = F.lit(None).cast("struct<size:int,block:int,pattern:string,verdict:string>")
+    new = ("host", "path", "rule", "verdict")
+    kept = F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in new]).alias("row")
+    out = df.select(kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     if not rules:
-        best = none
+        out = out.withColumn("best", F.lit(None).cast("struct<size:int,block:int,pattern:string,verdict:string>"))
+    elif len(rules) <= MAX_RULES:
+        out = out.withColumn("best", _by_map(rules))
     else:
-        labels = F.transform(F.split("host", r"\."), lambda x: F.concat(F.lit("h:"), x))
-        segments = F.transform(F.split("path", "/"), lambda x: F.concat(F.lit("p:"), x))
-        tokens = F.array_distinct(F.concat(F.array(F.lit("")), labels, segments))
-        index = F.create_map(
-            *[
-                x
-                for token, found in sorted(_index(rules).items())
-                for x in (
-                    F.lit(token),
-                    F.array(
-                        *[
-                            F.struct(
-                                F.lit(len(r.pattern)).alias("size"), F.lit(int(r.verdict == "block")).alias("block"),
-                                F.lit(r.pattern).alias("pattern"), F.lit(r.verdict).alias("verdict"), F.lit(r.regex()).alias("regex"),
-                            )
-                            for r in found
-                        ]
-                    ),
-                )
-            ]
-        )
-        candidates = F.flatten(F.filter(F.transform(tokens, lambda t: F.try_element_at(index, t)), lambda c: c.isNotNull()))
-        subject = F.concat(F.col("host"), F.lit("\n"), F.col("path"))
-        fits = F.filter(candidates, lambda c: F.rlike(subject, c["regex"]))
-        best = F.array_max(F.transform(fits, lambda c: F.struct(c["size"], c["block"], c["pattern"], c["verdict"])))
-        best = F.when(F.col("host") != "", best)
-    return (
-        out.withColumn("_best", best)
-        .withColumn("rule", F.col("_best.pattern"))
-        .withColumn("verdict", F.coalesce(F.col("_best.verdict"), F.lit(default)))
-        .drop("_best")
-    )
+        out = _by_join(out, rules)
+    return out.select("row.*", "host", "path", F.col("best.pattern").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
 
 
 #: Fixed by the contract of the query.

@@ -30,14 +30,17 @@ URLS = [
 
 
 def test_urls(spark):
-    df = spark.createDataFrame([(i, u[0], "old", 1) for i, u in enumerate(URLS)] + [(99, URLS[0][0], "old", 1)], "page_id long, url string, host string, verdict int")
+    df = spark.createDataFrame([(i, u[0], "old", 1) for i, u in enumerate(URLS)] + [(99, URLS[0][0], "old", 1)], "page_id long, url string, Host string, verdict int")
+    assert U.filter_urls(df.withColumnRenamed("Host", "best"), U.RULES).columns == ["page_id", "url", "best", "host", "path", "rule", "verdict"]
     got = {r["page_id"]: r for r in U.filter_urls(df, U.RULES).collect()}
     for i, (_, host, path, rule, verdict) in enumerate(URLS):
         assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, rule, verdict)
     assert got[99]["rule"] == got[0]["rule"]
 
 
-def test_urls_against_all_rules(spark):
+@pytest.mark.parametrize("most", [U.MAX_RULES, 10])
+def test_urls_against_all_rules(spark, monkeypatch, most):
+    monkeypatch.setattr(U, "MAX_RULES", most)  # by a literal map, or by a join
     rng = random.Random(3)
     part = lambda xs, lo, hi: [rng.choice(xs) for _ in range(rng.randint(lo, hi))]
     rules = list(dict.fromkeys(
@@ -58,8 +61,12 @@ def test_urls_empty_and_bounds(spark):
     assert U.filter_urls(df, U.RULES).count() == 0
     one = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     assert U.filter_urls(one, [], default="block").first()["verdict"] == "block"
-    with pytest.raises(ValueError):
-        U.filter_urls(one, [U.Rule("allow", f"h{i}/") for i in range(U.MAX_RULES + 1)])
+    many = [U.Rule("block", f"h{i}.org/") for i in range(U.MAX_RULES + 1)]
+    long = spark.createDataFrame([(1, "http://h7.org/" + "x" * 300_000), (2, f"http://a.h{U.MAX_RULES}.org/"), (3, "http://none.org/"), (4, None), (4, None)], "page_id long, url string")
+    for rules in (many, many[:8]):
+        got = sorted((r["page_id"], r["rule"]) for r in U.filter_urls(long, rules).collect())
+        assert got[0] == (1, "h7.org/") and len(got) == 5
+        assert got[1] == (2, f"h{U.MAX_RULES}.org/" if rules is many else None) and got[2:] == [(3, None), (4, None), (4, None)]
 
 
 def chats():
@@ -70,6 +77,7 @@ def chats():
             role = rng.choice(["user", "assistant", "system", "tool\n<|x", None])
             text = rng.choice([None, "".join(rng.choice(nasty) for _ in range(rng.randint(0, 6)))])
             rows.append((conv, turn, role, text, "x"))
+    rows += [(101, k, "assistant" if k % 2 else "user", f"<|im_end|>\n{k}", "x") for k in range(120)] + [(102, 0, "user", "é<|" * 100_000, "x"), (102, 1, "assistant", "&" * 100_000, "x")]
     return rows + [(100, 0, "assistant", "a", "x"), (100, 0, "assistant", "a", "x"), (None, None, "user", "n", "x")]
 
 
@@ -117,7 +125,7 @@ def test_leaks_against_brute_force(spark):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 4))) for _ in range(400)]
     text = lambda n: [rng.choice(words) for _ in range(n)]
-    items = [(i, text(rng.randint(20, 40))) for i in range(12)] + [(90, text(9)), (91, [])]
+    items = [(i, text(rng.randint(20, 40))) for i in range(12)] + [(90, text(9)), (91, []), *((100 + n, text(n)) for n in range(2, 8))]
     docs = []
     for i in range(60):
         d = text(rng.randint(0, 80))
@@ -128,19 +136,20 @@ def test_leaks_against_brute_force(spark):
             at = rng.randint(0, len(d))
             d = d[:at] + b + d[at:]
         docs.append((i, " ".join(d).title() if i % 2 else ", ".join(d), i))
-    docs += [(500, None, 0), (501, "", 0), (0, docs[0][1], 0)]
-    bench = spark.createDataFrame([(i, " ".join(b), "x") for i, b in items] + [(0, " ".join(items[0][1]), "x"), (92, None, "x")], "item_id long, text string, doc_id string")
+    docs += [(500, None, 0), (501, "", 0), (0, docs[0][1], 0), (502, " ".join(text(30_000)), 0), (None, " ".join(items[0][1]), 0)]
+    bench = spark.createDataFrame([(i, " ".join(b), "x") for i, b in items] + [(0, " ".join(items[0][1]), "x"), (92, None, "x"), (None, " ".join(items[1][1]), "x")], "item_id long, text string, doc_id string")
     got = {(r["doc_id"], r["item_id"]): r["tokens_equal"] for r in D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id long"), bench).collect()}
     want = {}
     for i, d, _ in docs:
-        for k, b in items:
+        for k, b in items if i is not None and i != 502 else ():
             size = min(D.WINDOW, len(b))
-            if len(b) >= 7 and (n := best_window(tokens(d), b, size)) >= -(-size * D.LEAST // D.WINDOW):
+            if b and (n := best_window(tokens(d), b, size)) >= -(-size * D.LEAST // D.WINDOW):
                 want[i, k] = n
-    assert set(got) <= set(want)
+    got = {k: n for k, n in got.items() if k[0] != 502}
+    assert set(got) == set(want)
     assert all(got[k] <= want[k] for k in got)
-    missed = [k for k in want if k not in got]
-    assert len(missed) <= 0.1 * len(want), (missed, len(want))  # seeds find at least nine of ten that the brute force finds
+    seven = {(r["doc_id"], r["item_id"]) for r in D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id long"), bench, 7).collect() if r["doc_id"] != 502}
+    assert seven == {k for k in want if len(dict(items)[k[1]]) >= 7}
 
 
 def test_leaks_in_blocks(spark, monkeypatch):
@@ -155,8 +164,8 @@ def test_leaks_in_blocks(spark, monkeypatch):
 
 
 def test_masks_hit_every_window():
-    for size in range(7, D.WINDOW + 1):
-        masks = D.MASKS + D.MORE + (D.SHORT if size < D.WINDOW else ())
+    for size in range(1, D.WINDOW + 1):
+        masks = D.MASKS + D.MORE + (D.SHORT if size < D.WINDOW else ()) if size > 6 else D.BRIEF[size]
         laid = [{o + i for i, c in enumerate(m) if c == "1"} for m in masks for o in range(size - len(m) + 1)]
         for swapped in itertools.combinations(range(size), size + (-size * D.LEAST // D.WINDOW)):
             assert any(not at & set(swapped) for at in laid), (size, swapped)
