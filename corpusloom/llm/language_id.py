@@ -52,18 +52,18 @@ def _table() -> np.ndarray:
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(codes, counts) of the 1- to 3-grams of a whole text; a code packs the code points into 63 bits."""
     codes, counts = [], []
+    tail = np.array([32], dtype=np.int64)  # the last symbols before the block
     for at in range(0, len(text), BLOCK):
-        # Blocks overlap by nothing: a block edge acts as a blank.
         points = np.frombuffer(text[at : at + BLOCK].encode("utf-32-le", "replace"), dtype=np.uint32)
-        low = _table()[np.minimum(points, 0x10FFFF)]
-        a = np.empty(len(low) + 2, dtype=np.int64)
-        a[0] = a[-1] = 32
-        a[1:-1] = low
+        end = [32] if at + BLOCK >= len(text) else []
+        a = np.concatenate([tail, _table()[np.minimum(points, 0x10FFFF)], np.array(end, np.int64)]).astype(np.int64)
         a = a[np.r_[True, (a[1:] != 32) | (a[:-1] != 32)]]
         two = a[:-1] << 21 | a[1:]
         three = two[:-1] << 21 | a[2:]
         middle = a[1:-1] != 32  # no n-gram has a blank inside
-        found = np.concatenate([a[a != 32], two, three[middle] | (1 << 62)])
+        one, seen = a[len(tail) :], len(tail) - 2  # n-grams that end in this block
+        found = np.concatenate([one[one != 32], two[seen + 1 :], (three[middle] if seen < 0 else three[seen:][middle[seen:]]) | (1 << 62)])
+        tail = a[-2:]
         c, n = np.unique(found, return_counts=True)
         codes.append(c)
         counts.append(n)
@@ -80,6 +80,13 @@ def ranked(codes: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> np.ndar
     return codes[np.lexsort((codes, -counts))[:depth]]
 
 
+def _labelled(docs: DataFrame, fit_rows: int) -> DataFrame:
+    """About fit_rows rows with text and lang, by a hash of doc_id (all, if there are no more)."""
+    known = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
+    n = docs.filter("lang is not null").count()
+    return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * fit_rows / n)) if n > fit_rows else known
+
+
 def fit_profiles(docs: DataFrame, fit_rows: int = FIT_ROWS, depth: int = DEPTH) -> dict[str, list[int]]:
     """{language: n-gram codes by rank} from rows with text and lang.
 
@@ -87,10 +94,7 @@ def fit_profiles(docs: DataFrame, fit_rows: int = FIT_ROWS, depth: int = DEPTH)
     hash of doc_id (all, if there are no more).  Only depth n-grams a language
     come to the driver.  Ties in count go by code.
     """
-    known = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
-    n = docs.filter("lang is not null").count()
-    if n > fit_rows:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * fit_rows / n))
+    known = _labelled(docs, fit_rows)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -136,6 +140,15 @@ class Judge:
         return self.langs[best], 1.0 - far[best] / (self.depth * len(mine))
 
 
+def least_score(docs: DataFrame, profiles: dict[str, list[int]], fit_rows: int = FIT_ROWS, depth: int = DEPTH) -> float:
+    """Half of the least score that any labelled text with a letter gets: below it a text is in none of the profiles' languages.
+
+    docs as for fit_profiles, of which the same rows are taken; 0 without any.
+    """
+    judged = identify(_labelled(docs, fit_rows), profiles, depth).filter(F.col("lang_pred") != UNKNOWN)
+    return (judged.agg(F.min("score")).first()[0] or 0.0) / 2
+
+
 def identify(docs: DataFrame, profiles: dict[str, list[int]], depth: int = DEPTH) -> DataFrame:
     """docs with lang_pred and score (0 to 1, 1 - distance / greatest distance), from text alone.
 
@@ -151,8 +164,10 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], depth: int = DEPTH
         for series in texts:
             yield pd.DataFrame([one(x) for x in series], columns=["lang_pred", "score"])
 
-    out = docs.drop("lang_pred", "score").withColumn("_judged", judge("text"))
-    return out.withColumn("lang_pred", F.col("_judged.lang_pred")).withColumn("score", F.col("_judged.score")).drop("_judged")
+    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    judged = judge("text")
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), judged.alias("judged"))
+    return out.select("row.*", "judged.lang_pred", "judged.score")
 
 
 def held_out(doc_id: str = "doc_id"):
