@@ -20,9 +20,10 @@ import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Entries of a task's memos.
 CHUNK_MEMO, WORD_MEMO = 400_000, 700_000
@@ -148,19 +149,18 @@ def _codec(vocabulary: str) -> Codec:
     return _CODECS[key]
 
 
-def _apply(df: DataFrame, vocabulary: str, schema: str, row: Callable[[Codec, str], tuple], keep: str = "doc_id") -> DataFrame:
+def _apply(df: DataFrame, vocabulary: str, source: str, schema: str, made: list[tuple[str, pa.DataType]], row: Callable[[Codec, str], tuple]) -> DataFrame:
+    """doc_id, passed on as it is, with what `row` makes of each value of `source`."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
-        names = [x.split()[0] for x in schema.split(", ")]
-        for frame in frames:
-            rows = [row(codec, x or "") for x in frame["text"]]
-            made = pd.DataFrame(rows, columns=names[1:]) if rows else pd.DataFrame({n: [] for n in names[1:]})
-            made.insert(0, keep, frame[keep].to_numpy())
-            yield made
+        for batch in batches:
+            rows = [row(codec, x.as_py()) for x in batch[source]]
+            columns = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(made)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=["doc_id", *(name for name, _ in made)])
 
-    return df.select(keep, "text").mapInPandas(run, schema)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), source).mapInArrow(run, f"doc_id long, {schema}")
 
 
 def read_vocabulary(path: str) -> str:
@@ -170,19 +170,12 @@ def read_vocabulary(path: str) -> str:
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, ids binary): little-endian unsigned 32-bit ids of each whole text; null is empty; repeated rows stay."""
-    return _apply(docs, vocabulary, "doc_id long, ids binary", lambda c, x: (c.encode(x),))
+    return _apply(docs, vocabulary, "text", "ids binary", [("ids", pa.binary())], lambda c, x: (c.encode(x or ""),))
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, ids) -> (doc_id, text)."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = _codec(shared.value)
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "text": [codec.decode(x or b"") for x in frame["ids"]]})
-
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    """(doc_id, ids) -> (doc_id, text); null ids give the empty text."""
+    return _apply(encoded, vocabulary, "ids", "text string", [("text", pa.string())], lambda c, x: (c.decode(x or b""),))
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -192,8 +185,9 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     Null and empty texts give no ids.  Extra columns are ignored.
     """
 
-    def row(c: Codec, text: str) -> tuple:
-        ids = c.encode(text)
+    def row(c: Codec, text: str | None) -> tuple:
+        ids = c.encode(text or "")
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()
 
-    return _apply(docs, vocabulary, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", row)
+    made = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    return _apply(docs, vocabulary, "text", "n_tokens long, ids_sha256 string, decoded_sha256 string", made, row)
