@@ -3,7 +3,9 @@
 Trees split recursively by random directions at the median of a bounded sample;
 vectors near a split go to both sides (spill).  Vectors are compared, in double
 precision, only within a leaf and an equal label; links of at least the
-threshold are counted and united.  A leaf that stays large (a group of near
+threshold are counted and united.  How deep a vector goes follows the number of
+vectors of its own label, as the sample tells it, so a hot label has more leaves
+and not larger ones.  A leaf that stays large (a group of near
 copies can't be split) is compared with itself in tiles of rows, each a task of
 its own, so nothing is capped.  Equal vectors are one vector with a weight.  A
 pair that meets in several leaves counts in the first of them, which both rows'
@@ -12,6 +14,7 @@ lists of leaves tell, so no pair is ever sent.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,58 +24,76 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import connected_components, cut, join_groups
 
-TREES, SPILL = 4, 0.02
-#: Vectors that a leaf should hold; rows of the sample that fits the trees; greatest depth.
-LEAF, SAMPLE, DEPTH = 512, 50_000, 14
+#: Trees, and how near to a split a vector goes to both sides, in a tree of at most SPILL_DEPTH levels (less in a deeper one, so that spilled rows stay as many).
+TREES, SPILL, SPILL_DEPTH = 5, 0.02, 8
+#: Vectors that a leaf should hold; rows of the sample that fits the trees; levels whose nodes have a split of their own; greatest depth.
+LEAF, SAMPLE, SPLITS, DEPTH = 512, 50_000, 12, 28
 THRESHOLD = 0.98
 #: Rows of one side of a compared tile, for leaves that stay larger.
 TILE = 2048
 
 
 class Forest:
-    """Random directions and split points; a node's split is the sample's median there."""
+    """Random directions and split points.
 
-    def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, spill: float = SPILL, seed: int = 11):
+    A node's split is the sample's median there; below level SPLITS, where few
+    rows of the sample are left, it is the whole sample's median in the level's
+    direction.  Nodes are numbered from 1 at the root; k has the children 2 k
+    and 2 k + 1.
+    """
+
+    def __init__(self, sample: np.ndarray, labels: list, n: int, leaf: int = LEAF, trees: int = TREES, spill: float = SPILL, seed: int = 11):
         random = np.random.default_rng(seed)
+        each = n / max(1, len(sample))  # vectors for which a row of the sample stands
+        deep = lambda rows: int(min(DEPTH, max(0, np.ceil(np.log2(max(1.0, rows * each / leaf))))))
+        self.depths = {label: deep(rows) for label, rows in Counter(labels).items()}
+        self.other = deep(1)  # a label that the sample lacks
+        self.depth = max([self.other, *self.depths.values()]) if len(sample) else 0
+        self.spill = spill * min(1.0, SPILL_DEPTH / max(1, self.depth))
         dim = sample.shape[1]
-        self.depth, self.spill = depth, spill
-        self.direction = random.standard_normal((trees, depth, dim))
+        self.direction = random.standard_normal((trees, self.depth, dim))
         self.direction /= np.linalg.norm(self.direction, axis=2, keepdims=True)
-        self.split = np.zeros((trees, 1 << depth))
+        self.middle = np.zeros((trees, self.depth))
+        self.split = np.zeros((trees, 1 << min(SPLITS, self.depth)))
         for t in range(trees):
-            at = np.zeros(len(sample), dtype=np.int64)
-            for d in range(depth):
+            at = np.ones(len(sample), dtype=np.int64)
+            for d in range(self.depth):
                 x = sample @ self.direction[t, d]
-                order = np.lexsort((x, at))
-                node, first, size = np.unique(at[order], return_index=True, return_counts=True)
-                middle = x[order][first + size // 2]
-                self.split[t, (1 << d) + node] = middle
-                at = at * 2 + (x >= self.split[t, (1 << d) + at])
-
-    def leaves(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                self.middle[t, d] = np.median(x)
+                if d < SPLITS:
+                    order = np.lexsort((x, at))
+                    node, first, size = np.unique(at[order], return_index=True, return_counts=True)
+                    self.split[t, 1 << d : 1 << (d + 1)] = self.middle[t, d]
+                    self.split[t, node] = x[order][first + size // 2]
+                    at = at * 2 + (x >= self.split[t, at])
+
+    def leaves(self, x: np.ndarray, labels: list) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per tree (rows, leaves): every leaf that a row reaches."""
+        depth = np.array([self.depths.get(label, self.other) for label in labels], dtype=np.int64)
         out = []
         for t in range(len(self.direction)):
-            rows, at = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
+            rows, at = np.arange(len(x)), np.ones(len(x), dtype=np.int64)
             for d in range(self.depth):
-                off = (x @ self.direction[t, d])[rows] - self.split[t, (1 << d) + at]
-                low, high = off < self.spill, off >= -self.spill
-                rows, at = np.concatenate([rows[low], rows[high]]), np.concatenate([at[low] * 2, at[high] * 2 + 1])
+                on = depth[rows] > d
+                split = self.split[t, at * on] if d < SPLITS else self.middle[t, d]
+                off = (x @ self.direction[t, d])[rows] - split
+                low, high = on & (off < self.spill), on & (off >= -self.spill)
+                rows, at = np.concatenate([rows[~on], rows[low], rows[high]]), np.concatenate([at[~on], at[low] * 2, at[high] * 2 + 1])
             out.append((rows, at))
         return out
 
 
-
-def _sample(reps: DataFrame, rows: int) -> tuple[np.ndarray, int]:
-    """A bounded sample by a hash of rep, as unit vectors, and the number of all rows."""
+def _sample(reps: DataFrame, rows: int) -> tuple[np.ndarray, list, int]:
+    """A bounded sample by a hash of rep, as unit vectors with their labels, and the number of all rows."""
     n = reps.count()
     part = reps if n <= rows else reps.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int((1 << 30) * rows / n))
-    got = part.select("embedding").toPandas()["embedding"]
+    got = part.select("label", "embedding").toPandas()
     if not len(got):
-        return np.zeros((0, 1)), n
-    width = int(np.bincount([len(v) for v in got]).argmax())
-    x = np.stack([np.asarray(v, dtype=np.float64) for v in got if len(v) == width])
-    return x / np.linalg.norm(x, axis=1, keepdims=True), n
+        return np.zeros((0, 1)), [], n
+    length = got["embedding"].map(len)
+    got = got[length == int(np.bincount(length).argmax())]
+    x = np.stack([np.asarray(v, dtype=np.float64) for v in got["embedding"]])
+    return x / np.linalg.norm(x, axis=1, keepdims=True), got["label"].tolist(), n
 
 
 def _local_components(linked: np.ndarray) -> np.ndarray:
@@ -136,7 +157,7 @@ def link_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
     Extra columns are ignored; an empty table gives an empty result.
     """
     v = vectors.select("vec_id", "label", "embedding").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("x"))
-    v = v.select("vec_id", "x.label", F.col("x.embedding").cast("array<double>").alias("embedding"))
+    v = v.select("vec_id", "x.label", "x.embedding")
     finite = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda c: c != 0), F.lit(False))
     v = v.withColumn("sound", F.coalesce(sound, F.lit(False)))
@@ -148,11 +169,9 @@ def link_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
         .agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
     )
     reps = cut(reps)
-    sample, n = _sample(reps, SAMPLE)
-    n_labels = max(1, reps.select("label").distinct().count())
-    depth = max(0, min(DEPTH, int(np.ceil(np.log2(max(1, n / n_labels / leaf))))))
+    sample, labels, n = _sample(reps, SAMPLE)
     width = sample.shape[1]
-    forest = vectors.sparkSession.sparkContext.broadcast(Forest(sample, depth, trees, spill))
+    forest = vectors.sparkSession.sparkContext.broadcast(Forest(sample, labels, n, leaf, trees, spill))
 
     def leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grown = forest.value
@@ -164,14 +183,14 @@ def link_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
             if fit.any():
                 x = np.stack([np.asarray(e, dtype=np.float64) for e in frame["embedding"][fit]])
                 place = np.flatnonzero(fit)
-                for t, (rows, at) in enumerate(grown.leaves(x / np.linalg.norm(x, axis=1, keepdims=True))):
+                for t, (rows, at) in enumerate(grown.leaves(x / np.linalg.norm(x, axis=1, keepdims=True), frame["label"][fit].tolist())):
                     for r, k in zip(place[rows].tolist(), at.tolist(), strict=True):
                         lists[r].append(t << 32 | k)
             for r in np.flatnonzero(~fit):  # another length: one leaf for each length, compared in tiles
                 lists[r].append(-1 - len(frame["embedding"].iloc[r]))
             yield frame.assign(leaves=[sorted(x) for x in lists])
 
-    schema = "label {}, rep long, weight long, embedding array<double>, leaves array<long>".format(reps.schema["label"].dataType.simpleString())
+    schema = "label {}, rep long, weight long, embedding {}, leaves array<long>".format(*(reps.schema[c].dataType.simpleString() for c in ("label", "embedding")))
     placed = cut(reps.select("label", "rep", "weight", "embedding").mapInPandas(leaves, schema))
     # Leaves that hold more than a tile are cut; a row of block i goes to the tiles (i, j) and (j, i).
     sizes = placed.select("label", F.explode("leaves").alias("leaf")).groupBy("label", "leaf").agg(F.count("*").alias("size"))

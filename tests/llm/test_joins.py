@@ -190,6 +190,42 @@ def test_embeddings_against_all_pairs(spark, leaf, monkeypatch):
     assert embedding_dedup.link_embeddings(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_a_hot_label(spark, monkeypatch):
+    """One label holds most vectors: its leaves are deeper, and the links are those of brute force."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(400):
+        base = rng.standard_normal(16)
+        rows += [(10 * k + j, 1 if k % 10 else k, (base + rng.standard_normal(16) * 0.03).astype(np.float32).tolist()) for j in range(3)]
+    x = np.array([r[2] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[1] for r in rows])
+    linked = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+    want = linked.sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.link_embeddings(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>"), leaf=32).collect()}
+    found = np.array([got[r[0]] for r in rows])
+    assert (found <= want).all() and found.sum() >= 0.95 * want.sum()
+    forest = embedding_dedup.Forest(x, label.tolist(), len(x), leaf=32)
+    assert forest.depths[1] > max(d for k, d in forest.depths.items() if k != 1)
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as P
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    good = "This is a plain sentence about the weather in the city and about the people who live there for many years. "
+    rows = [(k, f"{good}{' '.join(f'word{k}x{j}' for j in range(30))}", "en", "s", 1) for k in range(30)]
+    rows += [(50, rows[0][1], "en", "s", 1), (None, rows[1][1] + " more", "en", "s", 1), (51, None, None, None, None), (52, "", "en", "s", 0), (52, "", "en", "s", 0)]
+    labels = "doc_id long, quality int, toxic int"
+    for name, docs, bench in (("odd", rows, [(1, " ".join(f"word3x{j}" for j in range(20))), (2, None)]), ("empty", [], []), ("no_benchmark", rows, [])):
+        at = str(tmp_path / name)
+        spark.createDataFrame(docs, columns).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(k, 1, 0) for k in range(30)] if docs else [], labels).write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        out = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in P.run(spark, at).select("doc_id").collect())
+        assert out == [(False, k) for k in range(30) if docs and not (bench and k == 3)] + [(True, 0)] * bool(docs)
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as P
 
