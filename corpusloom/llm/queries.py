@@ -56,8 +56,8 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame(
-        [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string"
+    probe = spark.sql(
+        "SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS probe(conv_id, turn, role, text)"
     )
     return chat_format.digest(chat_format.format_examples(turns.unionByName(probe)))
 
@@ -110,7 +110,7 @@ FROM c GROUP BY conv_id
 _OP2_SQL = r"""
 WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS x FROM pages),
 t AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(x, '(?s)<!--.*?-->', '', 'g'), '</?(?:p|h1|h2|br|ul|li)\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM a),
-d AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM t)
+d AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM t)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d
 """
 
