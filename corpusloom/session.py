@@ -27,9 +27,16 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "corp
     )
 
 
+#: Rows of a batch that goes to Python, where the session keeps Spark's own number: texts are long, and a batch is held whole on both sides.
+BATCH_ROWS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Send this package to the executors once per Spark context, so that their Python workers can import it."""
+    """Send this package to the executors once per Spark context, so that their Python workers can import it; set BATCH_ROWS."""
     sc = spark.sparkContext
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
     if getattr(sc, "_corpusloom_shipped", False):
         return
     here = Path(__file__).resolve().parent
