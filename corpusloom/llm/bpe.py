@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of a task's memos.
-CHUNK_MEMO, WORD_MEMO = 400_000, 700_000
+CHUNK_MEMO, WORD_MEMO = 200_000, 350_000
 #: Fixed value: the published pre-tokenisation pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A single space between two marks always begins a piece, so texts without these may be cut at spaces.

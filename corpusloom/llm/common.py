@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.session import shared_dir
@@ -13,14 +15,39 @@ from corpusloom.session import shared_dir
 FILTER_WORDS = 1 << 18
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: short lineage, safe from lost executors."""
+#: Tables that the scratches entered now have to delete, the innermost last.
+_MADE: list[list[str]] = []
+
+
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: short lineage, safe from lost executors.
+
+    Inside a scratch the table is deleted at its end, unless keep is set: then it belongs to the scratch around it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    holders = _MADE[:-1] if keep else _MADE
+    if holders:
+        holders[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that cut() makes inside, once it is left; what leaves it must have been cut with keep."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield
+    finally:
+        _MADE.remove(made)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in made:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def _slot(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(FILTER_WORDS * 64))
 
@@ -51,46 +78,39 @@ def without_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return surely.unionByName(maybe.join(ids.select(key).distinct(), key, "left_anti").select(*df.columns))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60, settle: bool = True) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph by alternating large and small stars.
 
     edges: (src long, dst long), any order, repeats and loops allowed.  Returns
     (id, component) with the smallest id of each component, for every id that
     occurs in an edge.  Each round is one written table; only a count and a sum
-    come to the driver.  settle=False stops after max_rounds: an id's component
-    is then some id that it is connected to, one for each id.
+    come to the driver.  Rounds grow with the
+    logarithm of the graph's size, at worst with its square.
     """
-    spark = edges.sparkSession
-    e = (
-        edges.filter(F.col("src") != F.col("dst"))
-        .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-        .distinct()
-    )
-    e = cut(e)
-    before = None
-    for _ in range(max_rounds):
-        # Large star: neighbours above u are hung on the least neighbour.
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (
-            both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    with scratch(edges.sparkSession):
+        e = (
+            edges.filter(F.col("src") != F.col("dst"))
+            .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+            .distinct()
         )
-        # Small star: neighbours below u, and u, are hung on the least of them.
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(small_least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(hung.union(small_least.select("u", F.col("m").alias("v"))).distinct())
-        if not settle:
-            continue
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
-        if now == before or now[0] == 0:
-            break
-        before = now
-    else:
-        if settle:
-            raise RuntimeError("components did not settle")
-        both = e.select(F.col("u").alias("id"), "v").union(e.select(F.col("v").alias("id"), "v"))
-        return both.groupBy("id").agg(F.min("v").alias("component"))
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
+        e = cut(e)
+        before = None
+        for _ in range(max_rounds):
+            # Large star: neighbours above u are hung on the least neighbour.
+            both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+            large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            # Small star: neighbours below u, and u, are hung on the least of them.
+            small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+            hung = large.join(small_least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+            e = cut(hung.union(small_least.select("u", F.col("m").alias("v"))).distinct())
+            now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
+            if now == before or now[0] == 0:
+                break
+            before = now
+        else:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        return cut(e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct()), keep=True)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:

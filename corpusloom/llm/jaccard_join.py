@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import connected_components, cut, id_filter, join_groups, split_by_filter
+from corpusloom.llm.common import connected_components, cut, id_filter, join_groups, scratch, split_by_filter
 from corpusloom.llm.shingles import shingle_sets
 
 #: Words in an n-gram, similarity as a per cent.
@@ -48,7 +48,7 @@ ORDERS = 4
 #: Partners of one document that are verified under one salt.
 PARTNERS = 1024
 #: N-grams of which a task counts the repeated ones at once.
-HELD = 4_000_000
+HELD = 2_000_000
 #: Bits of the table that tells which n-grams are surely not common.
 _SIEVE = 22
 
@@ -248,9 +248,10 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     again = keyed.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
     links = member.join(again, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    rows = cut(shared_columns(column_rows(single, common_columns(tallied), words, percent), percent))
-    links = cut(links.unionByName(find_links(rows, texts.select("doc_id", "text"), percent, words)))
-    part = cut(connected_components(links.toDF("src", "dst")))
+    with scratch(docs.sparkSession):
+        rows = cut(shared_columns(column_rows(single, common_columns(tallied), words, percent), percent))
+        links = cut(links.unionByName(find_links(rows, texts.select("doc_id", "text"), percent, words)), keep=True)
+    part = connected_components(links.toDF("src", "dst"))
     group_part = groups.join(part.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("of_group"))
     out = join_groups(keyed, group_part, ["h1", "h2"]).join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.least("doc_id", "of_group", "component").alias("component_id"))
@@ -266,7 +267,7 @@ def _best(rows: DataFrame, percent: int) -> DataFrame:
 
 def _mixed(rows: DataFrame, links: DataFrame) -> DataFrame:
     """rows with their component, of those keys that documents of several components hold; most: whether it is the key's largest one."""
-    part = cut(connected_components(links.toDF("src", "dst"))).select(F.col("id").alias("doc_id"), "component")
+    part = connected_components(links.toDF("src", "dst")).select(F.col("id").alias("doc_id"), "component")
     rows = rows.join(part, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
     rows = cut(rows)
     parts = rows.groupBy("key", "part").agg(F.count("*").alias("rows"), F.max("salts").alias("salts"))

@@ -145,8 +145,9 @@ def least_score(docs: DataFrame, profiles: dict[str, list[int]], fit_rows: int =
 
     docs as for fit_profiles, of which the same rows are taken; 0 without any.
     """
-    judged = identify(_labelled(docs, fit_rows), profiles, depth).filter(F.col("lang_pred") != UNKNOWN)
-    return (judged.agg(F.min("score")).first()[0] or 0.0) / 2
+    judged = identify(_labelled(docs, fit_rows), profiles, depth)
+    # A condition inside the aggregate: a filter would have each text judged twice.
+    return (judged.agg(F.min(F.when(F.col("lang_pred") != UNKNOWN, F.col("score")))).first()[0] or 0.0) / 2
 
 
 def identify(docs: DataFrame, profiles: dict[str, list[int]], depth: int = DEPTH) -> DataFrame:
