@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, chat_format, decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, license_scan, quality, url_filter
+from corpusloom.llm import bpe, chat_format, conversation_repair, decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, license_scan, personal_data, quality
+from corpusloom.llm import source_audit, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +71,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), bpe.read_vocabulary(vocabulary_path()))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digest(conversation_repair.damage(_table(spark, sf_dir, "conversations")))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data_digest(_table(spark, sf_dir, "documents"))
+
+
 _OP1_SQL = r"""
 WITH rules(pattern, rhost, rpath, verdict) AS (VALUES
   ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
@@ -160,6 +173,49 @@ FROM embeddings LEFT JOIN c ON id = vec_id
 """
 
 
+_OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::BIGINT AS n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(any_value(l.total), 0) AS lang_total, coalesce(sum(c.n) FILTER (k.term IS NOT NULL), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN l USING (lang) LEFT JOIN c USING (lang, source) LEFT JOIN k USING (lang, term) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (total + 5 * v)::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (k.n + 5)) // (lang_total + 5 * v)::HUGEINT AS q FROM g JOIN k USING (lang) LEFT JOIN c ON (c.lang, c.source, c.term) = (g.lang, g.source, k.term)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN f ON (f.lang, f.source, f.item) = (a.lang, a.source, b.source)
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM u
+QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
+def _spans_sql(kind: str, k: int, pattern: str, good: str) -> str:
+    """Matches of a pattern with their places: what stands before a match is the piece that the pattern splits off."""
+    return f"""SELECT r, '{kind}' AS kind, {k} AS k, m, after - length(m) AS a, after AS b FROM (
+  SELECT r, m, sum(length(piece) + length(m)) OVER (PARTITION BY r ORDER BY i) AS after FROM (
+    SELECT r, unnest(regexp_extract_all(text, '{pattern}')) AS m, unnest(regexp_split_to_array(text, '{pattern}')[:-2]) AS piece,
+      unnest(range(len(regexp_extract_all(text, '{pattern}')))) AS i FROM d)) WHERE {good}"""
+
+
+_DIGITS_SQL = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN_SQL = f"list_sum(list_transform(range(length({_DIGITS_SQL})), lambda i: CASE WHEN i % 2 = 0 THEN substr(reverse({_DIGITS_SQL}), i + 1, 1)::INT ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][substr(reverse({_DIGITS_SQL}), i + 1, 1)::INT + 1] END)) % 10 = 0"
+
+#: Without the disguised spans: the given documents hold none.
+_OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({_spans_sql("email", 0, "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", "true")}
+  UNION ALL {_spans_sql("ip", 1, "[0-9]+(?:[.][0-9]+)(?:[.][0-9]+)(?:[.][0-9]+)", "list_max(list_transform(string_split(m, '.'), lambda x: x::HUGEINT)) <= 255")}
+  UNION ALL {_spans_sql("card", 2, "[0-9](?:[ -]?[0-9])+", f"length({_DIGITS_SQL}) BETWEEN 12 AND 19 AND {_LUHN_SQL}")}
+  UNION ALL {_spans_sql("phone", 3, "[+][0-9][ ().0-9-]+[0-9]", f"length({_DIGITS_SQL}) BETWEEN 9 AND 15")}),
+l AS (SELECT d.r, doc_id, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
+    coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k), '') AS spans FROM d LEFT JOIN s USING (r) GROUP BY ALL)
+SELECT doc_id, n_email, n_ip, n_card, n_phone, sha256(spans) AS base_sha256, spans FROM l
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -174,9 +230,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_bpe": op10_bpe,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_source_audit": op12_source_audit,
+        "op13_personal_data": op13_personal_data,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1_SQL, "op2_html_extract": _OP2_SQL, "op5_decontaminate": _OP5_SQL, "op7_jaccard_join": _OP7_SQL, "op8_chat_format": _OP8_SQL, "op9_embedding_dedup": _OP9_SQL}
+    return {
+        "op1_url_filter": _OP1_SQL,
+        "op2_html_extract": _OP2_SQL,
+        "op5_decontaminate": _OP5_SQL,
+        "op7_jaccard_join": _OP7_SQL,
+        "op8_chat_format": _OP8_SQL,
+        "op9_embedding_dedup": _OP9_SQL,
+        "op12_source_audit": _OP12_SQL,
+        "op13_personal_data": _OP13_SQL,
+    }
