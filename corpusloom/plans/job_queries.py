@@ -8,6 +8,9 @@ from corpusloom.operators import jobs as J
 from corpusloom.operators import metrics as M
 from corpusloom.plans import adapters as A
 from corpusloom.plans.registry import query, table
+from corpusloom.plans.stream_queries import ALERTS, RULES
+from corpusloom.streaming.processors import rule_windows
+from corpusloom.streaming.windows import alert_states
 
 _BATCH = f"""
 WITH {A.JOBS}, c AS (SELECT batch_id, count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'pending') AS pending FROM jobs GROUP BY batch_id)
@@ -177,11 +180,7 @@ def stuck_jobs(spark, d):
     return old.select("job_id", F.concat(F.lit("Job timeout after "), F.datediff("now", "created_at").cast("string"), F.lit(" days")).alias("error"))
 
 
-@query("alert_rules", f"""
-WITH {A.EVENTS}, w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS t, count(*) FILTER (event_type = 'stage.failed') AS failed, count(*) FILTER (event_type = 'stage.completed') AS completed FROM job_events GROUP BY 1),
-r AS (SELECT t, failed, completed, failed > 0.5 * (failed + completed) AS hot FROM w)
-SELECT epoch_us(t)::BIGINT AS window_start, failed, completed, hot, hot AND coalesce(lag(hot) OVER (ORDER BY t), false) AS firing FROM r""")
+@query("alert_rules", ALERTS)
 def alert_rules(spark, d):
-    from corpusloom.streaming.windows import failure_windows, firing
-
-    return firing(failure_windows(A.job_events(spark, d), "6 hours")).select(F.unix_micros("window_start").alias("window_start"), "failed", "completed", "hot", "firing")
+    w = rule_windows(A.job_events(spark, d), RULES, "6 hours")
+    return alert_states(w, {r.name: r.hold for r in RULES}, "6 hours")

@@ -9,7 +9,7 @@ from corpusloom.operators.entities import regex_entities
 from corpusloom.plans import adapters as A
 from corpusloom.plans.registry import query, table
 from corpusloom.sources import files as S
-from corpusloom.streaming import run, state, ttl, windows
+from corpusloom.streaming import processors, run, state, ttl, windows
 
 
 def _events(spark, d):
@@ -46,10 +46,12 @@ def activity_sessions(spark, d):
 
 
 @query("progress_stream", f"""
-WITH {A.EVENTS}, g AS (SELECT job_id, count(*) FILTER (event_type = 'stage.completed') AS done, count(*) AS total FROM job_events GROUP BY job_id)
+WITH {A.EVENTS}, g AS (SELECT job_id, epoch_us(time_bucket(INTERVAL 1 DAY, ts))::BIGINT AS day, count(*) FILTER (event_type = 'stage.completed') AS done, count(*) AS total FROM job_events GROUP BY ALL)
 SELECT *, (60 + (19 * done) // greatest(total, 1))::BIGINT AS percent FROM g""")
 def progress_stream(spark, d):
-    return run.update_result(windows.progress(_events(spark, d)), "job_id")
+    """Progress of a job in each day of its life, as a job's keys live a day."""
+    p = windows.progress(_events(spark, d)).select("job_id", F.unix_micros("day").alias("day"), "done", "total", "percent")
+    return run.update_result(p, "job_id", "day")
 
 
 @query("redelivery_dedupe", f"WITH {A.EVENTS}, t AS (SELECT unnest([0, 1]) AS copy) SELECT event_id, count(*) AS n FROM (SELECT DISTINCT event_id FROM job_events, t) GROUP BY event_id")
@@ -59,37 +61,45 @@ def redelivery_dedupe(spark, d):
     return run.append_result(windows.first_deliveries(twice, ["event_id"])).groupBy("event_id").agg(F.count("*").alias("n"))
 
 
-_FOLD = f"""
-WITH {A.EVENTS}, r AS (SELECT *, CASE WHEN event_type = 'stage.failed' AND stage = 'extraction' THEN 'failed' WHEN event_type = 'stage.completed' AND stage = 'inferences' THEN 'completed' END AS terminal FROM job_events),
+def _fold_sql(events: str, timeout: str, seconds: int) -> str:
+    """Jobs by their events: the first end stays, else the last start; those idle for `timeout` before the last watermark have failed."""
+    return f"""
+WITH {A.EVENTS}, r AS (SELECT *, CASE WHEN event_type = 'stage.failed' AND stage = 'extraction' THEN 'failed' WHEN event_type = 'stage.completed' AND stage = 'inferences' THEN 'completed' END AS terminal FROM {events}),
 t AS (SELECT job_id, min((ts, event_id)) AS at, arg_min(terminal, (ts, event_id)) AS status, arg_min(stage, (ts, event_id)) AS step FROM r WHERE terminal IS NOT NULL GROUP BY job_id),
 s AS (SELECT job_id, arg_max(stage, (ts, event_id)) AS step FROM r WHERE event_type = 'stage.started' GROUP BY job_id),
+p AS (SELECT job_id, stage, replace(arg_max(event_type, (ts, event_id))[7:], 'started', 'processing') AS status FROM r WHERE event_type LIKE 'stage.%' GROUP BY job_id, stage),
+l AS (SELECT job_id, string_agg(stage || ':' || status, ',' ORDER BY stage) AS steps FROM p GROUP BY job_id),
 j AS (SELECT job_id, count(*) AS n_events, max(ts) AS last FROM r GROUP BY job_id),
-f AS (SELECT j.job_id, coalesce(t.status, CASE WHEN s.step IS NOT NULL THEN 'processing' ELSE 'pending' END) AS status, coalesce(t.step, s.step) AS step, n_events, last FROM j LEFT JOIN t USING (job_id) LEFT JOIN s USING (job_id))
-"""
+f AS (SELECT j.job_id, coalesce(t.status, CASE WHEN s.step IS NOT NULL THEN 'processing' ELSE 'pending' END) AS status, coalesce(t.step, s.step) AS step, n_events, coalesce(steps, '') AS steps,
+  t.status IS NULL AND last + {timeout} <= {_CLOSED} AS stuck FROM j LEFT JOIN t USING (job_id) LEFT JOIN s USING (job_id) LEFT JOIN l USING (job_id))
+SELECT job_id, CASE WHEN stuck THEN 'failed' ELSE status END AS status, step, CASE WHEN stuck THEN 'Job timeout after {seconds} s' END AS error, n_events, steps FROM f"""
 
 
-@query("job_state_stream", _FOLD + "SELECT job_id, status, step, NULL::VARCHAR AS error, n_events FROM f")
+@query("job_state_stream", _fold_sql("job_events", "INTERVAL 1 DAY", 86400))
 def job_state_stream(spark, d):
-    return run.update_result(state.job_state(_events(spark, d), 10**15), "job_id")
+    return run.update_result(processors.job_watch(_events(spark, d), processors.DAY_MS), "job_id")
 
 
-@query("stuck_jobs_stream", _FOLD + "SELECT job_id, 'failed' AS status, step, 'Job timeout after 3600 s' AS error, n_events FROM f WHERE status NOT IN ('failed', 'completed') AND last + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM job_events)")
+@query("stuck_jobs_stream", _fold_sql("(SELECT * REPLACE (job_id || strftime(ts, '-%Y%m%d') AS job_id) FROM job_events)", "INTERVAL 1 HOUR", 3600) + " WHERE stuck")
 def stuck_jobs_stream(spark, d):
-    """Jobs without an end whose last event is an hour behind the watermark when all is read."""
-    return run.update_result(state.job_state(_events(spark, d), 3_600_000), "job_id").filter("error is not null")
+    """A job is a user's work of a day; those without an end whose last event is an hour behind the watermark when all is read."""
+    e = _events(spark, d).withColumn("job_id", F.concat("job_id", F.date_format("ts", "-yyyyMMdd")))
+    return run.update_result(processors.job_watch(e, 3_600_000), "job_id").filter("error is not null")
 
 
 @query("completion_stream", f"""
 WITH {A.EVENTS} SELECT job_id, count(DISTINCT stage) AS n_steps FROM job_events WHERE event_type = 'stage.completed' GROUP BY job_id HAVING list_has_all(list(stage), ['extraction', 'embeddings'])""")
 def completion_stream(spark, d):
-    return run.append_result(state.completions(_events(spark, d), ["extraction", "embeddings"], 10**15))
+    return run.append_result(state.completions(_events(spark, d), ["extraction", "embeddings"]))
 
 
 @query("fanin_stream", "SELECT l_orderkey AS job_id, count(DISTINCT l_linenumber) AS got FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) >= max(l_linenumber)")
 def fanin_stream(spark, d):
+    """Order lines as a job's chunks; an order's date is the job's time."""
     expected = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("expected"))
-    s = run.stream_table(spark, f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber").join(expected, "l_orderkey")
-    return run.update_result(state.fan_in(s.select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("chunk"), "expected")), "job_id")
+    created = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("timestamp").alias("created"))
+    s = run.stream_table(spark, f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber").join(expected, "l_orderkey").join(created, "l_orderkey")
+    return run.update_result(state.fan_in(s.select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("chunk"), "expected", "created")), "job_id")
 
 
 @query("batch_done_stream", f"WITH {A.JOBS} SELECT batch_id, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM jobs GROUP BY batch_id HAVING count(*) FILTER (status = 'pending') = 0")
@@ -98,7 +108,7 @@ def batch_done_stream(spark, d):
     o = run.stream_table(spark, f"{d}/orders.parquet")
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("pending")
     j = o.select(F.col("o_custkey").alias("batch_id"), F.col("o_orderkey").alias("job_id"), status.alias("status"), F.col("o_orderdate").cast("timestamp").alias("ts")).join(total, "batch_id")
-    return run.append_result(state.batch_done(j, 10**15))
+    return run.append_result(state.batch_done(j))
 
 
 @query("state_ttl", f"WITH {A.EVENTS} SELECT job_id, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS n FROM job_events GROUP BY job_id")
@@ -106,13 +116,24 @@ def state_ttl(spark, d):
     return run.update_result(ttl.last_status(_events(spark, d)), "job_id")
 
 
-@query("alert_rules_stream", f"""
-WITH {A.EVENTS}, w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS t, count(*) FILTER (event_type = 'stage.failed') AS failed, count(*) FILTER (event_type = 'stage.completed') AS completed FROM job_events GROUP BY 1),
-r AS (SELECT t, failed, completed, failed > 0.5 * (failed + completed) AS hot FROM w WHERE t + INTERVAL 6 HOUR <= {_CLOSED})
-SELECT epoch_us(t)::BIGINT AS window_start, failed, completed, hot, hot AND coalesce(lag(hot) OVER (ORDER BY t), false) AS firing FROM r""")
+#: Rules over six hours: more failures than completions, and far more starts than completions.
+RULES = [processors.Rule("failures"), processors.Rule("stalled", "stage.started", "stage.completed", 0.52, 3)]
+ALERTS = f"""
+WITH {A.EVENTS}, n AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS t, count(*) FILTER (event_type = 'stage.failed') AS failed, count(*) FILTER (event_type = 'stage.started') AS started,
+    count(*) FILTER (event_type = 'stage.completed') AS completed FROM job_events GROUP BY 1),
+w AS (SELECT t, 'failures' AS rule, failed AS bad, completed AS good, failed > 0.5 * (failed + completed) AS hot, 2 AS hold FROM n
+  UNION ALL SELECT t, 'stalled', started, completed, started > 0.52 * (started + completed), 3 FROM n),
+b AS (SELECT *, CASE WHEN hot AND lag(hot) OVER o AND lag(t) OVER o = t - INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM w WINDOW o AS (PARTITION BY rule ORDER BY t)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY rule ORDER BY t) AS run FROM b),
+r AS (SELECT *, hot AND row_number() OVER (PARTITION BY rule, run ORDER BY t) >= hold AS fires FROM k),
+s AS (SELECT rule, t, epoch_us(t)::BIGINT AS window_us, bad, good, hot, CASE WHEN fires THEN 'firing' WHEN hot THEN 'pending' WHEN lag(fires) OVER (PARTITION BY rule ORDER BY t) THEN 'resolved' ELSE 'inactive' END AS state FROM r)
+SELECT rule, window_us, bad, good, hot, state FROM s"""
+
+
+@query("alert_rules_stream", f"{ALERTS} WHERE t + INTERVAL 6 HOUR <= {_CLOSED}")
 def alert_rules_stream(spark, d):
-    w = run.append_result(windows.failure_windows(_events(spark, d), "6 hours"))
-    return windows.firing(w).select(F.unix_micros("window_start").alias("window_start"), "failed", "completed", "hot", "firing")
+    """Pending, firing and resolved rules as the windows close."""
+    return run.append_result(processors.alert_states(_events(spark, d), RULES, "6 hours"))
 
 
 @query("alert_rules_sliding", f"""
@@ -153,6 +174,32 @@ def quarantine_stream(spark, d):
     return both.groupBy("route").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.min(F.unix_micros("due")).alias("first_due"))
 
 
+@query("delay_queue_stream", f"""
+WITH e AS (SELECT event_id AS id, epoch_us(ts)::BIGINT AS us, event_id % 6 AS failures FROM events WHERE event_type = 'error'),
+a AS (SELECT *, unnest(range(0, least(failures, 3) + 1)) AS attempt FROM e), t AS (SELECT *, us + 1000000 * (power(2, attempt) - 1)::BIGINT AS at_us FROM a),
+w AS (SELECT epoch_us(max(ts) - INTERVAL 10 SECOND) // 1000 * 1000 AS us FROM events WHERE event_type = 'error')
+SELECT id, attempt, 'retry' AS route, at_us FROM t WHERE attempt > 0 AND ceil(at_us / 1000.0) * 1000 <= (SELECT us FROM w)
+UNION ALL SELECT id, attempt, CASE WHEN attempt = failures THEN 'done' ELSE 'dead' END, at_us FROM t
+WHERE attempt = least(failures, 3) AND (attempt = 0 OR ceil(at_us / 1000.0) * 1000 <= (SELECT us FROM w))""")
+def delay_queue_stream(spark, d):
+    """Failed events that are tried again when they are due; the work succeeds after as many failures as the event's value says."""
+    e = run.stream_table(spark, f"{d}/events.parquet").filter("event_type = 'error'")
+    messages = e.select(F.col("event_id").alias("id"), (F.col("event_id") % 6).cast("string").alias("payload"), F.col("ts").cast("timestamp").alias("ts"))
+    out = run.append_result(processors.delay_queue(messages, lambda payloads, attempt: [attempt >= int(p) for p in payloads]))
+    return out.select("id", "attempt", "route", "at_us")
+
+
+@query("model_buffers_stream", """
+WITH m AS (SELECT event_id AS id, event_type, event_id % 4 AS slot, ts, props, row_number() OVER (PARTITION BY event_type, event_id % 4 ORDER BY ts, event_id) - 1 AS k FROM events),
+b AS (SELECT *, count(*) OVER w AS n_batch, min(ts) OVER w AS first FROM m WINDOW w AS (PARTITION BY event_type, slot, k // 32))
+SELECT id, length(props)::VARCHAR AS reply, n_batch FROM b WHERE n_batch = 32 OR first + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events)""")
+def model_buffers_stream(spark, d):
+    """Messages of five queues, buffered to 32 of a queue's slot or until the oldest has waited five minutes."""
+    e = run.stream_table(spark, f"{d}/events.parquet")
+    messages = e.select(F.col("event_id").alias("id"), F.col("props").alias("text"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return run.append_result(processors.model_buffers(messages, lambda texts: [str(len(t)) for t in texts], ["event_type"], slots=4))
+
+
 @query("micro_batch_model", "SELECT doc_id, length(text) AS n_chars, least(32, n - 32 * (k // 32)) AS n_batch FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY doc_id // 1000) AS n FROM documents)")
 def micro_batch_model(spark, d):
     """Messages that are buffered to 32 of a queue before one call of the model; the last batch of a queue is what is left."""

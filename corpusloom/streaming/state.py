@@ -1,4 +1,4 @@
-"""Stateful operators: job state with timeouts, completion, fan-in and batch completion."""
+"""Stateful operators on grouped state: completion of jobs and of batches."""
 
 from __future__ import annotations
 
@@ -10,50 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-TERMINAL = ("completed", "failed", "cancelled")
 DAY_MS = 86_400_000
 
 
-def job_state(events: DataFrame, stuck_after_ms: int = 3_600_000, late: str = "1 hour") -> DataFrame:
-    """Fold events (job_id, ts, event_id, event_type, stage) into the job's status; terminal states stay.
-
-    Emits (job_id, status, step, error, n_events) for every batch that changes a job, and a failed row when
-    the event time passes the job's last event by stuck_after_ms. The state goes when a job times out.
-    """
-
-    def fold(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, step, n, seen = state.get if state.exists else ("pending", None, 0, 0)
-        if state.hasTimedOut:
-            state.remove()
-            if status not in TERMINAL:
-                yield pd.DataFrame({"job_id": [key[0]], "status": ["failed"], "step": [step], "error": [f"Job timeout after {stuck_after_ms // 1000} s"], "n_events": [n]})
-            return
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
-        for kind, stage, ts in zip(rows["event_type"], rows["stage"], rows["ts"], strict=True):
-            n += 1
-            seen = max(seen, int(ts.value // 1_000_000))
-            if status in TERMINAL:
-                continue
-            if kind == "stage.started":
-                status, step = "processing", stage
-            elif kind == "stage.failed" and stage == "extraction":
-                status, step = "failed", stage
-            elif kind == "stage.completed" and stage == "inferences":
-                status, step = "completed", stage
-        state.update((status, step, n, seen))
-        state.setTimeoutTimestamp(max(seen + stuck_after_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"job_id": [key[0]], "status": [status], "step": [step], "error": [None], "n_events": [n]})
-
-    return (
-        events.withWatermark("ts", late)
-        .groupBy("job_id")
-        .applyInPandasWithState(
-            fold, "job_id string, status string, step string, error string, n_events long", "status string, step string, n long, seen long",
-            "update", GroupStateTimeout.EventTimeTimeout,
-        )
-    )
-
-
 def _remember(state: GroupState, value: tuple, frames: list[pd.DataFrame], keep_ms: int) -> None:
     """Keep a key's state until keep_ms of event time after its last event."""
     last = max((int(f["ts"].max().value // 1_000_000) for f in frames if len(f)), default=0)
@@ -89,42 +48,17 @@ def completions(events: DataFrame, required: list[str], keep_ms: int = DAY_MS, l
     )
 
 
-def fan_in(chunks: DataFrame) -> DataFrame:
-    """(job_id, chunk, expected) -> (job_id, got) of each batch that brings a job's last chunk; each chunk counts once.
+def fan_in(chunks: DataFrame, keep: str = "24 hours") -> DataFrame:
+    """(job_id, chunk, expected, created) -> (job_id, got) with the row that brings a job's last chunk, in update mode; each chunk counts once.
 
-    For update mode.  The state is a job's set of chunk numbers, in Spark's own aggregate.
+    created is the time of the job, the same for all of its chunks.  Each chunk has an entry of its own in the state and each job a count; both
+    go when the watermark, `keep` behind the newest job, passes the job's time, and what comes later is dropped.  All of it runs in the JVM.
     """
-    g = chunks.groupBy("job_id").agg(F.size(F.collect_set("chunk")).cast("long").alias("got"), F.max("expected").alias("expected"))
+    first = chunks.withWatermark("created", keep).dropDuplicatesWithinWatermark(["job_id", "chunk"])
+    g = first.groupBy("job_id", "created").agg(F.count("*").alias("got"), F.max("expected").alias("expected"))
     return g.filter((F.col("expected") > 0) & (F.col("got") >= F.col("expected"))).select("job_id", "got")
 
 
-def fan_in_expiring(chunks: DataFrame, keep_ms: int = DAY_MS, late: str = "1 hour") -> DataFrame:
-    """As fan_in on (job_id, chunk, expected, ts), in append mode, once; a job's chunks are forgotten after keep_ms of event time without one.
-
-    The chunk numbers that have come are bits of the state.
-    """
-
-    def fold(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        bits, done = state.get if state.exists else (b"", False)
-        have, expected, held = int.from_bytes(bits, "little"), 0, list(frames)
-        for f in held:
-            for chunk in f["chunk"].unique():
-                have |= 1 << int(chunk)
-            expected = max(expected, int(f["expected"].max()))
-        out = bool(not done and expected and have.bit_count() >= expected)
-        _remember(state, (have.to_bytes((have.bit_length() + 7) // 8, "little"), done or out), held, keep_ms)
-        yield pd.DataFrame({"job_id": [key[0]] * out, "got": [have.bit_count()] * out})
-
-    return (
-        chunks.withWatermark("ts", late)
-        .groupBy("job_id")
-        .applyInPandasWithState(fold, "job_id long, got long", "bits binary, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
-    )
-
-
 def batch_done(jobs: DataFrame, keep_ms: int = DAY_MS, late: str = "1 hour") -> DataFrame:
     """(batch_id, job_id, status, total, ts) -> (batch_id, completed, failed) once, when `total` jobs are terminal.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +24,22 @@ def failure_windows(events: DataFrame, size: str = "10 minutes", slide: str | No
     return g.select(F.col("w.start").alias("window_start"), "failed", "completed", (F.col("failed") > share * (F.col("failed") + F.col("completed"))).alias("hot"))
 
 
-def firing(windows: DataFrame, hold: int = 2) -> DataFrame:
-    """A rule fires in a window that is the last of `hold` hot ones in a row. The windows are one row per time step, few beside the events."""
-    w = Window.orderBy("window_start").rowsBetween(1 - hold, 0)
-    held = F.count_if("hot").over(w) == hold
-    return windows.withColumn("firing", held)
+def alert_states(windows: DataFrame, hold: dict[str, int], step: str) -> DataFrame:
+    """The batch twin of the stream's alert states: windows (rule, w, bad, good, hot) with the state of their rule.
+
+    Windows of a rule are one row per time step, few beside the events.
+    """
+    rule = Window.partitionBy("rule").orderBy("w.start")
+    step_us = int(pd.Timedelta(step).total_seconds() * 1_000_000)
+    us = F.unix_micros(F.col("w.start"))
+    w = windows.withColumn("us", us)
+    goes_on = F.col("hot") & F.coalesce(F.lag("hot").over(rule) & (F.lag("us").over(rule) == F.col("us") - step_us), F.lit(False))
+    w = w.withColumn("run", F.sum(F.when(goes_on, 0).otherwise(1)).over(rule))
+    needed = F.element_at(F.create_map(*[F.lit(x) for kv in hold.items() for x in kv]), F.col("rule"))
+    fires = F.col("hot") & (F.row_number().over(Window.partitionBy("rule", "run").orderBy("us")) >= needed)
+    w = w.withColumn("fires", fires).withColumn("before", F.coalesce(F.lag("fires").over(rule), F.lit(False)))
+    state = F.when(F.col("fires"), "firing").when(F.col("hot"), "pending").when(F.col("before"), "resolved").otherwise("inactive")
+    return w.select("rule", F.col("us").alias("window_us"), "bad", "good", "hot", state.alias("state"))
 
 
 def late_events(events: DataFrame, late: str = LATE) -> DataFrame:
@@ -53,9 +65,12 @@ def sessions(events: DataFrame, gap: str = "12 hours") -> DataFrame:
     return g.select("job_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-def progress(events: DataFrame) -> DataFrame:
-    """(job_id, done, total, percent) of chunk progress; in update mode on a stream."""
-    g = events.groupBy("job_id").agg(F.count_if(F.col("event_type") == "stage.completed").alias("done"), F.count("*").alias("total"))
+def progress(events: DataFrame, life: str = "1 day") -> DataFrame:
+    """(job_id, day, done, total, percent) of chunk progress in each `life` of a job, which is forgotten after it; in update mode on a stream."""
+    e = events.withWatermark("ts", LATE) if events.isStreaming else events
+    done = F.count_if(F.col("event_type") == "stage.completed")
+    g = e.groupBy("job_id", F.window("ts", life).alias("w")).agg(done.alias("done"), F.count("*").alias("total"))
+    g = g.select("job_id", F.col("w.start").alias("day"), "done", "total")
     return g.withColumn("percent", (F.lit(60) + F.floor(F.lit(19) * F.col("done") / F.greatest("total", F.lit(1)))).cast("long"))
 
 

@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.streaming import run, state, windows
+from corpusloom.streaming import processors, run, state, windows
 
 START = datetime(2024, 1, 1)
 EVENT = "event_id long, job_id string, minutes int, event_type string, stage string"
@@ -38,21 +38,39 @@ def done(i, job, minute, stage):
     return (i, job, minute, "stage.completed", stage)
 
 
-def test_job_state_folds_disorder_and_repeats(spark, tmp_path):
+def test_job_watch_folds_disorder_and_repeats(spark, tmp_path):
     files = [
         [done(3, "a", 3, "extraction"), started(1, "a", 1, "extraction"), started(1, "a", 1, "extraction"), started(2, "b", 2, "extraction")],
         [started(4, "b", 4, "entities"), done(5, "a", 5, "inferences"), started(6, "a", 6, "entities")],
+        [(7, "c", 7, "job_created", None), (8, "b", 8, "job_cancelled", None), started(9, "b", 9, "inferences")],
     ]
-    out = run.update_result(state.job_state(stream(spark, tmp_path, files, EVENT), 10**15), "job_id")
-    got = {r["job_id"]: (r["status"], r["step"], r["n_events"]) for r in out.collect()}
-    assert got == {"a": ("completed", "inferences", 5), "b": ("processing", "entities", 2)}
+    out = run.update_result(processors.job_watch(stream(spark, tmp_path, files, EVENT), 10**12), "job_id")
+    got = {r["job_id"]: (r["status"], r["step"], r["n_events"], r["steps"]) for r in out.collect()}
+    assert got == {
+        "a": ("completed", "inferences", 5, "entities:processing,extraction:completed,inferences:completed"),
+        "b": ("cancelled", "entities", 4, "entities:processing,extraction:processing,inferences:processing"),
+        "c": ("pending", None, 1, ""),
+    }
 
 
 def test_job_that_never_finishes_times_out(spark, tmp_path):
-    files = [[started(1, "a", 0, "extraction"), done(2, "b", 1, "inferences")], [started(3, "c", 600, "extraction")], [started(4, "c", 601, "extraction")]]
-    out = run.update_result(state.job_state(stream(spark, tmp_path, files, EVENT), 3_600_000), "job_id")
-    got = {r["job_id"]: (r["status"], r["error"]) for r in out.collect()}
-    assert got == {"a": ("failed", "Job timeout after 3600 s"), "b": ("completed", None), "c": ("processing", None)}
+    files = [
+        [started(1, "a", 0, "extraction"), done(2, "b", 1, "inferences"), started(9, "d", 0, "extraction")],
+        [started(8, "d", 55, "entities")],
+        [started(3, "c", 130, "extraction")],
+        [started(4, "c", 131, "extraction"), started(10, "d", 100, "metadata")],
+        [started(5, "c", 600, "extraction")],
+        [started(6, "c", 601, "extraction")],
+    ]
+    out = run.update_result(processors.job_watch(stream(spark, tmp_path, files, EVENT), 3_600_000), "job_id")
+    got = {r["job_id"]: (r["status"], r["error"], r["n_events"], r["steps"]) for r in out.collect()}
+    late = "Job timeout after 3600 s"
+    assert got == {
+        "a": ("failed", late, 1, "extraction:processing"),
+        "b": ("completed", None, 1, "inferences:completed"),
+        "c": ("processing", None, 4, "extraction:processing"),
+        "d": ("failed", late, 3, "entities:processing,extraction:processing,metadata:processing"),
+    }
 
 
 def test_completion_once_and_never_when_cancelled(spark, tmp_path):
@@ -74,12 +92,32 @@ def test_completion_forgets_old_jobs(spark, tmp_path):
 CHUNK = "job_id long, chunk int, expected int, minutes int"
 
 
-@pytest.mark.parametrize("expiring", [False, True])
-def test_fan_in_counts_a_chunk_once(spark, tmp_path, expiring):
-    files = [[(1, 0, 3, 0), (1, 0, 3, 0), (2, 70, 2, 0)], [(1, 1, 3, 1), (2, 1, 2, 1), (2, 1, 2, 1)], [(1, 2, 3, 2), (1, 2, 3, 2), (3, 0, 2, 2)]]
+@pytest.mark.parametrize("by", ["message", "job"])
+def test_fan_in_counts_a_chunk_once(spark, tmp_path, by):
+    files = [[(1, 0, 3, 0), (1, 0, 3, 0), (2, 70, 2, 0)], [(1, 1, 3, 1), (2, 1, 2, 1), (2, 1, 2, 1)], [(1, 2, 3, 2), (1, 2, 3, 2), (3, 0, 2, 2)], [(1, 1, 3, 3), (4, 0, 1, 3)]]
     s = stream(spark, tmp_path, files, CHUNK)
-    out = run.append_result(state.fan_in_expiring(s)) if expiring else run.update_result(state.fan_in(s), "job_id")
-    assert sorted((r["job_id"], r["got"]) for r in out.collect()) == [(1, 3), (2, 2)]
+    created = F.timestamp_seconds(F.lit(START.timestamp()) + F.col("job_id"))
+    out = run.append_result(processors.fan_in(s)) if by == "message" else run.update_result(state.fan_in(s.withColumn("created", created)), "job_id")
+    assert sorted((r["job_id"], r["got"]) for r in out.collect()) == [(1, 3), (2, 2), (4, 1)]
+
+
+@pytest.mark.parametrize(("by", "batches"), [("message", 15), ("job", 30)])
+def test_fan_in_forgets(spark, tmp_path, by, batches):
+    """Each batch has jobs that never end; the state stays as small as the last two hours."""
+    rows = [[(k * 10 + j, c, 3, k * 30) for j in range(4) for c in range(2)] for k in range(batches)]
+    chunks = stream(spark, tmp_path, rows, CHUNK)
+    s = processors.fan_in(chunks, "2 hours") if by == "message" else state.fan_in(chunks.withColumnRenamed("ts", "created"), "2 hours")
+    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.streaming.numRecentProgressUpdates")}
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "400")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    at, seen = str(tmp_path / "check"), []
+    q = s.writeStream.foreachBatch(lambda b, n: seen.append(b.count())).outputMode("append" if by == "message" else "update").option("checkpointLocation", at).trigger(availableNow=True).start()
+    q.awaitTermination()
+    for k, v in kept.items():
+        spark.conf.set(k, v) if v else spark.conf.unset(k)
+    held = [sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in q.recentProgress]
+    assert len(held) >= batches and sum(seen) == 0
+    assert max(held[10:]) <= max(held[:10]) < 200
 
 
 def test_batches_side_by_side_count_a_job_once(spark, tmp_path):
@@ -110,9 +148,70 @@ def test_first_deliveries(spark, tmp_path):
     assert sorted(r["event_id"] for r in out) == [1, 2]
 
 
-def test_firing_holds(spark):
-    df = spark.createDataFrame([(k, hot) for k, hot in enumerate([True, True, False, True, True, True])], "window_start int, hot boolean")
-    assert [r["firing"] for r in windows.firing(df, 3).orderBy("window_start").collect()] == [False, False, False, False, False, True]
+def test_alert_states(spark, tmp_path):
+    """A rule needs its windows in a row; a late window or one judged before changes nothing; other rules are apart."""
+    kinds = {"f": "stage.failed", "c": "stage.completed", "s": "stage.started"}
+    hours = ["f", "ff", "c", "f", "", "f", "f", "fc", "f", "f", "c", "c"]
+    events = [(k * 10 + i, "j", k * 60 + i, kinds[x], "x") for k, part in enumerate(hours) for i, x in enumerate(part)]
+    files = [[e] for e in events]
+    files.insert(9, [(900, "j", 61, "stage.completed", "x"), (901, "j", 120, "stage.failed", "x")])  # late: dropped
+    rules = [processors.Rule("failures"), processors.Rule("quiet", "stage.started", "stage.completed", 0.5, 1)]
+    out = run.append_result(processors.alert_states(stream(spark, tmp_path, files, EVENT), rules, "1 hour")).collect()
+    got = {(r["rule"], round((r["window_us"] / 1e6 - START.timestamp()) / 3600)): r["state"] for r in out}
+    assert len(got) == len(out)
+    want = {0: "pending", 1: "firing", 2: "resolved", 3: "pending", 5: "pending", 6: "firing", 7: "resolved", 8: "pending", 9: "firing"}
+    assert {k: v for (r, k), v in got.items() if r == "failures"} == want
+    assert {v for (r, _), v in got.items() if r == "quiet"} == {"inactive"}
+    table = spark.createDataFrame(events, EVENT).withColumn("ts", F.timestamp_seconds(F.lit(START.timestamp()) + F.col("minutes") * 60))
+    batch = windows.alert_states(processors.rule_windows(table, rules, "1 hour"), {r.name: r.hold for r in rules}, "1 hour").collect()
+    assert {tuple(r) for r in out} == {tuple(r) for r in batch if round((r["window_us"] / 1e6 - START.timestamp()) / 3600) <= 9}
+
+
+MESSAGE = "id long, payload string, minutes int"
+
+
+def test_messages_come_back_when_due(spark, tmp_path):
+    """Work fails as often as the payload says: on time, late and for good; a work that raises is a failure."""
+    files = [[(1, "0", 0), (2, "2", 0), (3, "9", 0)], [(4, "1", 1)], [(5, "0", 2)], [(6, "5", 60)], [(7, "0", 61)]]
+
+    def work(payloads, attempt):
+        if payloads == ["9"] and attempt == 0:
+            raise ValueError("no answer")
+        return [attempt >= int(p) for p in payloads]
+
+    out = run.append_result(processors.delay_queue(stream(spark, tmp_path, files, MESSAGE), work, slots=3)).collect()
+    start = int(START.timestamp())
+    got = {}
+    for r in out:
+        got.setdefault(r["id"], []).append((r["attempt"], r["route"], r["at_us"] // 1_000_000 - start))
+    got = {k: sorted(v, key=lambda x: (x[2], x[1] != "retry")) for k, v in got.items()}
+    assert got == {
+        1: [(0, "done", 0)],
+        2: [(1, "retry", 1), (2, "retry", 3), (2, "done", 3)],
+        3: [(1, "retry", 1), (2, "retry", 3), (3, "retry", 7), (3, "dead", 7)],
+        4: [(1, "retry", 61), (1, "done", 61)],
+        5: [(0, "done", 120)],
+        6: [(1, "retry", 3601), (2, "retry", 3603), (3, "retry", 3607), (3, "dead", 3607)],
+        7: [(0, "done", 3660)],
+    }
+
+
+def test_a_message_waits_for_its_time(spark, tmp_path):
+    """Its retry isn't given before the watermark is there."""
+    files = [[(1, "1", 0)], [(2, "0", 0)]]
+    out = run.append_result(processors.delay_queue(stream(spark, tmp_path, files, MESSAGE), lambda p, a: [a >= int(x) for x in p], slots=2)).collect()
+    assert [(r["id"], r["route"]) for r in out] == [(2, "done")]
+
+
+def test_buffers_span_batches(spark, tmp_path):
+    """Calls of three over micro-batches, in each slot of a queue; the rest leaves when it has waited; a call that fails gives nulls."""
+    schema = "id long, text string, queue string, minutes int"
+    files = [[(0, "a", "q", 0), (2, "b", "q", 0)], [(4, "c", "q", 1), (1, "x", "q", 1)], [(6, "d", "q", 2), (3, "y", "r", 2)], [(8, "e", "z", 30)], [(10, "f", "z", 31)]]
+    calls = lambda texts: ["".join(texts)] * len(texts) if "y" not in texts else 1 / 0
+    s = stream(spark, tmp_path, files, schema)
+    out = run.append_result(processors.model_buffers(s, calls, ["queue"], most=3, wait="5 minutes", slots=2)).collect()
+    got = {r["id"]: (r["reply"], r["n_batch"]) for r in out}
+    assert got == {0: ("abc", 3), 2: ("abc", 3), 4: ("abc", 3), 1: ("x", 1), 3: (None, 1), 6: ("d", 1)}
 
 
 def test_buffer_to_a_number_and_retry_times(spark):
