@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +27,29 @@ ROMAN = {
     "ά": "a", "έ": "e", "ή": "e", "ί": "i", "ό": "o", "ύ": "u", "ώ": "o", "ϊ": "i", "ϋ": "u",
 }
 
+#: Letters of right-to-left alphabets, some by signs that go with punctuation, and of Georgian.
+ARABIC = {
+    "آ": "a", "ب": "b", "ت": "t", "ث": "th", "ج": "j", "ح": "h", "خ": "kh", "د": "d", "ذ": "dh", "ر": "r", "ز": "z", "س": "s", "ش": "sh", "ص": "s", "ض": "d", "ط": "t", "ظ": "z",
+    "غ": "g", "ف": "f", "ق": "q", "ك": "k", "ل": "l", "م": "m", "ن": "n", "ه": "h", "و": "w", "ي": "y", "ؤ": "w", "ئ": "y", "پ": "p", "چ": "ch", "ژ": "zh", "ک": "k", "گ": "g", "ی": "y",
+    "ء": "", "أ": "", "إ": "", "ا": "", "ة": "", "ع": "", "ى": "", "ـ": "",
+}
+HEBREW = {
+    "א": "", "ב": "b", "ג": "g", "ד": "d", "ה": "h", "ו": "v", "ז": "z", "ח": "kh", "ט": "t", "י": "y", "ך": "k", "כ": "k", "ל": "l", "ם": "m", "מ": "m", "ן": "n", "נ": "n",
+    "ס": "s", "ע": "", "ף": "p", "פ": "p", "ץ": "ts", "צ": "ts", "ק": "q", "ר": "r", "ש": "sh", "ת": "t",
+}
+GEORGIAN = {
+    "ა": "a", "ბ": "b", "გ": "g", "დ": "d", "ე": "e", "ვ": "v", "ზ": "z", "თ": "t", "ი": "i", "კ": "k", "ლ": "l", "მ": "m", "ნ": "n", "ო": "o", "პ": "p", "ჟ": "zh", "რ": "r",
+    "ს": "s", "ტ": "t", "უ": "u", "ფ": "p", "ქ": "k", "ღ": "gh", "ყ": "q", "შ": "sh", "ჩ": "ch", "ც": "ts", "ძ": "dz", "წ": "ts", "ჭ": "ch", "ხ": "kh", "ჯ": "j", "ჰ": "h",
+}
+#: The parts of a Hangul syllable, in the order of its arithmetic.
+HANGUL = [
+    ["g", "gg", "n", "d", "dd", "r", "m", "b", "bb", "s", "ss", "", "j", "jj", "c", "k", "t", "p", "h"],
+    ["a", "ae", "ya", "yae", "eo", "e", "yeo", "ye", "o", "wa", "wae", "oe", "yo", "u", "weo", "we", "wi", "yu", "eu", "yi", "i"],
+    ["", "g", "gg", "gs", "n", "nj", "nh", "d", "l", "lg", "lm", "lb", "ls", "lt", "lp", "lh", "m", "b", "bs", "s", "ss", "ng", "j", "c", "k", "t", "p", "h"],
+]
+#: Kana and signs whose sound isn't that of their Unicode name.
+KANA, INDIC_SIGNS = {"si": "shi", "ti": "chi", "tu": "tsu"}, {"CANDRABINDU": "n", "ANUSVARA": "n", "BINDI": "n", "VISARGA": "h"}
+
 #: Fixed values, applied in this order.
 DEFANG = [
     ("[.]", "."), ("(dot)", "."), ("[dot]", "."), (" dot ", "."), (" (at) ", "@"), ("[at]", "@"), ("{at}", "@"), (" at ", "@"),
@@ -56,12 +81,60 @@ def _romans() -> tuple[str, str, list[tuple[str, str]]]:
     return FOLD_FROM + "".join(one), FOLD_TO + "".join(one.values()), [(k, v) for k, v in both.items() if len(v) != 1]
 
 
+#: Ranges of code points that are romanised by a table; Hangul syllables are by arithmetic.
+BLOCKS = [(0xA0, 0xE00), (0x10A0, 0x1100), (0x1E00, 0x2000), (0x3040, 0x3100), (0xFB00, 0xFB07), (0xFF00, 0xFFF0)]
+_INDIC = re.compile(r"(?:DEVANAGARI|BENGALI|GURMUKHI|GUJARATI|ORIYA|TAMIL|TELUGU|KANNADA|MALAYALAM|SINHALA) (LETTER|VOWEL SIGN|SIGN) (.+)")
+_VOWEL = re.compile(r"A|AA|I|II|U|UU|E|EE|AI|O|OO|AU|(?:SHORT|CANDRA) [AEO]|VOCALIC [RL]+")
+_KANA = re.compile(r"(?:HIRAGANA|KATAKANA) LETTER (?:SMALL )?(\w+)")
+
+
+def romanised(char: str) -> str:
+    """A character in Latin letters: by the tables, by its digit, by the name that Unicode gives it or by what it is composed of; others stay."""
+    known = {k: v for low, v in ROMAN.items() for k, v in ((low, v), (low.upper(), v.capitalize())) if len(k) == 1}
+    known |= dict(zip(FOLD_FROM, FOLD_TO, strict=True)) | ARABIC | HEBREW | GEORGIAN
+    if char in known:
+        return known[char]
+    if unicodedata.category(char) == "Nd":
+        return str(unicodedata.decimal(char))
+    name = unicodedata.name(char, "")
+    if m := _INDIC.match(name):
+        kind, sound = m.groups()
+        if kind == "SIGN":
+            return INDIC_SIGNS.get(sound, "")
+        plain = sound.split()[-1].lower()
+        return plain if kind == "VOWEL SIGN" or _VOWEL.fullmatch(sound) else plain.removesuffix("a")
+    if m := _KANA.match(name):
+        return KANA.get(m[1].lower(), m[1].lower())
+    if unicodedata.category(char) == "Mn":
+        return ""
+    parts = [x for x in unicodedata.normalize("NFKD", char) if unicodedata.category(x) != "Mn"]
+    if parts != [char] and all(x.isascii() or x in known for x in parts):
+        return "".join(known.get(x, x) for x in parts)
+    return char
+
+
+@functools.cache
+def _tables() -> list[tuple[int, int, str]]:
+    """(first, last code point, forms joined by line breaks) of each block."""
+    return [(a, b - 1, "\n".join(romanised(chr(c)) for c in range(a, b))) for a, b in BLOCKS]
+
+
+def _romanise(char: Column) -> Column:
+    """One character by its place in its block's table, which is one constant array."""
+    code = F.ascii(char)
+    at = code - 0xAC00
+    initial, vowel, final = (F.split(F.lit("\n".join(part)), "\n") for part in HANGUL)
+    part = lambda table, k: F.element_at(table, (k + 1).cast("int"))
+    syllable = F.concat(part(initial, F.floor(at / 588)), part(vowel, F.floor(at % 588 / 28)), part(final, at % 28))
+    out = F.when(code < 0x80, char).when(code.between(0xAC00, 0xD7A3), syllable)
+    for first, last, forms in _tables():
+        out = out.when(code.between(first, last), F.element_at(F.split(F.lit(forms), "\n"), code - first + 1))
+    return out.otherwise(char)
+
+
 def fold(text: Column) -> Column:
-    """ASCII for letters with marks and for Cyrillic and Greek ones; letters of other scripts stay."""
-    old, new, others = _romans()
-    folded = F.translate(text, old, new)
-    for a, b in others:
-        folded = F.replace(folded, F.lit(a), F.lit(b))
+    """ASCII for letters with marks and for the letters of most alphabets and syllabaries; Chinese characters and some rarer scripts stay."""
+    folded = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), _romanise), "")
     return F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), folded).otherwise(text)
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -91,32 +93,57 @@ def regex_entities(chunks: DataFrame, strict: bool = True, labels: list[str] | N
     return m.filter(good).select("doc_id", "chunk_id", "label", value.alias("text"))
 
 
-def _spans(label: str, score: float, pattern: str, text: Column) -> Column:
-    """Matches of a pattern with their 0-based character places: what stands before a match is the piece that the same pattern splits off."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-    kind = "array<struct<label:string,text:string,confidence:double,start:int,end:int>>"
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
+#: By pattern of HEURISTICS, what any match of it holds: one of these, in any case.
+_MONTHS = "january february march april may june july august september october november december".split()
+_HOLDS = {
+    "DATE": [["/"], ["-"], ["-"], _MONTHS, _MONTHS], "MONEY": [["$"], ["usd", "eur", "gbp"], ["€"], ["£"]],
+    "ORG": [["inc.", "llc", "corp.", "ltd.", "s.a.", "s.l.", "b.v.", "gmbh"], ["university", "institute", "foundation", "association", "corporation"]],
+    "LOC": [
+        ["new york", "los angeles", "chicago", "houston", "phoenix"], ["madrid", "barcelona", "valencia", "sevilla", "málaga", "bilbao"],
+        ["spain", "france", "germany", "italy", "united kingdom", "united states"],
+    ],
+}
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        one = F.struct(F.lit(label).alias("label"), x["m"].alias("text"), F.lit(score).alias("confidence"), start.alias("start"), (start + F.length(x["m"])).alias("end"))
-        return F.struct((start + F.length(x["m"])).alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
 
-    zipped = F.zip_with(pieces, matches, lambda p, m: F.struct(p.alias("piece"), m.alias("m")))
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(zipped, none, step)["found"]).otherwise(F.array().cast(kind))
+def _ascii_classes(pattern: str) -> str:
+    """Digits and white space of ASCII only, also where letters are Unicode's."""
+    return pattern.replace(r"\d", "[0-9]").replace(r"\s", r"[ \t\n\x0b\f\r]")
 
 
 def heuristic_matches(chunks: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, chunk_id, label, text, confidence, start, end) by the heuristic patterns; start and end are 0-based places in the chunk.
 
-    Names of two capitalised words are persons.  Labels other than PER ignore case.
+    Names of two capitalised words are persons.  Labels other than PER ignore case.  A look for the words and signs that a pattern's matches
+    hold says which patterns are run on a chunk; each of these goes over it once.
     """
-    body = F.col(text)
-    any_case = lambda p: "(?iu)" + p if re.search("[A-Z]", p) else p
-    hits = [_spans(label, score, any_case(p), body) for label, (score, patterns) in HEURISTICS.items() for p in patterns]
-    hits.append(_spans("PER", PERSON[0], ascii_boundary(PERSON[1], True, True), body))
-    return chunks.select("doc_id", "chunk_id", F.explode(F.flatten(F.array(*hits))).alias("m")).select("doc_id", "chunk_id", "m.*")
+    rules = [
+        (label, score, holds, re.compile(_ascii_classes(p), re.IGNORECASE))
+        for label, (score, patterns) in HEURISTICS.items()
+        for p, holds in zip(patterns, _HOLDS[label], strict=True)
+    ]
+    person = re.compile(r"(?<![A-Za-z0-9_])" + _ascii_classes(PERSON[1])[2:-2] + r"(?![A-Za-z0-9_])")
+    kinds = [("label", pa.string()), ("text", pa.string()), ("confidence", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row: list[int] = []
+            found: list[tuple] = []
+            for k, item in enumerate(batch.column(2)):
+                body = item.as_py() or ""
+                low = body.casefold()
+                for label, score, holds, pattern in rules:
+                    if any(h in low for h in holds):
+                        found += [(label, m[0], score, m.start(), m.end()) for m in pattern.finditer(body)]
+                found += [("PER", m[0], PERSON[0], m.start(), m.end()) for m in person.finditer(body)]
+                row += [k] * (len(found) - len(row))
+            columns = list(zip(*found)) or [()] * len(kinds)
+            at = pa.array(row, pa.int64())
+            made = [pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *made], names=["doc_id", "chunk_id", *(n for n, _ in kinds)])
+
+    asked = chunks.select("doc_id", "chunk_id", F.col(text).alias("body"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields[:2])
+    return asked.mapInArrow(run, f"{schema}, label string, text string, confidence double, start int, end int")
 
 
 Predict = Callable[[list[str]], list[list[tuple[str, str, float, int, int]]]]
@@ -194,41 +221,159 @@ def fuzzy_ratio(a: Column, b: Column) -> Column:
 
 
 def dedupe_exact(entities: DataFrame) -> DataFrame:
-    """One row per (doc_id, entity_id): the highest confidence, then the earliest place."""
+    """One row per (doc_id, entity_id): the highest confidence, then the earliest place, with its chunk (of equal ones the last)."""
     e = entities.withColumn("entity_id", entity_id(F.col("label"), F.col("text")))
     cols = [c for c in ("label", "text", "confidence", "start", "end", "chunk_id") if c in e.columns]
-    order = [F.col("confidence")] + [-F.col(c) for c in ("start", "end") if c in e.columns] + [F.sha2("text", 256)]
+    order = [F.col("confidence")] + [-F.col(c) for c in ("start", "end") if c in e.columns] + [F.sha2("text", 256)] + [F.col(c) for c in ("chunk_id",) if c in e.columns]
     best = F.max_by(F.struct(*cols), F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)]))
     return e.groupBy("doc_id", "entity_id").agg(best.alias("x")).select("doc_id", "entity_id", *[f"x.{c}" for c in cols])
 
 
-def _greedy(rows: DataFrame, order: list[str], keep: list[str], join: Callable[[list[dict], dict], dict | None]) -> DataFrame:
-    """Within (doc_id, label), rows in order: `join` gives the kept row that a row joins, or none, and then the row is kept.
+class _Similar:
+    """Kept names of one group, found by shared trigrams: those that may reach a ratio of `least` (80 at least) to a name.
+
+    If a name of a letters and one of b have a common subsequence of L, the first loses at most 2 (b - L) + 3 (a - L) of its a + 2
+    trigrams, so among that many and one more of its trigrams, the rarest, the other name holds one.  Lengths and letter counts
+    then leave few names for the ratio itself.
+    """
+
+    def __init__(self, least: float) -> None:
+        self.share = least / 100
+        self.posting: dict[str, array] = {}
+        self.size = np.zeros(16, np.int32)
+        self.letters = np.zeros((16, 32), np.int16)
+
+    @staticmethod
+    def _letters(name: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(name.encode("utf-32-le"), np.uint32) & 31, minlength=32).astype(np.int16)
+
+    @staticmethod
+    def _trigrams(name: str) -> list[str]:
+        padded = f"\0\0{name}\1\1"
+        return [padded[k : k + 3] for k in range(len(name) + 2)]
+
+    def put(self, at: int, name: str) -> None:
+        """The name that is kept at a place now; entries of an earlier one there stay and cost a comparison."""
+        if at >= len(self.size):
+            self.size, self.letters = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.letters))
+        self.size[at], self.letters[at] = len(name), self._letters(name)
+        for g in set(self._trigrams(name)):
+            self.posting.setdefault(g, array("i")).append(at)
+
+    def near(self, name: str) -> list[int]:
+        """Places in order whose name may be similar enough."""
+        a, r = len(name), self.share
+        lost = max((3 - 2.5 * r) * a + (2 - 2.5 * r) * b for b in (r * a / (2 - r), a * (2 - r) / r))
+        grams = sorted(set(self._trigrams(name)), key=lambda g: len(self.posting.get(g, ())))
+        repeats = a + 2 - len(grams)
+        lists = [np.array(self.posting[g]) for g in grams[: max(1, int(lost) + 1 - repeats) if repeats == 0 else len(grams)] if g in self.posting]
+        if not lists:
+            return []
+        at = np.unique(np.concatenate(lists))
+        most = (1 - r) * (a + self.size[at]) + 1e-9
+        at = at[np.abs(self.size[at] - a) <= most]
+        apart = np.abs(self.letters[at] - self._letters(name)).sum(axis=1)
+        return at[apart <= (1 - r) * (a + self.size[at]) + 1e-9].tolist()
+
+
+class _FuzzyGroup:
+    """Greedy de-duplication of one document's mentions of a label, in order."""
+
+    def __init__(self, least: float) -> None:
+        self.least, self.kept, self.names = least, [], _Similar(least)
+        self.by_id: dict[str, int] = {}
+        self.joined: dict[tuple[str, str], int] = {}
+        self.same: dict[str, int] = {}
+
+    def add(self, row: dict) -> None:
+        key = (row["norm"], row["entity_id"])
+        at = self.joined.get(key)
+        if at is None:
+            at = self._first(row)
+            if at is not None:
+                self.joined[key] = at
+        if at is not None:
+            if row["confidence"] > self.kept[at]["confidence"]:
+                self._replace(at, row)
+            return
+        at = self.by_id.get(row["entity_id"])
+        if at is not None:  # its id is taken by a row whose content has moved on
+            self._replace(at, row)
+            return
+        at = self.by_id[row["entity_id"]] = len(self.kept)
+        self.kept.append(row)
+        self.names.put(at, row["norm"])
+
+    def _replace(self, at: int, row: dict) -> None:
+        rep = self.kept[at]
+        moved = rep["norm"] != row["norm"]
+        rep.update({k: v for k, v in row.items() if k != "entity_id"})
+        if moved:
+            self.names.put(at, row["norm"])
+            self.joined.clear()  # what joined the old name may join another now
+
+    def _first(self, row: dict) -> int | None:
+        name = row["norm"]
+        if not name:  # punctuation joins only its like
+            return next((k for k, rep in enumerate(self.kept) if not rep["norm"] and rep["entity_id"] == row["entity_id"]), None)
+        for at in self.names.near(name):
+            other = self.kept[at]["norm"]
+            if name == other or (other and indel_ratio(other, name) >= self.least):
+                return at
+        return None
+
+
+class _WindowGroup:
+    """Greedy merge of one document's spans of a label, in order; kept spans are found by the blocks of text that they touch."""
+
+    def __init__(self, gap: int, least: float) -> None:
+        self.gap, self.least, self.kept = gap, least, []
+        self.block = max(64, 4 * gap)
+        self.touching: dict[int, list[int]] = {}
+
+    def _blocks(self, row: dict, gap: int) -> range:
+        return range((row["start"] - gap) // self.block, (row["end"] + gap) // self.block + 1)
 
-    A joined row with a higher confidence replaces the kept one's content, but not its entity_id.  Groups stand one
-    after another in a sorted partition, so many small ones share a batch; a group's kept rows are held while it lasts.
+    def _put(self, at: int) -> None:
+        for b in self._blocks(self.kept[at], 0):
+            self.touching.setdefault(b, []).append(at)
+
+    def add(self, row: dict) -> None:
+        for at in sorted({k for b in self._blocks(row, self.gap) for k in self.touching.get(b, ())}, reverse=True):
+            rep = self.kept[at]
+            near = row["start"] <= rep["end"] + self.gap and rep["start"] <= row["end"] + self.gap
+            if near and token_set_ratio(rep["norm"], row["norm"]) >= self.least:
+                if row["confidence"] > rep["confidence"]:
+                    rep.update({k: v for k, v in row.items() if k != "entity_id"})
+                    self._put(at)
+                return
+        self.kept.append(row)
+        self._put(len(self.kept) - 1)
+
+
+def _greedy(rows: DataFrame, order: list[str], keep: list[str], group: Callable[[], _FuzzyGroup | _WindowGroup]) -> DataFrame:
+    """Within (doc_id, label), rows in order go to a group of their own, which says at the end what it kept.
+
+    Groups stand one after another in a sorted partition, so many small ones share a batch; a group's kept rows are held while it lasts.
     """
     names = keep + [c for c in rows.columns if c not in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, kept, done = None, [], []
+        key, now, done = None, None, []
         for batch in batches:
             for row in batch.to_pylist():
-                if (row["doc_id"], row["label"]) != group:
-                    done += kept
-                    group, kept = (row["doc_id"], row["label"]), []
-                rep = join(kept, row)
-                if rep is None:
-                    kept.append(row)
-                elif row["confidence"] > rep["confidence"]:
-                    rep.update({k: v for k, v in row.items() if k != "entity_id"})
+                if now is None or (row["doc_id"], row["label"]) != key:
+                    done += now.kept if now else []
+                    key, now = (row["doc_id"], row["label"]), group()
+                now.add(row)
             if len(done) >= 5000:
                 yield pa.RecordBatch.from_pylist([{c: r[c] for c in keep} for r in done], schema)
                 done = []
-        if done or kept:
-            yield pa.RecordBatch.from_pylist([{c: r[c] for c in keep} for r in done + kept], schema)
+        done += now.kept if now else []
+        if done:
+            yield pa.RecordBatch.from_pylist([{c: r[c] for c in keep} for r in done], schema)
 
-    kinds = {"entity_id": pa.string(), "label": pa.string(), "text": pa.string(), "confidence": pa.float64()}
+    kinds = {"entity_id": pa.string(), "label": pa.string(), "text": pa.string(), "chunk_id": pa.string(), "confidence": pa.float64()}
     schema = pa.schema([(c, kinds.get(c, pa.int64())) for c in keep])
     spark_schema = ", ".join(f"`{c}` {'double' if c == 'confidence' else 'string' if c in kinds else 'long'}" for c in keep)
     dealt = rows.select(*names).repartition("doc_id", "label").sortWithinPartitions("doc_id", "label", *order)
@@ -236,27 +381,17 @@ def _greedy(rows: DataFrame, order: list[str], keep: list[str], join: Callable[[
 
 
 def dedupe_fuzzy(entities: DataFrame, least: float = 85.0) -> DataFrame:
-    """Greedy in document order within (doc_id, label): an entity joins the first representative with a ratio of at least `least`.
+    """Greedy within (doc_id, label): an entity joins the first kept one with a ratio of at least `least`.
 
-    A higher confidence replaces the representative's content; the id stays that of the first mention.
-    A text without a letter or digit joins only its like.
+    The order is that of source_rank, where the table has it, then place and text.  A higher confidence replaces the kept one's
+    content, chunk_id included; the id stays that of the first mention.  A text without a letter or digit joins only its like.
     """
     e = entities.withColumn("norm", normalize_entity(F.col("text"))).withColumn("entity_id", entity_id(F.col("label"), F.col("text")))
-    e = e.select("doc_id", "entity_id", "label", "text", F.col("confidence").cast("double"), F.col("start").cast("long"), F.col("end").cast("long"), "norm")
-
-    def join(kept: list[dict], row: dict) -> dict | None:
-        name = row["norm"]
-        for rep in kept:
-            other = rep["norm"]
-            if name == other:
-                if name or rep["entity_id"] == row["entity_id"]:
-                    return rep
-                continue
-            if 200.0 * min(len(other), len(name)) >= least * (len(other) + len(name)) and indel_ratio(other, name) >= least:
-                return rep
-        return None
-
-    return _greedy(e, ["start", "end", "text"], ["doc_id", "entity_id", "label", "text", "confidence", "start", "end"], join)
+    extra = [c for c in ("chunk_id", "source_rank") if c in entities.columns]
+    e = e.select("doc_id", "entity_id", "label", "text", F.col("confidence").cast("double"), F.col("start").cast("long"), F.col("end").cast("long"), *extra, "norm")
+    order = [*extra[-1:], "start", "end", "text"] if "source_rank" in extra else ["start", "end", "text"]
+    keep = ["doc_id", "entity_id", "label", "text", "confidence", "start", "end", *[c for c in extra if c == "chunk_id"]]
+    return _greedy(e, order, keep, lambda: _FuzzyGroup(least))
 
 
 def overlapping_spans(entities: DataFrame, gap: int = 20) -> DataFrame:
@@ -276,17 +411,9 @@ def overlapping_spans(entities: DataFrame, gap: int = 20) -> DataFrame:
 
 
 def merge_windows(entities: DataFrame, gap: int = 20, least: float = 80.0) -> DataFrame:
-    """Greedy merge of one document's entities of a label from overlapping windows; the higher score stays."""
+    """Greedy merge of one document's entities of a label from overlapping windows; the higher score stays, of several near ones the last kept is taken."""
     e = entities.withColumn("norm", normalize_entity(F.col("text"), keep_marks=True))
-
-    def join(kept: list[dict], row: dict) -> dict | None:
-        for rep in reversed(kept):
-            near = row["start"] <= rep["end"] + gap and rep["start"] <= row["end"] + gap
-            if near and token_set_ratio(rep["norm"], row["norm"]) >= least:
-                return rep
-        return None
-
-    return _greedy(e, ["window_index", "start", "end", "text"], ["doc_id", "window_index", "label", "text", "confidence", "start", "end"], join)
+    return _greedy(e, ["window_index", "start", "end", "text"], ["doc_id", "window_index", "label", "text", "confidence", "start", "end"], lambda: _WindowGroup(gap, least))
 
 
 def resolve_exact(refs: DataFrame, entities: DataFrame) -> DataFrame:

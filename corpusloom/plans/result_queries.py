@@ -23,9 +23,20 @@ def _with_ids(spark, d):
     return A.entities(spark, d).withColumn("entity_id", E.entity_id(F.col("label"), F.col("text")))
 
 
-@query("chunk_entity_ids", f"WITH {A.ENTITIES} SELECT c.doc_id, c.chunk_id, coalesce(string_agg(DISTINCT entity_id, ',' ORDER BY entity_id), '') AS entity_ids FROM chunks c LEFT JOIN entities e USING (doc_id, chunk_id) GROUP BY ALL")
+#: Entities of a document, each once, in the chunk of its best mention.
+_KNOWN = """known AS (SELECT doc_id, entity_id, arg_max(chunk_id, (confidence, -start, -"end", sha256(text), chunk_id)) AS chunk_id FROM entities GROUP BY doc_id, entity_id)"""
+
+
+@query("chunk_entity_ids", f"WITH {A.ENTITIES}, {_KNOWN} SELECT c.doc_id, c.chunk_id, coalesce(string_agg(entity_id, ',' ORDER BY entity_id), '') AS entity_ids FROM chunks c LEFT JOIN known k USING (doc_id, chunk_id) GROUP BY ALL")
 def chunk_entity_ids(spark, d):
-    return R.chunk_entity_ids(A.chunks(spark, d), _with_ids(spark, d)).select("doc_id", "chunk_id", F.array_join("entity_ids", ",").alias("entity_ids"))
+    """Ids by chunk, of entities that are equal in normal form counted once."""
+    return R.chunk_entity_ids(A.chunks(spark, d), N.dedupe_exact(A.entities(spark, d))).select("doc_id", "chunk_id", F.array_join("entity_ids", ",").alias("entity_ids"))
+
+
+@query("chunk_entity_ids_fuzzy")
+def chunk_entity_ids_fuzzy(spark, d):
+    """Ids by chunk, of entities that are similar counted once."""
+    return R.chunk_entity_ids(A.chunks(spark, d), N.dedupe_fuzzy(A.entities(spark, d))).select("doc_id", "chunk_id", F.array_join("entity_ids", ",").alias("entity_ids"))
 
 
 @query("chunk_inferences", f"WITH {A.FACTS} SELECT c.doc_id, c.chunk_id, string_agg(f.text, '|' ORDER BY idx) AS facts, count(f.idx) AS n FROM chunks c LEFT JOIN facts f USING (doc_id, chunk_id) GROUP BY ALL")
@@ -141,8 +152,9 @@ WITH {A.ENTITIES}, {_VEC}, c AS (SELECT c.doc_id, count(*) AS n_chunks, bool_or(
 e AS (SELECT doc_id, string_agg(DISTINCT entity_id, ',' ORDER BY entity_id) AS entity_ids FROM entities GROUP BY 1)
 SELECT d.doc_id, lang, coalesce(n_chunks, -1)::BIGINT AS n_chunks, degraded, chunk_ids, entity_ids FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN e USING (doc_id)""")
 def results_nested(spark, d):
-    full = R.chunk_entity_ids(R.chunks_vectors(A.chunks(spark, d).drop("text"), A.vectors(spark, d)), _with_ids(spark, d))
-    r = R.results_nested(A.documents(spark, d).drop("text"), full, N.dedupe_exact(A.entities(spark, d)))
+    known = N.dedupe_exact(A.entities(spark, d))
+    full = R.chunk_entity_ids(R.chunks_vectors(A.chunks(spark, d).drop("text"), A.vectors(spark, d)), known)
+    r = R.results_nested(A.documents(spark, d).drop("text"), full, known)
     return r.select(
         "doc_id", "lang", F.coalesce(F.size("chunks"), F.lit(-1)).cast("long").alias("n_chunks"), F.col("embeddings_degraded").alias("degraded"),
         F.array_join(F.col("chunks.chunk_id"), ",").alias("chunk_ids"), F.array_join(F.array_sort(F.map_keys("entities")), ",").alias("entity_ids"),
@@ -159,12 +171,12 @@ def graph_nodes(spark, d):
     return R.graph_nodes(A.documents(spark, d), A.chunks(spark, d), N.dedupe_exact(A.entities(spark, d)), A.facts(spark, d))
 
 
-@query("graph_edges", _CEF + """
-SELECT doc_id, doc_id::VARCHAR AS "from", chunk_id AS "to", 'HAS_CHUNK' AS type FROM chunks UNION ALL SELECT DISTINCT doc_id, chunk_id, entity_id, 'HAS_ENTITY' FROM entities
+@query("graph_edges", f"{_CEF}, {_KNOWN}" + """
+SELECT doc_id, doc_id::VARCHAR AS "from", chunk_id AS "to", 'HAS_CHUNK' AS type FROM chunks UNION ALL SELECT doc_id, chunk_id, entity_id, 'HAS_ENTITY' FROM known
 UNION ALL SELECT doc_id, chunk_id, 'inf_' || chunk_id || '_' || idx, 'HAS_INFERENCE' FROM facts
 UNION ALL SELECT f.doc_id, 'inf_' || f.chunk_id || '_' || idx, e.entity_id, 'REFERS_TO' FROM (SELECT *, """ + E.normalize_sql("string_split(text, ' ')[1]") + """ AS ref FROM facts) f JOIN (SELECT doc_id, norm, min(entity_id) AS entity_id FROM entities WHERE norm <> '' GROUP BY ALL) e ON f.doc_id = e.doc_id AND f.ref = e.norm""")
 def graph_edges(spark, d):
-    ents, f = _with_ids(spark, d), A.facts(spark, d)
+    ents, f = N.dedupe_exact(A.entities(spark, d)), A.facts(spark, d)
     refs = N.resolve_exact(f.withColumn("ref", F.substring_index("text", " ", 1)), ents).filter("entity_id is not null")
     return R.graph_edges(A.chunks(spark, d), ents, f, refs)
 
@@ -484,10 +496,21 @@ def entities_union(spark, d):
 
 @query("entity_pipeline")
 def entity_pipeline(spark, d):
-    """Windows, model, merge, thresholds, rules, ids, fuzzy de-duplication."""
-    model = N.merge_windows(_model(spark, d)).drop("window_index")
-    rules = N.regex_entities(A.chunks(spark, d)).select("doc_id", "label", "text", F.lit(1.0).alias("confidence"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
-    return N.dedupe_fuzzy(model.unionByName(rules))
+    """Windows, model, merge, thresholds, rules, ids, fuzzy de-duplication; the model's entities come before those of the rules, which stand at the place of their chunk."""
+    return N.dedupe_fuzzy(entity_mentions(spark, d))
+
+
+def entity_mentions(spark, d):
+    """(doc_id, chunk_id, label, text, confidence, start, end, source_rank) of the model, then of the rules."""
+    index = F.floor(F.col("start") / 1848)
+    model = N.merge_windows(_model(spark, d)).select(
+        "doc_id", F.format_string("chunk_%03d", index).alias("chunk_id"), "label", "text", "confidence", "start", "end", F.lit(0).cast("long").alias("source_rank")
+    )
+    c = A.chunks(spark, d)
+    place = c.select("doc_id", "chunk_id", F.col("start_offset").cast("long").alias("start"), F.col("end_offset").cast("long").alias("end"))
+    rules = N.regex_entities(c).join(place, ["doc_id", "chunk_id"])
+    rules = rules.select("doc_id", "chunk_id", "label", "text", F.lit(1.0).alias("confidence"), "start", "end", F.lit(1).cast("long").alias("source_rank"))
+    return model.unionByName(rules)
 
 
 @query("chunk_udtf", f"WITH {A.CHUNKS} SELECT doc_id, chunk_index::BIGINT AS chunk_index, text FROM chunks")

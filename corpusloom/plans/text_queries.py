@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import entity as E
 from corpusloom.functions import text as T
+from corpusloom.functions.udtf import register
 from corpusloom.operators import chunking as C
 from corpusloom.operators import jobs as J
 from corpusloom.plans import adapters as A
-from corpusloom.plans.registry import query, table
+from corpusloom.plans.registry import ORACLES, query, table
 from corpusloom.sources import files as S
 
 
@@ -288,6 +289,14 @@ def chunk_sentences(spark, d):
     return C.pack_sentences(A.documents(spark, d))
 
 
+@query("sentence_udtf", ORACLES["chunk_sentences"])
+def sentence_udtf(spark, d):
+    """The sentence chunker by its SQL name."""
+    register(spark)
+    A.documents(spark, d).createOrReplaceTempView("corpusloom_docs")
+    return spark.sql("SELECT doc_id, c.chunk_index, c.text FROM corpusloom_docs, LATERAL chunk_sentences(text, 1000) c")
+
+
 def _segments(spark, d):
     return table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seg_index"), F.col("role").alias("speaker"), "text")
 
@@ -380,6 +389,31 @@ def normalize_entity(spark, d):
     return x.select("doc_id", "word", E.normalize_entity(F.col("word")).alias("norm"), E.entity_id(F.lit("ORG"), F.col("word")).alias("entity_id"))
 
 
+#: Letters that stand for a to z in five scripts, and how they are romanised.
+SCRIPTS = {
+    "آبتثجحخدذرزسشصضطظغفقكلمنهو": "a b t th j h kh d dh r z s sh s d t z g f q k l m n h w",
+    "אבגדהוזחטיכלמנסעפצקרשתךםןף": "- b g d h v z kh t y k l m n s - p ts q r sh t k m n p",
+    "가나다라마바사아자차카타파하거너더러머버서어저처커터": "ga na da ra ma ba sa a ja ca ka ta pa ha geo neo deo reo meo beo seo eo jeo ceo keo teo",
+    "アイウエオカキクケコサシスセソタチツテトナニヌネノハ": "a i u e o ka ki ku ke ko sa shi su se so ta chi tsu te to na ni nu ne no ha",
+    "अआइईउऊएऐओऔकखगघचछजझटठडढतथदध": "a aa i ii u uu e ai o au k kh g gh c ch j jh tt tth dd ddh t th d dh",
+}
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+_FORMS = str([[x.replace("-", "") for x in forms.split()] for forms in SCRIPTS.values()])
+
+
+@query("romanised_names", f"""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{{3,}}')) AS word FROM documents), s AS (SELECT word, unnest(range(1, 6)) AS script FROM w),
+n AS (SELECT word, script, array_to_string(list_transform(string_split(word, ''), lambda x: ({_FORMS})[script][unicode(x) - 96]), '') AS norm FROM s)
+SELECT word, script, norm, substr(sha256('LOC:' || CASE WHEN norm = '' THEN '?' ELSE norm END), 1, 12) AS entity_id FROM n WHERE norm <> ''""")
+def romanised_names(spark, d):
+    """Every word of the documents, written in Arabic, Hebrew, Hangul, kana and Devanagari letters."""
+    words = A.documents(spark, d).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0)))).alias("word")).distinct()
+    written = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("script"), F.translate("word", _ALPHABET, letters).alias("name")) for k, letters in enumerate(SCRIPTS, 1)]))
+    n = words.select("word", written.alias("x")).select("word", "x.*")
+    n = n.select("word", "script", E.normalize_entity(F.col("name")).alias("norm"), E.entity_id(F.lit("LOC"), F.col("name")).alias("entity_id"))
+    return n.filter("norm <> ''")
+
+
 def _defang_sql(x: str) -> str:
     for a, b in E.DEFANG:
         x = f"replace({x}, '{a}', '{b}')"

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import entity as E
 from corpusloom.operators import entities as N
+from corpusloom.operators import results as R
+from corpusloom.plans import result_queries
 
 VALID = [
     ("EMAIL", "a.b@example.com", True), ("EMAIL", "a[at]b.org", True), ("EMAIL", "a@b", False), ("EMAIL", "@b.org", False), ("EMAIL", "a@.org", False), ("EMAIL", "a b@c.d", False),
@@ -81,32 +83,101 @@ def test_fuzzy_dedupe_in_order_of_mention(spark):
     assert [(r["entity_id"], r["text"], r["confidence"], r["start"]) for r in got] == [(ids["Acme Corp"], "Acme Corp", 0.9, 900)]
 
 
+def plain_dedupe(rows, norm, ids, least=85):
+    """rows (doc, label, text, confidence, chunk, ...) in order -> kept {(doc, label): [[id, text, confidence, chunk]]}, by the plain loop over all kept ones."""
+    kept = {}
+    for doc, label, text, confidence, chunk in rows:
+        mine, eid = kept.setdefault((doc, label), []), ids[label, text]
+        same = lambda rep: (norm[rep[1]] or rep[0] == eid) and bool(norm[rep[1]]) == bool(norm[text]) and N.indel_ratio(norm[rep[1]], norm[text]) >= least  # noqa: B023, E731
+        rep = next((r for r in mine if same(r)), None)
+        if rep is None:
+            taken = next((r for r in mine if r[0] == eid), None)
+            if taken:
+                taken[1:] = [text, confidence, chunk]
+            else:
+                mine.append([eid, text, confidence, chunk])
+        elif confidence > rep[2]:
+            rep[1:] = [text, confidence, chunk]
+    return {k: sorted(v) for k, v in kept.items()}
+
+
+def forms(df):
+    rows = df.select("label", "text", E.normalize_entity(F.col("text")).alias("n"), E.entity_id(F.col("label"), F.col("text")).alias("i")).distinct().collect()
+    return {r["text"]: r["n"] for r in rows}, {(r["label"], r["text"]): r["i"] for r in rows}
+
+
+def kept_rows(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault((r["doc_id"], r["label"]), []).append([r["entity_id"], r["text"], r["confidence"], r["chunk_id"]])
+    return {k: sorted(v) for k, v in got.items()}
+
+
 def test_fuzzy_dedupe_against_a_plain_loop(spark):
     rng = random.Random(3)
-    names = ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 9))) for _ in range(30)] + ["!!", "??", "Москва", "Москвы"]
-    rows = [(rng.randrange(4), "c", rng.choice(["ORG", "PER"]), rng.choice(names), rng.randrange(100) / 100, k, k + 3) for k in range(300)]
-    norm = {r["text"]: r["n"] for r in entities(spark, rows).select("text", E.normalize_entity(F.col("text")).alias("n")).distinct().collect()}
-    want = {}
-    for doc, _, label, text, confidence, start, _ in rows:
-        for rep in want.setdefault((doc, label), []):
-            a, b = norm[rep[0]], norm[text]
-            if (a or rep[0].strip() == text.strip()) and N.indel_ratio(a, b) >= 85:
-                if confidence > rep[1]:
-                    rep[:] = [text, confidence, start]
-                break
-        else:
-            want[doc, label].append([text, confidence, start])
-    got = {}
-    for r in N.dedupe_fuzzy(entities(spark, rows)).collect():
-        got.setdefault((r["doc_id"], r["label"]), []).append([r["text"], r["confidence"], r["start"]])
-    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    names = ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 9))) for _ in range(30)] + ["!!", "??", "Москва", "Москвы", "", " ", "aaaaaaaaaaaaaaaaaaab", "x" * 300]
+    names += ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(8, 40))) for _ in range(15)]
+    names += [n[:k] + rng.choice("abz") + n[k + rng.randint(0, 1) :] for n in names[-15:] for k in rng.sample(range(len(n)), 3)]
+    rows = [(rng.randrange(4), f"c{k // 9}", rng.choice(["ORG", "PER"]), rng.choice(names), rng.randrange(10) / 10, k, k + 3) for k in range(900)]
+    df = entities(spark, rows)
+    want = plain_dedupe([(d, label, t, c, chunk) for d, chunk, label, t, c, _, _ in rows], *forms(df))
+    assert kept_rows(N.dedupe_fuzzy(df)) == want
+
+
+def test_fuzzy_dedupe_of_many_names(spark):
+    """Twenty thousand names of one document: a name is compared with few others."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(5, 9)))
+    names = [f"{word()} {word()}" for _ in range(20_000)]
+    rows = [(1, "c", "PER", n, 0.5, k, k) for k, n in enumerate(names + names[:3000])]
+    assert N.dedupe_fuzzy(entities(spark, rows)).count() == len(set(names))
+
+
+def test_rank_of_the_source_comes_before_place(spark):
+    rows = [(1, "c0", "ORG", "Acme Corp", 0.5, 900, 909, 0), (1, "c1", "ORG", "Acme Corq", 0.5, 0, 9, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, chunk_id string, label string, text string, confidence double, start long, end long, source_rank long")
+    assert [(r["text"], r["chunk_id"]) for r in N.dedupe_fuzzy(df).collect()] == [("Acme Corp", "c0")]
+    assert [(r["text"], r["chunk_id"]) for r in N.dedupe_fuzzy(df.drop("source_rank")).collect()] == [("Acme Corq", "c1")]
+
+
+def test_entity_pipeline_against_a_plain_loop(spark, sf_dir):
+    mentions = result_queries.entity_mentions(spark, sf_dir)
+    rows = mentions.orderBy("doc_id", "label", "source_rank", "start", "end", "text").select("doc_id", "label", "text", "confidence", "chunk_id").collect()
+    got = kept_rows(result_queries.entity_pipeline(spark, sf_dir))
+    assert got == plain_dedupe([tuple(r) for r in rows], *forms(mentions))
+    ids = {(d, chunk, i) for (d, _), v in got.items() for i, _, _, chunk in v}
+    chunks = spark.createDataFrame(sorted({(d, c) for d, c, _ in ids}), "doc_id long, chunk_id string")
+    by_chunk = R.chunk_entity_ids(chunks, result_queries.entity_pipeline(spark, sf_dir)).collect()
+    assert {(r["doc_id"], r["chunk_id"], i) for r in by_chunk for i in r["entity_ids"]} == ids
+
+
+def test_ids_of_chunks_are_those_of_kept_entities(spark):
+    rows = [(1, "c0", "ORG", "Acme Corp", 0.5, 0, 9), (1, "c1", "ORG", "Acme Corq", 0.9, 50, 59), (1, "c2", "ORG", "Other", 0.1, 90, 95)]
+    kept = N.dedupe_fuzzy(entities(spark, rows))
+    chunks = spark.createDataFrame([(1, "c0"), (1, "c1"), (1, "c2")], "doc_id long, chunk_id string")
+    ids = forms(entities(spark, rows))[1]
+    got = {r["chunk_id"]: r["entity_ids"] for r in R.chunk_entity_ids(chunks, kept).collect()}
+    assert got == {"c0": [], "c1": [ids["ORG", "Acme Corp"]], "c2": [ids["ORG", "Other"]]}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("한국", "hangug"), ("김철수", "gimceolsu"), ("とうきょう", "toukiyou"), ("トヨタ", "toyota"), ("すし つち", "sushi tsuchi"), ("שלום", "shlvm"), ("محمد", "mhmd"), ("مرحبا ١٢", "mrhb 12"),
+        ("भारत", "bhaart"), ("हिन्दी", "hindii"), ("বাংলা", "baanlaa"), ("თბილისი", "tbilisi"), ("Nguyễn Ạnh", "nguyen anh"), ("Ǆ ﬁ", "dz fi"), ("ＡＢＣ１", "abc1"), ("Ё́лка", "elka"), ("ế", "e"),
+        ("東京 Tower", "東京 tower"), ("😀 Ω", "o"), ("e\u0301", "e"), ("", ""), ("Straße’s", "strasses"),
+    ],
+)
+def test_names_of_any_script(spark, text, want):
+    got = spark.createDataFrame([(text,), (None,)], "text string").select(E.normalize_entity(F.col("text")).alias("n")).collect()
+    assert [r["n"] for r in got] == [want, None]
 
 
 def test_names_of_other_scripts_are_apart(spark):
     names = ["Москва", "Київ", "東京", "北京", "Αθήνα", "القاهرة", "!!!", "???", "", "Zürich", "zurich", "Łódź", "Lodz", "Straße", "STRASSE"]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, text string")
     rows = df.withColumn("n", E.normalize_entity(F.col("text"))).withColumn("e", E.entity_id(F.lit("LOC"), F.col("text"))).orderBy("i").collect()
-    assert [r["n"] for r in rows] == ["moskva", "kiyiv", "東京", "北京", "athena", "القاهرة", "", "", "", "zurich", "zurich", "lodz", "lodz", "strasse", "strasse"]
+    assert [r["n"] for r in rows] == ["moskva", "kiyiv", "東京", "北京", "athena", "lqhr", "", "", "", "zurich", "zurich", "lodz", "lodz", "strasse", "strasse"]
     ids = [r["e"] for r in rows]
     assert len(set(ids)) == 12 and ids[9] == ids[10] and ids[11] == ids[12] and ids[13] == ids[14]
     refs = df.select(F.lit(1).cast("long").alias("doc_id"), F.lit("c").alias("chunk_id"), F.col("text").alias("ref"))
@@ -157,6 +228,40 @@ def test_merge_windows(spark):
     assert sorted((r["text"], r["confidence"]) for r in N.merge_windows(df).collect()) == [("Ana", 0.7), ("Apple", 0.9), ("Tim Cook", 0.9)]
 
 
+def test_merge_windows_against_a_plain_loop(spark):
+    rng = random.Random(12)
+    names = ["Tim Cook", "Cook", "tim", "Ana B", "Apple", "apple inc.", "Zoé", "x"]
+    rows = []
+    for doc in range(3):
+        for k in range(150):
+            start = rng.randint(0, 900)
+            rows.append((doc, k // 30, rng.choice(["PER", "ORG"]), rng.choice(names), rng.randrange(9) / 10, start, start + rng.choice([3, 9, 400])))
+    df = spark.createDataFrame(rows, "doc_id long, window_index long, label string, text string, confidence double, start long, end long")
+    norm = {r["text"]: r["n"] for r in df.select("text", E.normalize_entity(F.col("text"), keep_marks=True).alias("n")).distinct().collect()}
+    want = {}
+    for r in sorted(rows, key=lambda r: (r[0], r[1], r[5], r[6], r[3])):
+        mine = want.setdefault((r[0], r[2]), [])
+        for k in reversed(range(len(mine))):
+            m = mine[k]
+            if r[5] <= m[6] + 20 and m[5] <= r[6] + 20 and N.token_set_ratio(norm[m[3]], norm[r[3]]) >= 80:
+                mine[k] = r if r[4] > m[4] else m
+                break
+        else:
+            mine.append(r)
+    got = sorted((r["doc_id"], r["window_index"], r["label"], r["text"], r["confidence"], r["start"], r["end"]) for r in N.merge_windows(df).collect())
+    assert got == sorted(r for v in want.values() for r in v)
+
+
+def test_heuristics_of_odd_texts(spark):
+    rows = [(1, "a", None), (1, "b", ""), (2, "c", "PAID 30 EUR, 1/2/24 in ſpain; MÁLAGA gmbh"), (2, "d", "x" * 100_000 + " Ana Ruiz 3 march 2024 March 3 2024")]
+    got = N.heuristic_matches(spark.createDataFrame(rows, "doc_id int, chunk_id string, text string")).collect()
+    assert {(r["chunk_id"], r["label"], r["text"]) for r in got} == {
+        ("c", "MONEY", "30 EUR"), ("c", "DATE", "1/2/24"), ("c", "LOC", "ſpain"), ("c", "LOC", "MÁLAGA"), ("c", "ORG", "gmbh"),
+        ("d", "PER", "Ana Ruiz"), ("d", "DATE", "3 march 2024"), ("d", "DATE", "March 3 2024"),
+    }
+    assert all(r["start"] + len(r["text"]) == r["end"] for r in got)
+
+
 @pytest.mark.parametrize(("a", "b", "want"), [("abcdefghijkl", "abcdefxghijkl", 96.0), ("", "", 100.0), ("a", "b", 0.0), ("abc", "abc", 100.0)])
 def test_ratio(a, b, want):
     assert N.indel_ratio(a, b) == pytest.approx(want)
