@@ -5,15 +5,19 @@ and path segments; the one that occurs in the fewest rules indexes it.  The
 tokens of a URL fetch candidate rules from that index, and only these run their
 regular expression.  The longest rule that fits gives the verdict.
 
-Up to MAX_RULES the index is a literal map inside the projection: no join, no
-shuffle, one pass over the url column.  A longer list is a table: the tokens of
-each distinct host and path are joined with it, and the verdicts with the rows.
+Up to MAX_RULES the index is a constant inside the projection, an array of
+buckets by the token's checksum, so a look-up costs the same for any number of
+rules: no join, no shuffle, one pass over the url column.  A longer list is a
+table: the tokens of each distinct host and path are joined with it, and the
+verdicts with the rows.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import string
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import join_groups
 
-#: Rules up to which the index is a literal in the plan.
+#: Rules up to which the index is a constant in the plan.
 MAX_RULES = 5000
 
 
@@ -41,8 +45,8 @@ class Rule:
         return [f"h:{x}" for x in self.host().split(".") if x] + [f"p:{x}" for x in self.path().split("/")[1:-1] if x]
 
     def regex(self) -> str:
-        """Over host + newline + path: the host or a subdomain of it, then the path prefix."""
-        return rf"^(?:.*\.)?{_quote(self.host())}\n{_quote(self.path())}"
+        """Over host + newline + path: the host or a subdomain of it, then the path prefix; a host holds no '/'."""
+        return rf"^(?:[^/]*\.)?{_quote(self.host())}\n{_quote(self.path())}"
 
 
 def _quote(text: str) -> str:
@@ -83,14 +87,19 @@ def _subject() -> Column:
     return F.concat(F.col("host"), F.lit("\n"), F.col("path"))
 
 
-def _by_map(rules: list[Rule]) -> Column:
-    """The best fitting rule of the row's host and path, from an index that is a literal."""
-    entry = lambda r: F.struct(
-        F.lit(len(r.pattern)).alias("size"), F.lit(int(r.verdict == "block")).alias("block"),
-        F.lit(r.pattern).alias("pattern"), F.lit(r.verdict).alias("verdict"), F.lit(r.regex()).alias("regex"),
-    )
-    index = F.create_map(*[x for token, found in sorted(_index(rules).items()) for x in (F.lit(token), F.array(*map(entry, found)))])
-    candidates = F.flatten(F.filter(F.transform(_tokens(), lambda t: F.try_element_at(index, t)), lambda c: c.isNotNull()))
+def _by_buckets(rules: list[Rule]) -> Column:
+    """The best fitting rule of the row's host and path, from an index that is a constant: buckets of (token, rule) by the token's checksum."""
+    index = _index(rules)
+    n = 1 << (2 * len(index)).bit_length()
+    buckets: list[list[dict]] = [[] for _ in range(n)]
+    for token, found in sorted(index.items()):
+        buckets[zlib.crc32(token.encode()) % n] += [
+            {"token": token, "size": len(r.pattern), "block": int(r.verdict == "block"), "pattern": r.pattern, "verdict": r.verdict, "regex": r.regex()} for r in found
+        ]
+    kind = "array<array<struct<token:string,size:int,block:int,pattern:string,verdict:string,regex:string>>>"
+    table = F.from_json(F.lit(json.dumps(buckets)), kind)
+    bucket = lambda t: F.element_at(table, (F.crc32(t.cast("binary")) % n + 1).cast("int"))
+    candidates = F.flatten(F.transform(_tokens(), lambda t: F.filter(bucket(t), lambda c: c["token"] == t)))
     fits = F.filter(candidates, lambda c: F.rlike(_subject(), c["regex"]))
     best = F.array_max(F.transform(fits, lambda c: F.struct(c["size"], c["block"], c["pattern"], c["verdict"])))
     return F.when(F.col("host") != "", best)
@@ -124,7 +133,7 @@ def filter_urls(df: DataFrame, rules: list[Rule], url: str = "url", default: str
     if not rules:
         out = out.withColumn("best", F.lit(None).cast("struct<size:int,block:int,pattern:string,verdict:string>"))
     elif len(rules) <= MAX_RULES:
-        out = out.withColumn("best", _by_map(rules))
+        out = out.withColumn("best", _by_buckets(rules))
     else:
         out = _by_join(out, rules)
     return out.select("row.*", "host", "path", F.col("best.pattern").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))

@@ -56,6 +56,13 @@ def test_urls_against_all_rules(spark, monkeypatch, most):
         assert got[u]["verdict"] == (best.verdict if best else "allow")
 
 
+def test_urls_with_line_breaks(spark):
+    """A host may hold a line break; the rule's host must end where the url's does, whatever the path holds."""
+    rows = [(1, "http://a\nb.com/x"), (2, "http://a/x.com\n/en/"), (3, "http://www.example.com\n/en/"), (4, "http://q.example.com/en/\n")]
+    got = {r["page_id"]: r["rule"] for r in U.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), U.RULES).collect()}
+    assert got == {1: "com/", 2: None, 3: None, 4: "example.com/en/"}
+
+
 def test_urls_empty_and_bounds(spark):
     df = spark.createDataFrame([], "page_id long, url string")
     assert U.filter_urls(df, U.RULES).count() == 0
