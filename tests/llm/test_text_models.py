@@ -280,7 +280,38 @@ def test_html_copies_are_one_page(spark):
     assert all(alone[i] == f"Terms of use and privacy apply here {rows[i][3]}" for i in (0, 1))
 
 
-@pytest.mark.parametrize("part", ["<p ", "<div>", "<iframe/>", "<div></p>", "<script/>", "<svg>", "<!--", "<a x='", "<", "<p a=b ", "a="])
+@pytest.mark.parametrize(("copies", "shard"), [(4, 512), (60, 512), (60, 4)])
+def test_html_copies_do_not_keep_the_boilerplate(spark, monkeypatch, copies, shard):
+    """Two pages that differ are enough, however many copies of one of them there are, near or equal, in one shard or over many."""
+    monkeypatch.setattr(html_extract, "SHARD_PAGES", shard)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    article = [word() for _ in range(90)]
+    bodies = [" ".join([*article[:k], word(), *article[k + 1 :]]) if k % 2 else " ".join(article) for k in range(copies)] + [" ".join(word() for _ in range(90)) for _ in range(6)]
+    rows = [(i, f"http://h.org/{i}", f"<div>{t}</div><div>Terms of use and privacy apply here</div>") for i, t in enumerate(bodies)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(bodies))
+
+
+def test_html_equal_pages_are_one_row_of_a_shard(spark):
+    rows = [(i, f"http://h.org/{i}", "<div>Not found, please go back home</div>") for i in range(3000)] + [(9000 + i, "http://h.org/x", f"<div>page number {i} of many, with words</div>") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and got[0] == "Not found, please go back home"
+
+
+def test_html_forms_and_names_around_content():
+    texts = lambda page: [b[0] for b in html_extract.blocks(page) if b[2] < 2]
+    assert texts("<body><form id='aspnetForm'><nav>n</nav><main><p>a</p><form>q</form></main></form></body>") == ["a"]
+    assert texts("<form><article><p>a</p></article></form><form><p>b</p></form>") == ["a"]
+    assert texts("<form><p>" + "a " * 50 + "</p></form><form><p>b</p></form>") == [("a " * 50).strip()]
+    assert texts("<article><p>a</p><form><p>Your name</p></form></article>") == ["a"]
+    names = ["<h2 id='cookies'>{}</h2>", "<p class='ad-hoc'>{}</p>", "<section id='notice-of-1848'>{}</section>", "<div class='cookie-recipes'>{}</div>", "<section id='notices'>{}</section>"]
+    assert texts("<article>" + "".join(n.format(k) for k, n in enumerate(names)) + "</article>") == ["0", "1", "2", "3", "4"]
+    names = ["<div class='ad-slot-2'>{}</div>", "<div class='cookie-banner'>{}</div>", "<div id='comments'>{}</div>", "<p class='cookie notice'>{}</p>", "<div class='newsletter_signup box'>{}</div>", "<div class='reader-comments'>{}</div>"]
+    assert texts("<article><p>a</p>" + "".join(n.format(k) for k, n in enumerate(names)) + "</article>") == ["a"]
+
+
+@pytest.mark.parametrize("part", ["<form>", "<form><article>", "<p ", "<div>", "<iframe/>", "<div></p>", "<script/>", "<svg>", "<!--", "<a x='", "<", "<p a=b ", "a="])
 def test_html_broken_markup_takes_linear_time(part):
     import time
 
@@ -344,5 +375,5 @@ def test_runs_of_a_shard_by_counting():
                     want.setdefault(run, set()).add(k)
         got = html_extract.shard_runs(frame)
         assert sorted(got["pages"]) == sorted(map(len, want.values()))
-        assert got["apart"].tolist() == (got["pages"] - 1).tolist()
+        assert got["apart"].tolist() == (got["pages"] > 1).astype(float).tolist()
         assert got["run"].is_unique
