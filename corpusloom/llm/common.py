@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ from corpusloom.session import shared_dir
 FILTER_WORDS = 1 << 18
 
 
-#: Tables that the scratches entered now have to delete, the innermost last.
-_MADE: list[list[str]] = []
+#: Tables that the scratches entered now, in this thread, have to delete, the innermost last.
+_MADE: ContextVar[tuple[list[str], ...]] = ContextVar("scratches", default=())
 
 
 def cut(df: DataFrame, keep: bool = False) -> DataFrame:
@@ -27,7 +28,7 @@ def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    holders = _MADE[:-1] if keep else _MADE
+    holders = _MADE.get()[:-1] if keep else _MADE.get()
     if holders:
         holders[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -37,11 +38,11 @@ def cut(df: DataFrame, keep: bool = False) -> DataFrame:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables that cut() makes inside, once it is left; what leaves it must have been cut with keep."""
     made: list[str] = []
-    _MADE.append(made)
+    entered = _MADE.set((*_MADE.get(), made))
     try:
         yield
     finally:
-        _MADE.remove(made)
+        _MADE.reset(entered)
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for path in made:
             at = jvm.org.apache.hadoop.fs.Path(path)
@@ -73,9 +74,11 @@ def split_by_filter(df: DataFrame, key: str, bits: DataFrame) -> tuple[DataFrame
 
 
 def without_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Rows of df whose key is not in ids; only rows that pass the bit table are shuffled."""
-    maybe, surely = split_by_filter(df, key, id_filter(ids, key))
-    return surely.unionByName(maybe.join(ids.select(key).distinct(), key, "left_anti").select(*df.columns))
+    """Rows of df whose key is not in ids; only rows that pass the bit table are shuffled.  df may have columns of any name: a row goes through as one value."""
+    gone = ids.select(F.col(key).alias("key")).distinct()
+    rows = df.select(F.struct("*").alias("row"), F.col(f"`{key}`").alias("key"))
+    maybe, surely = split_by_filter(rows, "key", id_filter(gone, "key"))
+    return surely.select("row").unionByName(maybe.join(gone, "key", "left_anti").select("row")).select("row.*")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

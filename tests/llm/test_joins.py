@@ -138,10 +138,52 @@ def test_components(spark):
 
 
 def test_without_ids(spark):
-    df = spark.createDataFrame([(i, "x") for i in range(200)], "doc_id long, _word string")
-    df = df.withColumnRenamed("_word", "word")
+    df = spark.createDataFrame([(i, "x", "y", 1, 2, 3) for i in range(200)], "doc_id long, _word string, `a.b` string, _bits int, _maybe int, key int")
     gone = spark.createDataFrame([(i,) for i in range(0, 200, 3)], "doc_id long")
-    assert sorted(r[0] for r in without_ids(df, "doc_id", gone).collect()) == [i for i in range(200) if i % 3]
+    left = without_ids(df, "doc_id", gone)
+    assert left.columns == df.columns
+    assert sorted(tuple(r) for r in left.collect()) == [(i, "x", "y", 1, 2, 3) for i in range(200) if i % 3]
+    assert without_ids(df, "doc_id", gone.limit(0)).count() == 200
+
+
+def test_scratches_of_two_threads_are_apart(spark):
+    import threading
+
+    from corpusloom.llm.common import cut, scratch
+
+    inside, leave = threading.Event(), threading.Event()
+
+    def other() -> None:
+        with scratch(spark):
+            inside.set()
+            leave.wait(60)
+
+    t = threading.Thread(target=other)
+    t.start()
+    inside.wait(60)
+    with scratch(spark):
+        mine = cut(spark.range(5))
+        leave.set()
+        t.join()
+        assert mine.count() == 5
+
+
+def test_pipeline_stages_carry_any_column(spark, tmp_path):
+    import corpus_pipeline as P
+
+    good = "This is a plain sentence about the weather in the city and about the people who live there for many years. "
+    rows = [(k, f"{good}{' '.join(f'word{k}x{j}' for j in range(30))}", "en", "s", 1, 0.5, 7, "w", "b", "m", "d", "r") for k in range(20)]
+    rows.append((30, *rows[0][1:]))
+    names = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, _word string, _bits string, _maybe string, `a.b` string, row string"
+    docs = spark.createDataFrame(rows, names)
+    at = str(tmp_path)
+    spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(f"word3x{j}" for j in range(20)))], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    kept = docs
+    for _, stage in P.STAGES[:-1]:
+        kept = stage(spark, kept, at)
+        assert kept.columns == docs.columns
+    assert sorted((tuple(r) for r in kept.collect())) == [r for r in rows if r[0] not in (3, 30)]
 
 
 def vectors():
