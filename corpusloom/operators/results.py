@@ -149,25 +149,6 @@ def page_slice(rows: DataFrame, order: list[str], page: int = 1, limit: int = 10
     return rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n").between((page - 1) * limit + 1, page * limit)).drop("_n")
 
 
-def artifact_put(values: DataFrame, stored: DataFrame) -> DataFrame:
-    """New artifacts (sha256, payload, size) of the values' payloads that aren't stored yet, each once."""
-    made = values.select(F.sha2("payload", 256).alias("sha256"), "payload").dropDuplicates(["sha256"]).withColumn("size", F.octet_length("payload").cast("long"))
-    return made.join(stored.select("sha256"), "sha256", "left_anti")
-
-
-def artifact_resolve(values: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """values (.., value) with resolved: the payload of a reference sha256:<64 hex>, else the value itself."""
-    ref = F.when(F.rlike("value", F.lit(r"^sha256:[0-9a-f]{64}$")), F.substring("value", 8, 64))
-    j = values.withColumn("sha256", ref).join(artifacts.select("sha256", "payload"), "sha256", "left")
-    return j.withColumn("resolved", F.when(F.col("sha256").isNull(), F.col("value")).otherwise(F.col("payload"))).drop("sha256", "payload")
-
-
-def artifact_orphans(artifacts: DataFrame, values: DataFrame, least_age: int) -> DataFrame:
-    """Stored artifacts that no value refers to, with whether they are old enough to go."""
-    refs = values.select(F.explode(F.regexp_extract_all("value", F.lit(r"sha256:([0-9a-f]{64})"), F.lit(1))).alias("sha256")).distinct()
-    return artifacts.join(refs, "sha256", "left_anti").withColumn("eligible", F.col("age") > least_age)
-
-
 def page_repair(pages: DataFrame, budget: int = 50) -> DataFrame:
     """(doc_id, page, text, alternate) -> (doc_id, text, n_replaced, n_degraded): a thin page is replaced by its alternate.
 

@@ -10,6 +10,7 @@ from corpusloom.operators import entities as N
 from corpusloom.operators import results as R
 from corpusloom.plans import adapters as A
 from corpusloom.plans.registry import query, table
+from corpusloom.sources.artifacts import ArtifactStore
 
 _VEC = "v AS (SELECT vec_id AS doc_id, 'chunk_000' AS chunk_id, embedding FROM embeddings)"
 
@@ -203,11 +204,21 @@ def inferences_flat(spark, d):
 _ART = "a AS (SELECT DISTINCT sha256(text) AS sha256, text AS payload FROM documents)"
 
 
-@query("artifact_put", "SELECT DISTINCT sha256(text) AS sha256, strlen(text)::BIGINT AS size FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en' AND text IS NOT NULL)")
+def _stored(spark, d):
+    """A store of all texts; a text's age is its least doc_id."""
+    store = ArtifactStore(spark)
+    store.put(A.documents(spark, d).select(F.col("text").alias("payload"), F.col("doc_id").alias("age")))
+    return store
+
+
+@query("artifact_put", "SELECT sha256(text) AS sha256, strlen(text)::BIGINT AS size, min(CASE lang WHEN 'en' THEN 0 ELSE 1 END)::BIGINT AS age FROM documents WHERE text IS NOT NULL GROUP BY ALL")
 def artifact_put(spark, d):
-    docs = A.documents(spark, d).select("doc_id", F.col("text").alias("payload"))
-    stored = A.documents(spark, d).filter("lang = 'en'").select(F.sha2("text", 256).alias("sha256"))
-    return R.artifact_put(docs, stored).select("sha256", "size")
+    """English texts first, then all: what is there stays as it is."""
+    store = ArtifactStore(spark)
+    docs = A.documents(spark, d).select(F.col("text").alias("payload"), "lang")
+    store.put(docs.filter("lang = 'en'").select("payload", F.lit(0).alias("age")))
+    store.put(docs.select("payload", F.lit(1).alias("age")))
+    return store.table().select("sha256", "size", "age")
 
 
 def _values(spark, d):
@@ -215,14 +226,9 @@ def _values(spark, d):
     return A.documents(spark, d).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise(ref).alias("value"))
 
 
-def _artifacts(spark, d):
-    docs = A.documents(spark, d)
-    return docs.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.first("text").alias("payload"), F.min("doc_id").alias("age"))
-
-
 @query("artifact_resolve", f"WITH {_ART} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE payload END AS resolved FROM documents LEFT JOIN a ON sha256 = sha256(text)")
 def artifact_resolve(spark, d):
-    return R.artifact_resolve(_values(spark, d), _artifacts(spark, d)).select("doc_id", "resolved")
+    return _stored(spark, d).resolve(_values(spark, d)).select("doc_id", "resolved")
 
 
 _ORPHANS = """
@@ -234,19 +240,12 @@ o AS (SELECT *, age > 50 AS eligible FROM a WHERE sha256 NOT IN (SELECT sha256 F
 
 @query("artifact_orphans", _ORPHANS + "SELECT sha256, age, eligible FROM o")
 def artifact_orphans(spark, d):
-    return R.artifact_orphans(_artifacts(spark, d), _values(spark, d), 50).select("sha256", "age", "eligible")
+    return _stored(spark, d).orphans(_values(spark, d), 50).select("sha256", "age", "eligible")
 
 
 @query("gc_report", _ORPHANS + "SELECT (SELECT count(*) FROM a) AS scanned, (SELECT count(*) FROM a) - count(*) AS live, count(*) AS orphan_total, count(*) FILTER (eligible) AS eligible, coalesce(sum(strlen(payload)) FILTER (eligible), 0)::BIGINT AS bytes FROM o")
 def gc_report(spark, d):
-    a = _artifacts(spark, d)
-    o = R.artifact_orphans(a, _values(spark, d), 50).select("sha256", "eligible")
-    j = a.join(o, "sha256", "left")
-    orphan, eligible = F.col("eligible").isNotNull(), F.coalesce("eligible", F.lit(False))
-    return j.agg(
-        F.count("*").alias("scanned"), F.count_if(~orphan).alias("live"), F.count_if(orphan).alias("orphan_total"), F.count_if(eligible).alias("eligible"),
-        F.coalesce(F.sum(F.when(eligible, F.octet_length("payload").cast("long"))), F.lit(0)).alias("bytes"),
-    )
+    return _stored(spark, d).report(_values(spark, d), 50)
 
 
 @query("page_repair", f"""
