@@ -129,9 +129,9 @@ SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d
 
 
 def _seed_sql(rows: str, key: str, tokens: str) -> str:
-    """Seeds of every mask: the tokens that the mask keeps, joined."""
+    """Seeds of every mask for items of 13 tokens and more, as the given ones are: the tokens that the mask keeps, joined."""
     parts = []
-    for k, mask in enumerate(decontaminate.MASKS):
+    for k, mask in enumerate(decontaminate.MASKS + decontaminate.MORE):
         kept = " || ' ' || ".join(f"{tokens}[i + {o + 1}]" for o, c in enumerate(mask) if c == "1")
         parts.append(f"SELECT {key}, {k} AS k, unnest(list_transform(range(0, greatest(0, len({tokens}) - {len(mask) - 1})), lambda i: {{'at': i, 's': {kept}}})) AS x FROM {rows}")
     return f"SELECT {key}, k, x['at'] AS at, x['s'] AS s FROM ({' UNION ALL '.join(parts)})"
