@@ -175,10 +175,10 @@ def graph_nodes(spark, d):
 @query("graph_edges", f"{_CEF}, {_KNOWN}" + """
 SELECT doc_id, doc_id::VARCHAR AS "from", chunk_id AS "to", 'HAS_CHUNK' AS type FROM chunks UNION ALL SELECT doc_id, chunk_id, entity_id, 'HAS_ENTITY' FROM known
 UNION ALL SELECT doc_id, chunk_id, 'inf_' || chunk_id || '_' || idx, 'HAS_INFERENCE' FROM facts
-UNION ALL SELECT f.doc_id, 'inf_' || f.chunk_id || '_' || idx, e.entity_id, 'REFERS_TO' FROM (SELECT *, """ + E.normalize_sql("string_split(text, ' ')[1]") + """ AS ref FROM facts) f JOIN (SELECT doc_id, norm, min(entity_id) AS entity_id FROM entities WHERE norm <> '' GROUP BY ALL) e ON f.doc_id = e.doc_id AND f.ref = e.norm""")
+UNION ALL SELECT f.doc_id, 'inf_' || f.chunk_id || '_' || idx, e.entity_id, 'REFERS_TO' FROM (SELECT *, """ + E.normalize_sql("word") + """ AS ref FROM (SELECT *, unnest(regexp_extract_all(text, '\\p{Lu}\\p{Ll}{6,}')) AS word FROM facts)) f JOIN (SELECT doc_id, norm, min(entity_id) AS entity_id FROM entities WHERE norm <> '' GROUP BY ALL) e ON f.doc_id = e.doc_id AND f.ref = e.norm""")
 def graph_edges(spark, d):
     ents, f = N.dedupe_exact(A.entities(spark, d)), A.facts(spark, d)
-    refs = N.resolve_exact(f.withColumn("ref", F.substring_index("text", " ", 1)), ents).filter("entity_id is not null")
+    refs = N.resolve_exact(_refs(spark, d), ents).filter("entity_id is not null")
     return R.graph_edges(A.chunks(spark, d), ents, f, refs)
 
 
@@ -467,7 +467,8 @@ def span_overlap_pairs(spark, d):
 
 
 def _refs(spark, d):
-    return A.facts(spark, d).select("doc_id", "chunk_id", F.substring_index("text", " ", 1).alias("ref"))
+    """Every capitalised word of a fact of seven letters or more, as a reference to an entity."""
+    return A.facts(spark, d).select("doc_id", "chunk_id", "idx", F.explode(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{Ll}{6,}"), F.lit(0))).alias("ref"))
 
 
 @query("resolve_entity_refs")
@@ -477,7 +478,7 @@ def resolve_entity_refs(spark, d):
 
 @query("resolve_entity_refs_exact", _CEF + """,
 k AS (SELECT doc_id, norm, min(entity_id) AS entity_id FROM entities WHERE norm <> '' GROUP BY ALL),
-r AS (SELECT doc_id, chunk_id, """ + E.normalize_sql("string_split(text, ' ')[1]") + """ AS norm FROM facts)
+r AS (SELECT doc_id, chunk_id, """ + E.normalize_sql("ref") + """ AS norm FROM (SELECT doc_id, chunk_id, unnest(regexp_extract_all(text, '\\p{Lu}\\p{Ll}{6,}')) AS ref FROM facts))
 SELECT doc_id, chunk_id, string_agg(DISTINCT entity_id, ',' ORDER BY entity_id) AS entity_ids FROM r JOIN k USING (doc_id, norm) GROUP BY ALL""")
 def resolve_entity_refs_exact(spark, d):
     r = N.resolve_exact(_refs(spark, d), _with_ids(spark, d)).filter("entity_id is not null")
