@@ -290,8 +290,10 @@ def find_links(rows: DataFrame, docs: DataFrame, percent: int, words: int) -> Da
     found = verify(_best(tries.select("doc_id", "n", "by", (-F.col("h.id")).alias("head"), F.col("h.n").alias("head_n")), percent), docs, words, percent)
     links = cut(links.unionByName(found))
     rows = cut(_mixed(rows.drop("part", "most"), links))
-    few = rows.filter(~F.col("most")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    a, b = (df.select("key", "salt", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "place", "part", "most")]) for df, s in ((few, "a"), (rows, "b")))
+    # A partner of any size asks for percent of a document's own columns, so those that stand later than this leaves can't be a pair's first.
+    early = rows.filter(F.col("place") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100))
+    few = early.filter(~F.col("most")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    a, b = (df.select("key", "salt", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "place", "part", "most")]) for df, s in ((few, "a"), (early, "b")))
     n_a, n_b = F.col("n_a"), F.col("n_b")
     # Two documents outside the largest component meet twice; once is enough.
     once = F.col("most_b") | (F.col("doc_id_a") < F.col("doc_id_b"))

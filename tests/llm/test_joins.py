@@ -67,6 +67,15 @@ def test_jaccard_against_all_pairs(spark):
         assert (r["n_shingles"], r["component_id"]) == (len(s[r["doc_id"]]), want[r["doc_id"]])
 
 
+def test_jaccard_of_short_texts_that_share_a_phrase(spark):
+    """Each has five shingles, one of which all hold: no pair is similar, and none may be made.  Some are changed copies."""
+    n = 100_000
+    rows = spark.range(n).selectExpr("id AS doc_id", "concat('see you soon again a', id, ' b', id, ' c', id, ' d', id) AS text")
+    copies = spark.range(0, n, 1000).selectExpr("id + 1000000 AS doc_id", "concat('See you  soon again a', id, ' b', id, ' c', id, ' d', id) AS text")
+    got = jaccard_join.join_components(rows.unionByName(copies)).filter("doc_id != component_id").collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(k + 1_000_000, k) for k in range(0, n, 1000)}
+
+
 def test_jaccard_repeated_ids_and_empty(spark):
     base = [f"a{i}" for i in range(40)]
     other = [f"b{i}" for i in range(40)]
