@@ -7,7 +7,7 @@ from corpusloom.plans.registry import ORACLES, QUERIES
 from tests.oracle import connect, spark_rows, sql_rows
 
 #: May be empty on the smallest tables.
-MAY_BE_EMPTY = {"artifact_orphans", "batch_done_stream", "completed_jobs", "stuck_jobs_stream", "redelivery_dedupe", "inference_vectors", "span_overlap_pairs", "regex_entities"}
+MAY_BE_EMPTY = {"artifact_orphans", "batch_done_stream", "completed_jobs", "redelivery_dedupe", "inference_vectors", "span_overlap_pairs", "regex_entities"}
 
 
 @pytest.fixture(scope="module")
