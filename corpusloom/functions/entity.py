@@ -134,8 +134,11 @@ def _romanise(char: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """ASCII for letters with marks and for the letters of most alphabets and syllabaries; Chinese characters and some rarer scripts stay."""
-    folded = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), _romanise), "")
-    return F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), folded).otherwise(text)
+    foreign = lambda x: F.rlike(x, F.lit(r"[^\x00-\x7F]"))
+    old, new, _ = _romans()
+    letters = F.translate(text, old, new)  # letters that give one letter, in one pass; many names need no more
+    folded = F.array_join(F.transform(F.regexp_extract_all(letters, F.lit("(?s)."), F.lit(0)), _romanise), "")
+    return F.when(foreign(text), F.when(foreign(letters), folded).otherwise(letters)).otherwise(text)
 
 
 def normalize_entity(text: Column, keep_marks: bool = False) -> Column:
