@@ -28,7 +28,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "corp
 
 
 #: Rows of a batch that goes to Python, where the session keeps Spark's own number: texts are long, and a batch is held whole on both sides.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
