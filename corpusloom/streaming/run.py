@@ -19,11 +19,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def stream_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, one file or a folder, as a stream: one file at a time, with the table's schema."""
+def stream_table(spark: SparkSession, path: str, per_trigger: int | None = 1) -> DataFrame:
+    """A Parquet table, one file or a folder, as a stream with the table's schema: so many files at a time, or all that are there in one micro-batch (None)."""
     schema = spark.read.parquet(path).schema
     pattern = f"{path[:-1]}[{path[-1]}]"  # a pattern may name a single file, a plain path must be a folder
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(pattern)
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(pattern)
 
 
 def append_result(stream: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.plans import stream_queries  # noqa: F401
 from corpusloom.streaming import processors, run, state, windows
 
 START = datetime(2024, 1, 1)
@@ -233,3 +234,14 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark):
     sc = SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(RuntimeError):
         shared_dir(SimpleNamespace(sparkContext=sc))
+
+
+def test_calls_of_the_model_span_files(spark, tmp_path):
+    """A table of several files is one micro-batch: a queue's calls don't end with a file."""
+    from corpusloom.plans.registry import QUERIES
+
+    docs = spark.createDataFrame([(k, "x" * k) for k in range(300)], "doc_id long, text string")
+    for part in range(3):
+        docs.filter(F.col("doc_id") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n_chars"], r["n_batch"]) for r in QUERIES["micro_batch_model"](spark, str(tmp_path)).collect()}
+    assert got == {k: (k, 32 if k // 4 < 64 else 11) for k in range(300)}
