@@ -1,7 +1,8 @@
-"""Stateful operators on Spark's state API: job watch, fan-in, alert holds, a delay queue and model buffers.
+"""Stateful operators: job watch and a delay queue in groups of keys (state.in_slots); fan-in, alert holds and model buffers on Spark's state API.
 
-Each keeps small named state variables in RocksDB and uses event-time timers, so state that is no longer needed goes alone and
-nothing is rewritten that didn't change.  Times inside are whole milliseconds or microseconds since the epoch.
+Those on the state API keep small named state variables in RocksDB and use event-time timers, so state that is no longer needed goes alone and
+nothing is rewritten that didn't change; a call costs about 0.4 ms, so their keys are few or large.  Times inside are whole milliseconds or microseconds
+since the epoch.
 """
 
 from __future__ import annotations
@@ -16,15 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from corpusloom.streaming.state import PROVIDER, ROCKSDB, in_slots
+
 DAY_MS = 86_400_000
 TERMINAL = ("completed", "failed", "cancelled")
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _with_state(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, mode: str) -> DataFrame:
     """The processor over rows by keys; the state API needs the RocksDB store, which is set for the session."""
-    rows.sparkSession.conf.set(_PROVIDER, _ROCKSDB)
+    rows.sparkSession.conf.set(PROVIDER, ROCKSDB)
     return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, mode, "EventTime")
 
 
@@ -61,61 +62,50 @@ def _frames(rows: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
     return all_rows.sort_values(list(order), kind="stable") if order else all_rows
 
 
-class _JobWatch(_Timed):
-    def __init__(self, stuck_after_ms: int) -> None:
-        self.stuck_after_ms = stuck_after_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.job = handle.getValueState("job", "status string, step string, n_events long, seen long")
-        self.steps = handle.getMapState("steps", "step string", "status string")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        known = self.job.get()
-        status, step, n, seen = known or ("pending", None, 0, 0)
-        changed: dict[str, str] = {}
-        events = _frames(rows, "at_us", "event_id")
-        for kind, stage, us in zip(events["event_type"], events["stage"], events["at_us"], strict=True):
-            n, seen = n + 1, max(seen, int(us) // 1000)
-            if kind in ("stage.started", "stage.completed", "stage.failed"):
-                changed[stage] = {"started": "processing"}.get(kind[6:], kind[6:])
-            if status in TERMINAL:
-                continue
-            if kind == "stage.started":
-                status, step = "processing", stage
-            elif kind == "stage.failed" and stage == "extraction":
-                status, step = "failed", stage
-            elif kind == "stage.completed" and stage == "inferences":
-                status, step = "completed", stage
-            elif kind == "job_cancelled":
-                status = "cancelled"
-        steps = {k[0]: v[0] for k, v in self.steps.iterator()} if known else {}
-        for name, at in changed.items():
-            if steps.get(name) != at:
-                self.steps.updateValue((name,), (at,))
-        self.job.update((status, step, n, seen))
-        self.set_timer(max(seen + self.stuck_after_ms, timerValues.getCurrentWatermarkInMs() + 1), self.held_timer() if known else None)
-        listed = ",".join(f"{k}:{v}" for k, v in sorted((steps | changed).items()))
-        yield pd.DataFrame({"job_id": [key[0]], "status": [status], "step": [step], "error": [None], "n_events": [n], "steps": [listed]})
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        status, step, n, _ = self.job.get()
-        if status not in TERMINAL:
-            listed = ",".join(f"{k[0]}:{v[0]}" for k, v in sorted(self.steps.iterator()))
-            error = f"Job timeout after {self.stuck_after_ms // 1000} s"
-            yield pd.DataFrame({"job_id": [key[0]], "status": ["failed"], "step": [step], "error": [error], "n_events": [n], "steps": [listed]})
-        for state in (self.job, self.steps, self.due):
-            state.clear()
-
-
 def job_watch(events: DataFrame, stuck_after_ms: int = 3_600_000, late: str = "1 hour") -> DataFrame:
     """Fold events (job_id, ts, event_id, event_type, stage) into (job_id, status, step, error, n_events, steps), in update mode.
 
     Terminal states stay; steps has the last status of each step as 'step:status', by name.  When the watermark passes a job's
-    last event by stuck_after_ms, a job without an end gives a failed row, and the job's state goes.
+    last event by stuck_after_ms, a job without an end gives a failed row, and the job's state goes.  Jobs share a group's state (in_slots).
     """
+    columns = ["job_id", "status", "step", "error", "n_events", "steps"]
+
+    def row(job: str, j: list, error: str | None) -> tuple:
+        listed = ",".join(f"{k}:{v}" for k, v in sorted(j[4].items()))
+        return job, "failed" if error else j[0], j[1], error, j[2], listed
+
+    def fold(held: dict, new: pd.DataFrame | None, now: int) -> tuple[pd.DataFrame, int]:
+        changed: dict[str, list] = {}
+        if new is not None:
+            events = new.sort_values(["at_us", "event_id"], kind="stable")
+            for job, kind, stage, us in zip(*(events[c].tolist() for c in ("job_id", "event_type", "stage", "at_us")), strict=True):
+                j = changed.get(job)
+                if j is None:
+                    j = changed[job] = held.setdefault(job, ["pending", None, 0, 0, {}, 0])  # status, step, events, last seen, steps, due
+                j[2], j[3] = j[2] + 1, max(j[3], us // 1000)
+                if stage is not None and kind in ("stage.started", "stage.completed", "stage.failed"):
+                    j[4][stage] = "processing" if kind == "stage.started" else kind[6:]
+                if j[0] in TERMINAL:
+                    continue
+                if kind == "stage.started":
+                    j[0], j[1] = "processing", stage
+                elif kind == "stage.failed" and stage == "extraction":
+                    j[0], j[1] = "failed", stage
+                elif kind == "stage.completed" and stage == "inferences":
+                    j[0], j[1] = "completed", stage
+                elif kind == "job_cancelled":
+                    j[0] = "cancelled"
+        for j in changed.values():
+            j[5] = max(j[3] + stuck_after_ms, now + 1)
+        out = [row(job, j, None) for job, j in changed.items()]
+        for job in [k for k, j in held.items() if j[5] <= now]:
+            j = held.pop(job)
+            if j[0] not in TERMINAL:
+                out.append(row(job, j, f"Job timeout after {stuck_after_ms // 1000} s"))
+        return pd.DataFrame(out, columns=columns), min((j[5] for j in held.values()), default=0)
+
     rows = events.withWatermark("ts", late).select("job_id", "ts", "event_id", "event_type", "stage", F.unix_micros("ts").alias("at_us"))
-    return _with_state(rows, ["job_id"], _JobWatch(stuck_after_ms), "job_id string, status string, step string, error string, n_events long, steps string", "update")
+    return in_slots(rows, "job_id", fold, "job_id string, status string, step string, error string, n_events long, steps string", "update")
 
 
 class _FanIn(_Timed):

@@ -245,3 +245,19 @@ def test_calls_of_the_model_span_files(spark, tmp_path):
         docs.filter(F.col("doc_id") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: (r["n_chars"], r["n_batch"]) for r in QUERIES["micro_batch_model"](spark, str(tmp_path)).collect()}
     assert got == {k: (k, 32 if k // 4 < 64 else 11) for k in range(300)}
+
+
+def most_state_rows(spark, tmp_path, s, mode):
+    """The most state rows that a stream held after any batch."""
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    q = s.writeStream.foreachBatch(lambda b, n: b.count()).outputMode(mode).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    spark.conf.set("spark.sql.shuffle.partitions", kept)
+    return max(sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in q.recentProgress)
+
+
+def test_jobs_share_states(spark, tmp_path):
+    """Many jobs cost as many calls and states as there are groups."""
+    s = stream(spark, tmp_path, [[started(k, f"j{k}", 0, "x") for k in range(2000)]], EVENT)
+    assert 0 < most_state_rows(spark, tmp_path, processors.job_watch(s), "update") <= state.SLOTS
