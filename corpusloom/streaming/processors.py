@@ -7,7 +7,6 @@ since the epoch.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from corpusloom.streaming.state import PROVIDER, ROCKSDB, in_slots
+from corpusloom.streaming.state import PROVIDER, ROCKSDB, SLOTS, in_slots
 
 DAY_MS = 86_400_000
 TERMINAL = ("completed", "failed", "cancelled")
@@ -218,77 +217,50 @@ def alert_states(events: DataFrame, rules: list[Rule], size: str = "10 minutes",
 Work = Callable[[list[str], int], list[bool]]
 
 
-class _DelayQueue(StatefulProcessor):
-    def __init__(self, work: Work, most: int, longest: int) -> None:
-        self.work, self.most, self.longest = work, most, longest
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "due long", "messages string")
-
-    def tried(self, messages: list[list], attempt: int, out: list[tuple], waiting: dict[int, list[list]]) -> None:
-        """Work on messages (id, payload, time); those that fail wait, by the millisecond in which they are due, or are dead."""
-        try:
-            good = self.work([m[1] for m in messages], attempt)
-        except Exception:
-            good = [False] * len(messages)
-        for (name, payload, us), done in zip(messages, good, strict=True):
-            if done or attempt >= self.most:
-                out.append((name, attempt, "done" if done else "dead", us, payload))
-                continue
-            again = us + 1_000_000 * min(2**attempt, self.longest)
-            waiting.setdefault(-(-again // 1000), []).append([name, payload, again, attempt + 1])
-
-    def settle(self, out: list[tuple], waiting: dict[int, list[list]], now_ms: int) -> Iterator[pd.DataFrame]:
-        """Messages that are due already go round again; the others are put into the state under their times."""
-        while due := [ms for ms in waiting if ms <= now_ms]:
-            for ms in due:
-                self.again(waiting.pop(ms), out, waiting)
-        for ms, messages in waiting.items():
-            held = self.waiting.getValue((ms,))
-            if held is None:
-                self.handle.registerTimer(ms)
-            self.waiting.updateValue((ms,), (json.dumps((json.loads(held[0]) if held else []) + messages),))
-        if out:
-            yield pd.DataFrame(out, columns=["id", "attempt", "route", "at_us", "payload"])
-
-    def again(self, messages: list[list], out: list[tuple], waiting: dict[int, list[list]]) -> None:
-        for attempt in sorted({m[3] for m in messages}):
-            part = [m[:3] for m in messages if m[3] == attempt]
-            out += [(name, attempt, "retry", us, payload) for name, payload, us in part]
-            self.tried(part, attempt, out, waiting)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        waiting: dict[int, list[list]] = {}
-        for f in rows:
-            self.tried([list(m) for m in zip(f["id"].tolist(), f["payload"], f["at_us"].tolist(), strict=True)], 0, out, waiting)
-        yield from self.settle(out, waiting, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        waiting: dict[int, list[list]] = {}
-        ms = expiredTimerInfo.getExpiryTimeInMs()
-        held = self.waiting.getValue((ms,))
-        self.waiting.removeKey((ms,))
-        self.again(json.loads(held[0]) if held else [], out, waiting)
-        yield from self.settle(out, waiting, timerValues.getCurrentWatermarkInMs())
-
-    def close(self) -> None:
-        pass
+#: Messages of one call of the work.
+CALL = 1000
 
 
-def delay_queue(messages: DataFrame, work: Work, slots: int = 64, most: int = 3, longest: int = 60, late: str = "10 seconds") -> DataFrame:
+def delay_queue(messages: DataFrame, work: Work, slots: int = SLOTS, most: int = 3, longest: int = 60, late: str = "10 seconds") -> DataFrame:
     """Messages (id long, payload string, ts) are worked on; one that fails comes back when it is due and is worked on again, in append mode.
 
     After failure number a (from 0) a message waits min(2^a, longest) seconds of event time, at most `most` times; then it is
     dead, as is the message of a work that raises.  Returns (id, attempt, route, at_us, payload): a row 'retry' at each due time, and
-    'done' or 'dead' at the end.  Messages wait in `slots` queues, each message in the slot of its id's hash, under the millisecond in which they are due,
-    with a timer for each: nothing is scanned to find them.
+    'done' or 'dead' at the end.  Messages wait in `slots` queues, each message in the slot of its id's hash, under the millisecond in which they are due.
+    A queue has one timer, for the soonest of them; all that are due then are worked on together.
     """
-    slot = F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")
-    rows = messages.withWatermark("ts", late).select(slot, "id", "payload", "ts", F.unix_micros("ts").alias("at_us"))
-    return _with_state(rows, ["slot"], _DelayQueue(work, most, longest), "id long, attempt long, route string, at_us long, payload string", "append")
+
+    def tried(waiting: dict, part: list[tuple], attempt: int, out: list[tuple]) -> None:
+        """Work on messages (id, payload, time); those that fail wait, by the millisecond in which they are due, or are dead."""
+        for at in range(0, len(part), CALL):
+            some = part[at : at + CALL]
+            try:
+                good = work([m[1] for m in some], attempt)
+            except Exception:
+                good = [False] * len(some)
+            for (name, payload, us), done in zip(some, good, strict=True):
+                if done or attempt >= most:
+                    out.append((name, attempt, "done" if done else "dead", us, payload))
+                    continue
+                again = us + 1_000_000 * min(2**attempt, longest)
+                waiting.setdefault(-(-again // 1000), []).append((name, payload, again, attempt + 1))
+
+    def fold(waiting: dict, new: pd.DataFrame | None, now: int) -> tuple[pd.DataFrame, int]:
+        out: list[tuple] = []
+        if new is not None:
+            tried(waiting, list(zip(*(new[c].tolist() for c in ("id", "payload", "at_us")), strict=True)), 0, out)
+        while due := sorted(ms for ms in waiting if ms <= now):
+            rounds: dict[int, list[tuple]] = {}
+            for ms in due:
+                for name, payload, us, attempt in waiting.pop(ms):
+                    rounds.setdefault(attempt, []).append((name, payload, us))
+            for attempt, part in sorted(rounds.items()):
+                out += [(name, attempt, "retry", us, payload) for name, payload, us in part]
+                tried(waiting, part, attempt, out)
+        return pd.DataFrame(out, columns=["id", "attempt", "route", "at_us", "payload"]), min(waiting, default=0)
+
+    rows = messages.withWatermark("ts", late).select("id", "payload", "ts", F.unix_micros("ts").alias("at_us"))
+    return in_slots(rows, "id", fold, "id long, attempt long, route string, at_us long, payload string", "append", slots)
 
 
 class _FillBuffer(_Timed):

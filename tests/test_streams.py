@@ -266,3 +266,8 @@ def test_jobs_share_states(spark, tmp_path):
 def test_batches_share_states(spark, tmp_path):
     s = stream(spark, tmp_path, [[(k, k, "completed", 2, 0) for k in range(2000)]], "batch_id long, job_id long, status string, total int, minutes int")
     assert 0 < most_state_rows(spark, tmp_path, state.batch_done(s), "append") <= state.SLOTS
+
+
+def test_waiting_messages_share_states(spark, tmp_path):
+    s = stream(spark, tmp_path, [[(k, "2", k) for k in range(2000)]], MESSAGE)
+    assert 0 < most_state_rows(spark, tmp_path, processors.delay_queue(s, lambda p, a: [a >= int(x) for x in p], slots=16), "append") <= 16
