@@ -98,9 +98,17 @@ def counter_rate(samples: DataFrame, seconds: int = 300) -> DataFrame:
     before = F.coalesce(F.lag("value").over(by_time), F.col("earlier"))
     delta = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
     d = s.join(last, ["name", "span"]).select("name", "t", "value", "span", delta.alias("delta"))
-    both = d.withColumn("at", F.explode(F.array(F.col("span"), F.col("span") + 1)))
-    back = Window.partitionBy("name", "at").orderBy("t").rangeBetween(-seconds, 0)
-    r = both.withColumn("increase", F.sum("delta").over(back)).filter(F.col("at") == F.col("span"))
+    # A look-back is the end of the span before and the beginning of its own: running sums from both sides, each row is added once to each.
+    beginning = F.sum("delta").over(Window.partitionBy("name", "span").orderBy("t").rangeBetween(Window.unboundedPreceding, 0))
+    end = F.sum("delta").over(Window.partitionBy("name", "span").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0))
+    d = d.select("name", "t", "value", "span", beginning.alias("beginning"), end.alias("end"))
+    mine = F.struct(F.col("span").alias("at"), F.col("t").alias("x"), F.lit(None).cast("double").alias("rest"))
+    next_ = F.struct((F.col("span") + 1).alias("at"), (F.col("t") + seconds).alias("x"), F.col("end").alias("rest"))
+    met = d.select("name", "t", "value", "span", "beginning", F.explode(F.array(mine, next_)).alias("m")).select("name", "t", "value", "span", "beginning", "m.*")
+    # Of the samples of the span before that are still in reach, the earliest knows the sum from there on.
+    reach = Window.partitionBy("name", "at").orderBy(F.desc("x")).rangeBetween(Window.unboundedPreceding, 0)
+    r = met.withColumn("rest", F.last("rest", ignorenulls=True).over(reach)).filter(F.col("at") == F.col("span"))
+    r = r.withColumn("increase", F.col("beginning") + F.coalesce("rest", F.lit(0.0)))
     return r.select("name", "t", "value", "increase", (F.col("increase") / seconds).alias("rate"))
 
 

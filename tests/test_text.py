@@ -200,6 +200,18 @@ def test_rate_over_spans(spark):
     assert got == {t: sum(d for (_, u, _), d in zip(rows, deltas, strict=True) if t - 300 <= u <= t) for _, t, _ in rows}
 
 
+def test_rate_has_no_sliding_frame(spark):
+    """A frame that slides is added up again for each row, so a dense counter would cost the square of its samples; equal times count together."""
+    rng = random.Random(3)
+    rows = [("c", rng.randrange(1000), float(rng.randrange(50))) for _ in range(400)]
+    out = M.counter_rate(spark.createDataFrame(rows, "name string, t long, value double"), 300)
+    assert "RangeFrame, -300" not in out._jdf.queryExecution().toString()
+    rows.sort(key=lambda r: r[1:])
+    deltas = [0.0] + [b[2] - a[2] if b[2] >= a[2] else b[2] for a, b in zip(rows, rows[1:], strict=False)]
+    want = sorted((t, v, sum(d for (_, u, _), d in zip(rows, deltas, strict=True) if t - 300 <= u <= t)) for _, t, v in rows)
+    assert sorted((r["t"], r["value"], r["increase"]) for r in out.collect()) == want
+
+
 def test_page_text_decodes_references(spark):
     page = "<p>caf&eacute; &#8364; &mdash; &#x41;&amp;lt; &nbsp; <b>x</b><!-- no --></p>"
     assert one(spark, T.html_text(F.col("h")), h=page) == "café € — A&lt; x"
