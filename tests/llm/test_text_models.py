@@ -377,3 +377,12 @@ def test_runs_of_a_shard_by_counting():
         assert sorted(got["pages"]) == sorted(map(len, want.values()))
         assert got["apart"].tolist() == (got["pages"] > 1).astype(float).tolist()
         assert got["run"].is_unique
+
+
+def test_profiles_are_fitted_on_all_labelled_rows(spark):
+    """More rows than the sample that was once taken: the n-gram of each single row counts."""
+    docs = spark.range(45_000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'zq' else 'ab' end as text", "case when id % 3 = 0 then 'x' else 'y' end as lang")
+    rare = spark.createDataFrame([(50_000 + k, chr(0x430 + k), "z") for k in range(26)], "doc_id long, text string, lang string")
+    got = language_id.fit_profiles(docs.unionByName(rare))
+    assert {chr(0x430 + k) for k in range(26)} <= {chr(c) for c in got["z"] if c < 1 << 21}
+    assert set(got) == {"x", "y", "z"}
