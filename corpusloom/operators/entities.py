@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.entity import ascii_boundary, entity_id, is_valid, normalize_date, normalize_entity, passes_threshold
+from corpusloom.session import shared_dir
 
 #: Rules by label.
 RULES = [
@@ -429,20 +431,31 @@ def _bigrams(text: str) -> Column:
     return F.explode(F.array_distinct(pairs))
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """df, worked out once: written to the session's shared folder and read back."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark).rstrip('/')}/once-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def resolve_refs(refs: DataFrame, entities: DataFrame, least: float = 85.0) -> DataFrame:
     """(doc_id, chunk_id, entity_ids): exact first, the rest by the best ratio among the document's entities of fitting length.
 
     At a ratio of 85 fewer than half of a text's pairs of neighbouring characters can be broken, so only names that share one
-    are compared, each distinct pair of names of a document once.
+    are compared, each distinct pair of names of a document once.  Names and exact matches are used several times, so they are worked out
+    once: refs and entities are read once each.
     """
-    exact = resolve_exact(refs, entities)
-    names = entities.select("doc_id", normalize_entity(F.col("text")).alias("name"), F.col("entity_id").alias("candidate")).filter("name <> ''").distinct()
-    rest = exact.filter("entity_id is null and norm <> ''").select("doc_id", "chunk_id", "norm").distinct()
-    asked = rest.select("doc_id", "norm").distinct()
+    names = entities.select("doc_id", normalize_entity(F.col("text")).alias("name"), "entity_id").filter("name <> ''")
+    names = _once(names.groupBy("doc_id", "name").agg(F.min("entity_id").alias("first"), F.max("entity_id").alias("last")))
+    asked = refs.select("doc_id", "chunk_id", "ref").distinct().select("doc_id", "chunk_id", normalize_entity(F.col("ref")).alias("norm")).filter("norm <> ''").distinct()
+    exact = _once(asked.join(names.select("doc_id", F.col("name").alias("norm"), F.col("first").alias("entity_id")), ["doc_id", "norm"], "left"))
+    rest = exact.filter("entity_id is null").select("doc_id", "chunk_id", "norm")
     short = 200.0 * F.least(F.length("norm"), F.length("name")) / (F.length("norm") + F.length("name"))
-    met = asked.withColumn("pair", _bigrams("norm")).join(names.select("doc_id", "name").distinct().withColumn("pair", _bigrams("name")), ["doc_id", "pair"])
-    near = met.filter(short >= least).select("doc_id", "norm", "name").distinct().withColumn("ratio", fuzzy_ratio(F.col("norm"), F.col("name"))).filter(F.col("ratio") >= least)
-    best = near.join(names, ["doc_id", "name"]).groupBy("doc_id", "norm").agg(F.max_by("candidate", F.struct("ratio", "candidate")).alias("entity_id"))
+    left = rest.select("doc_id", "norm").distinct().withColumn("pair", _bigrams("norm"))
+    met = left.join(names.select("doc_id", "name", F.col("last").alias("candidate"), _bigrams("name").alias("pair")), ["doc_id", "pair"])
+    near = met.filter(short >= least).select("doc_id", "norm", "name", "candidate").distinct().withColumn("ratio", fuzzy_ratio(F.col("norm"), F.col("name")))
+    best = near.filter(F.col("ratio") >= least).groupBy("doc_id", "norm").agg(F.max_by("candidate", F.struct("ratio", "candidate")).alias("entity_id"))
     found = exact.filter("entity_id is not null").select("doc_id", "chunk_id", "entity_id").unionByName(rest.join(best, ["doc_id", "norm"]).select("doc_id", "chunk_id", "entity_id"))
     return found.groupBy("doc_id", "chunk_id").agg(F.array_sort(F.collect_set("entity_id")).alias("entity_ids"))
 

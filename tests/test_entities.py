@@ -306,3 +306,11 @@ def test_model_retries_one_by_one(spark):
 
     df = spark.createDataFrame([(1, 0, 10, "ok"), (1, 1, 20, "bad"), (1, 2, 30, "fine")], "doc_id long, window_index long, offset long, text string").coalesce(1)
     assert sorted((r["text"], r["start"]) for r in N.model_entities(df, predict).collect()) == [("fine", 30), ("ok", 10)]
+
+
+def test_references_are_resolved_from_one_reading(spark, sf_dir):
+    """The plan reads what was worked out once, never the documents again."""
+    from corpusloom.plans import result_queries
+
+    plan = result_queries.resolve_entity_refs(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan
