@@ -8,13 +8,16 @@ notices or reader comments are no content wherever they stand.
 What is left is decided by repetition.  The pages of a host concatenate the
 token streams of their other blocks: what stands outside declared content, what
 has a name that chrome often has, and all of a page that declares nothing.  The
-streams come in shards of bounded size; a suffix array over each finds the
-substrings of RUN tokens that occur on several pages, and sums over all shards
-of the host tell which are repeated.  Copies of one article repeat too, so runs
-whose pages are copies of each other (by MinHash sketches of the whole pages)
-don't count.  Blocks that repeated runs cover are boilerplate, and the unique
-runs stay.  Repetition never takes declared content without such a name: articles
-quote what stands outside of them.
+streams come in shards of bounded size.  A suffix array over each sorts their
+suffixes and makes equal ones one; those of all shards that share their first RUN
+tokens then stand in one part of the host's array, whose LCP intervals are its
+maximal repeats: for every suffix, the longest beginning of it that several pages
+have.  Copies of one article repeat too, so intervals whose pages are copies of
+each other (by MinHash sketches of the whole pages) don't count.  A repeat takes
+part in a block if it holds most of it or is LONG tokens long: phrases of a few
+words stand in any prose.  Blocks that such repeats cover are boilerplate, and the
+unique runs stay.  Repetition never takes declared content without such a name:
+articles quote what stands outside of them.
 """
 
 from __future__ import annotations
@@ -33,10 +36,12 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import cut, join_groups
 from corpusloom.llm.shingles import mix, word_hashes
 
-#: Tokens of a run, least distinct pages, share of a block that must be covered.
+#: Least tokens of a repeat, least distinct pages, share of a block that must be covered.
 RUN, PAGES, COVERED = 4, 2, 0.6
-#: Pages and tokens of one shard of a host.
-SHARD_PAGES, SHARD_TOKENS = 512, 1 << 20
+#: Tokens of a repeat that counts in a block of any size.  Suffixes are compared so far: a longer repeat is found from each place in it that has as many left.
+LONG = 16
+#: Pages and tokens of one shard of a host, suffixes of one part of its merged array.
+SHARD_PAGES, SHARD_TOKENS, PART = 512, 1 << 19, 1 << 17
 #: Hashes of a page's sketch; pages that differ in a smaller share of them are of one class, copies of each other.
 SKETCH, APART = 32, 0.5
 
@@ -193,8 +198,8 @@ def blocks(page: str | None) -> list[tuple[str, bool, int]]:
     return out
 
 
-def suffix_array(tokens: np.ndarray) -> np.ndarray:
-    """Suffix array of an integer sequence by prefix doubling."""
+def suffix_array(tokens: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Suffix array of an integer sequence by prefix doubling; with `most`, suffixes that are equal so far may stand in any order."""
     n = len(tokens)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
     k = 1
@@ -205,9 +210,9 @@ def suffix_array(tokens: np.ndarray) -> np.ndarray:
         new = np.zeros(n, np.int64)
         new[1:] = np.cumsum((rank[order[1:]] != rank[order[:-1]]) | (after[order[1:]] != after[order[:-1]]))
         rank[order] = new
-        if n == 0 or new[-1] == n - 1 or k >= n:
-            return order
         k *= 2
+        if n == 0 or new[-1] == n - 1 or k >= (n if most is None else most):
+            return order
 
 
 def common_prefixes(tokens: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
@@ -232,13 +237,17 @@ def _places(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return block, np.arange(offsets[-1]) + RUN <= offsets[1:][block]
 
 
-def run_hashes(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, places, blocks): runs of RUN words inside blocks; a shorter block is one run of its own, told from longer ones."""
+def run_hashes(words: np.ndarray, offsets: np.ndarray, most: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, places, blocks): runs inside blocks, of RUN words at least and up to `most`; a shorter block is one run of its own, told from longer ones."""
     block, whole = _places(offsets)
     at = np.flatnonzero(whole)
     h = np.zeros(len(at), np.uint64)
     for k in range(RUN):
         h = mix(h ^ words[at + k])
+    left = offsets[1:][block[at]] - at
+    for k in range(RUN, most):
+        there = left > k
+        h[there] = mix(h[there] ^ words[at[there] + k])
     brief = np.flatnonzero((np.diff(offsets) < RUN) & (np.diff(offsets) > 0))
     own = np.full(len(brief), 1, np.uint64)
     for k in range(RUN - 1):
@@ -247,13 +256,14 @@ def run_hashes(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate([h, own]), np.concatenate([at, offsets[brief]]), np.concatenate([block[at], brief])
 
 
-def covered(hit: np.ndarray, places: np.ndarray, of: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Share of each block's tokens that the marked runs cover."""
+def covered(reach: np.ndarray, places: np.ndarray, of: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Share of each block's tokens that repeats cover which hold most of the block or LONG tokens; reach: tokens of the longest repeat from each place, or 0."""
     size = np.diff(offsets)
+    least = np.minimum(LONG, np.maximum(np.minimum(RUN, size), np.ceil(COVERED * size - 1e-9).astype(np.int64)))
+    hit = (reach > 0) & (reach >= least[of])
     marks = np.zeros(offsets[-1] + 1, np.int64)
-    at, block = places[hit], of[hit]
-    np.add.at(marks, at, 1)
-    np.add.at(marks, np.minimum(at + RUN, offsets[1:][block]), -1)
+    np.add.at(marks, places[hit], 1)
+    np.add.at(marks, places[hit] + reach[hit], -1)
     upto = np.r_[0, np.cumsum(np.cumsum(marks[:-1]) > 0)]
     return (upto[offsets[1:]] - upto[offsets[:-1]]) / np.maximum(size, 1)
 
@@ -294,28 +304,32 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, *made], names=[*(c for c in batch.schema.names if c != "html"), "kept", "free", "rest", "tokens", "sketch"])
 
 
-def shard_runs(frame: pd.DataFrame) -> pd.DataFrame:
-    """(run, pages, apart, page_key, sketch) of one shard of a host, from a suffix array over its evidence.
+def shard_runs(frame: pd.DataFrame, most: int = RUN) -> pd.DataFrame:
+    """(run, head, words, size, pages, apart, page_key, sketch): distinct suffixes, of `most` tokens at most, of one shard of a host, from a suffix array over its evidence.
 
-    pages: distinct pages with the run; apart: the share of its sketch in which a page differs most from the least one; page_key and
-    sketch are those of the least page.
+    head: hash of the first RUN tokens; words: the tokens' hashes, filled up with 0; pages: distinct pages with the suffix; apart: the share of
+    its sketch in which a page differs most from the least one; page_key and sketch (in short) are those of the least page.
     """
     texts, row = _nested(pa.array(frame["texts"].tolist(), pa.list_(pa.string())))
     words, offsets = word_hashes(texts)
-    h, places, of = run_hashes(words, offsets)
+    h, places, of = run_hashes(words, offsets, most)
     size = np.diff(offsets)
     # The stream: every block's words, and a separator after each that occurs nowhere else.
     stream = np.full(len(words) + len(size), -1, np.int64)
     shift = places + of
     stream[np.arange(len(words)) + np.repeat(np.arange(len(size)), size)] = np.unique(words, return_inverse=True)[1]
     stream[offsets[1:] + np.arange(len(size))] = -1 - np.arange(len(size))
-    order = suffix_array(stream)
-    group = np.cumsum(common_prefixes(stream, order, RUN) < RUN)
+    order = suffix_array(stream, most)
+    # Suffixes are one if they share all of their tokens up to `most` or to the end of their blocks.
+    left = np.zeros(len(stream), np.int64)
+    left[shift] = np.minimum(most, offsets[1:][of] - places)
+    shared, sorted_left = common_prefixes(stream, order, most), left[order]
+    new = np.ones(len(stream), bool)
+    new[1:] = (shared[1:] < np.maximum(sorted_left[1:], sorted_left[:-1])) | (sorted_left[1:] == 0) | (sorted_left[:-1] == 0)
     in_stream = np.zeros(len(stream), np.int64)
-    in_stream[order] = group
-    long = size[of] >= RUN
-    # Runs with the same first RUN tokens stand together in the array; shorter blocks go by their hash.
-    mark = np.where(long, in_stream[shift], np.unique(h, return_inverse=True)[1] + (len(stream) + 1))
+    in_stream[order] = np.cumsum(new)
+    # Blocks of fewer than RUN tokens go by their hash.
+    mark = np.where(size[of] >= RUN, in_stream[shift], np.unique(h, return_inverse=True)[1] + (len(stream) + 1))
     key = frame["page_key"].to_numpy(np.int64)[row[of]]
     which = np.unique(frame["page_key"].to_numpy(np.int64), return_index=True)
     sketches = np.stack([np.asarray(s, np.int64) for s in frame["sketch"]])[which[1]]
@@ -327,33 +341,77 @@ def shard_runs(frame: pd.DataFrame) -> pd.DataFrame:
     differs = (sketches[met[1]] != sketches[met[1][first]][number]).sum(axis=1)
     apart = np.zeros(len(first), np.int64)
     np.maximum.at(apart, number, differs)
-    some = np.unique(mark, return_index=True)[1]  # one run of each mark, in the marks' order
-    least = met[1][first]
-    return pd.DataFrame(
-        {"run": h[some].view(np.int64), "pages": pages, "apart": apart / SKETCH, "page_key": which[0][least], "sketch": list(sketches[least])}
-    )
-
-
-def repeated_runs(runs: DataFrame) -> DataFrame:
-    """(host, run): those on PAGES distinct pages of two classes at least, over all shards of a host; how many copies a class has doesn't matter.
-
-    A shard compares all of its pages with its least one.  Over the shards these least pages are compared: the extremes by their key
-    and by each of three hashes of the sketch, so a class that no extreme shows has neither the least nor the greatest value in any of them.
+    some = np.unique(mark, return_index=True)[1]  # one suffix of each mark, in the marks' order
+    least, long = met[1][first], left[shift][some]
+    tokens = np.zeros((len(some), most), np.uint64)
+    for k in range(most):
+        there = long > k
+        tokens[there, k] = words[places[some][there] + k]
+    head = run_hashes(words, offsets)[0][some]
+    brief = [s.tobytes() for s in sketches.astype(np.uint16)]
+    return pd.DataFrame({
+        "run": h[some].view(np.int64), "head": head.view(np.int64), "words": [t.tobytes() for t in tokens], "size": long, "pages": pages, "apart": apart / SKETCH,
+        "page_key": which[0][least], "sketch": [brief[k] for k in least],
+    })
+
+
+def _repeated(number: np.ndarray, page: np.ndarray, pages: np.ndarray, apart: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+    """Whether each row's group has PAGES distinct pages and two classes at least; groups stand together and are numbered in order."""
+    first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+    least = np.minimum.reduceat(page, first)[number]
+    differs = np.maximum((sketches[page] != sketches[least]).sum(axis=1) / SKETCH, apart)
+    distinct = np.bincount(np.unique(number * len(sketches) + page) // len(sketches), minlength=len(first))
+    enough = np.maximum(distinct, np.maximum.reduceat(pages, first)) >= PAGES
+    return (enough & (np.maximum.reduceat(differs, first) >= APART))[number]
+
+
+def longest_repeats(frame: pd.DataFrame) -> np.ndarray:
+    """For suffixes as shard_runs gives them, all that share their heads: the length of the longest beginning that is repeated, or 0.
+
+    The suffixes are sorted; neighbours' common prefixes make the intervals of suffixes that share as many tokens, each a maximal repeat.
+    An interval counts with its distinct pages and with their classes, in which its suffixes' least pages are compared.
     """
-    orders = [F.col("page_key"), *[F.col("sketch")[k] for k in range(3)]]
-    ends = [f(F.struct(o.alias("o"), "sketch")).alias(f"{n}{k}") for k, o in enumerate(orders) for n, f in (("lo", F.min), ("hi", F.max))]
-    g = runs.groupBy("host", "run").agg(F.sum("pages").alias("pages"), F.max("apart").alias("apart"), *ends)
-    unlike = lambda k, n: F.size(F.filter(F.zip_with("lo0.sketch", f"{n}{k}.sketch", lambda x, y: x != y), lambda x: x)) / SKETCH
-    share = F.greatest("apart", *[unlike(k, n) for k in range(len(orders)) for n in ("lo", "hi") if (k, n) != (0, "lo")])
-    return g.filter((F.col("pages") >= PAGES) & (share >= APART)).select("host", "run")
+    reach = np.zeros(len(frame), np.int64)
+    size = frame["size"].to_numpy(np.int64)
+    page, at = np.unique(frame["page_key"].to_numpy(np.int64), return_index=True)
+    sketches = np.frombuffer(b"".join(frame["sketch"].iloc[at]), np.uint16).reshape(len(page), SKETCH)
+    columns = (np.searchsorted(page, frame["page_key"].to_numpy(np.int64)), frame["pages"].to_numpy(np.int64), frame["apart"].to_numpy(float))
+    # A block of fewer than RUN tokens is repeated as a whole.
+    run = frame["run"].to_numpy(np.int64)
+    order = np.flatnonzero(size < RUN)
+    order = order[np.argsort(run[order], kind="stable")]
+    if len(order):
+        number = np.cumsum(np.r_[False, run[order][1:] != run[order][:-1]])
+        reach[order] = np.where(_repeated(number, *[c[order] for c in columns], sketches), size[order], 0)
+    some = np.flatnonzero(size >= RUN)
+    if not len(some):
+        return reach
+    words = np.frombuffer(b"".join(frame["words"].iloc[some]), np.uint64).reshape(len(some), -1)
+    by = np.lexsort((size[some], *words.T[::-1]))
+    order, words = some[by], words[by]
+    same = np.cumprod(words[1:] == words[:-1], axis=1, dtype=np.int8).sum(axis=1, dtype=np.int64)
+    shared = np.minimum(same, np.minimum(size[order][1:], size[order][:-1]))
+    mine = [c[order] for c in columns]
+    hit = np.zeros(len(order), bool)
+    for length in range(RUN, words.shape[1] + 1):
+        if length == RUN or (shared == length - 1).any():  # else the intervals are those of the length before
+            hit = _repeated(np.cumsum(np.r_[False, shared < length]), *mine, sketches)
+        reach[order[hit & (size[order] >= length)]] = length
+    return reach
+
+
+def host_repeats(frame: pd.DataFrame) -> pd.DataFrame:
+    """(run, reach) of the suffixes of one part of a host's array that begin with a repeat."""
+    out = frame[["run"]].assign(reach=longest_repeats(frame))
+    return out[out["reach"] > 0].drop_duplicates("run")
 
 
 def block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row_id, host, run): the distinct runs of the blocks that repetition may take."""
+    """(row_id, host, run): the distinct suffixes, up to LONG tokens, of the blocks that repetition may take."""
     for batch in batches:
         texts, row = _nested(batch["kept"])
         words, offsets = word_hashes(texts)
-        h, _, of = run_hashes(words, offsets)
+        h, _, of = run_hashes(words, offsets, LONG)
         free = batch["free"].flatten().to_numpy(zero_copy_only=False).astype(bool)[of]
         both = np.unique(np.stack([row[of][free], h[free].view(np.int64)]), axis=1)
         at = pa.array(both[0])
@@ -361,16 +419,17 @@ def block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def unique_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, text): the blocks of kept, without those that may go and that the repeated runs in hits cover."""
+    """(page_id, url, text): the blocks of kept, without those that may go and that the repeats in hits cover."""
     for batch in batches:
         texts, row = _nested(batch["kept"])
         words, offsets = word_hashes(texts)
-        h, places, of = run_hashes(words, offsets)
+        h, places, of = run_hashes(words, offsets, LONG)
         known, owner = _nested(batch["hits"])
-        pairs = set(zip(owner.tolist(), known.to_numpy(zero_copy_only=False).tolist(), strict=True))
-        hit = np.array([pair in pairs for pair in zip(row[of].tolist(), h.view(np.int64).tolist(), strict=True)], bool)
+        run, reach = (known.field(k).to_numpy(zero_copy_only=False).tolist() for k in (0, 1))
+        found = dict(zip(zip(owner.tolist(), run, strict=True), reach, strict=True))
+        longest = np.array([found.get(pair, 0) for pair in zip(row[of].tolist(), h.view(np.int64).tolist(), strict=True)], np.int64)
         free = batch["free"].flatten().to_numpy(zero_copy_only=False).astype(bool)
-        stays = iter((~(free & (np.diff(offsets) > 0) & (covered(hit, places, of, offsets) >= COVERED))).tolist())
+        stays = iter((~(free & (np.diff(offsets) > 0) & (covered(longest, places, of, offsets) >= COVERED))).tolist())
         made = [" ".join(x for x in blocks_ if next(stays)) for blocks_ in batch["kept"].to_pylist()]
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(made, pa.string())], names=["page_id", "url", "text"])
 
@@ -383,8 +442,9 @@ def extract(pages: DataFrame) -> DataFrame:
     ids and urls stay; pages without a host are one host's.  Extra columns are
     ignored.  Pages are parsed once and written.  Of hosts where repetition has
     something to decide, what stands outside declared content is shuffled by host
-    and shard, and the runs of the blocks in question are joined with the repeated
-    ones.
+    and shard, the shards' distinct suffixes by host and first tokens, and the
+    suffixes of the blocks in question are joined with those that begin with a
+    repeat.
     """
     base = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.regexp_extract("url", r"://([^/?#]*)", 1), F.lit("")).alias("host"),
@@ -397,24 +457,32 @@ def extract(pages: DataFrame) -> DataFrame:
     streams = parsed.filter("tokens > 0").select("host", "page_key", "sketch", "tokens", "asked", F.concat("rest", mine).alias("texts"))
     # How many shards a host needs is a sum that is taken before the shuffle; pages are dealt by their hash.
     need = streams.groupBy("host").agg(
-        F.greatest(F.ceil(F.count("*") / SHARD_PAGES), F.ceil(F.sum("tokens") / SHARD_TOKENS)).cast("long").alias("shards"), F.max("asked").alias("some")
-    )
+        F.greatest(F.ceil(F.count("*") / SHARD_PAGES), F.ceil(F.sum("tokens") / SHARD_TOKENS)).cast("long").alias("shards"),
+        F.ceil(F.sum("tokens") / PART).cast("long").alias("parts"), F.max("asked").alias("some"),
+    )
     streams = streams.drop("asked")
     dealt = join_groups(streams, need.filter("some").drop("some"), ["host"]).filter("shards is not null")
     # Equal pages are one, before any task gets a shard: a host's error page is no shard of its own.
-    dealt = dealt.groupBy("host", "page_key").agg(*[F.first(c).alias(c) for c in ("shards", "sketch", "texts")]).withColumn("shard", F.pmod("page_key", "shards"))
+    dealt = dealt.groupBy("host", "page_key").agg(*[F.first(c).alias(c) for c in ("shards", "parts", "sketch", "texts")]).withColumn("shard", F.pmod("page_key", "shards"))
 
     def runs(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return shard_runs(frame).assign(host=key[0])
+        out = shard_runs(frame, LONG)
+        if frame["shards"].iloc[0] == 1:  # the host's whole array: what no interval holds that counts is no evidence either
+            out = out[longest_repeats(out) > 0]
+        return out.assign(host=key[0], part=out["head"] % frame["parts"].iloc[0]).drop(columns="head")
+
+    def repeats(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return host_repeats(frame).assign(host=key[0])
 
-    found = dealt.select("host", "shard", "page_key", "sketch", "texts").groupBy("host", "shard")
-    again = repeated_runs(found.applyInPandas(runs, "host string, run long, pages long, apart double, page_key long, sketch array<long>"))
+    shards = dealt.select("host", "shard", "shards", "parts", "page_key", "sketch", "texts").groupBy("host", "shard")
+    schema = "host string, part long, run long, words binary, size long, pages long, apart double, page_key long, sketch binary"
+    again = shards.applyInPandas(runs, schema).groupBy("host", "part").applyInPandas(repeats, "host string, run long, reach int")
 
     asked = parsed.filter("asked")
     mine = asked.select("row_id", "host", "kept", "free").mapInArrow(block_runs, "row_id long, host string, run long")
-    known = join_groups(mine, cut(again.withColumn("known", F.lit(True))), ["host", "run"]).filter("known")
-    hits = known.groupBy("row_id").agg(F.collect_set("run").alias("hits"))
+    known = join_groups(mine, cut(again), ["host", "run"]).filter("reach is not null")
+    hits = known.groupBy("row_id").agg(F.collect_list(F.struct("run", "reach")).alias("hits"))
     left = asked.select("row_id", "page_id", "url", "kept", "free").join(hits, "row_id", "left")
-    left = left.withColumn("hits", F.coalesce("hits", F.array().cast("array<long>"))).mapInArrow(unique_text, "page_id long, url string, text string")
+    left = left.withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<run:long,reach:int>>"))).mapInArrow(unique_text, "page_id long, url string, text string")
     done = parsed.filter("not asked").select("page_id", "url", F.array_join("kept", " ").alias("text"))
     return done.unionByName(left).withColumn("n_chars", F.length("text").cast("long"))

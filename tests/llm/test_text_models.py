@@ -379,6 +379,50 @@ def test_runs_of_a_shard_by_counting():
         assert got["run"].is_unique
 
 
+def test_longest_repeats_by_counting():
+    """In one shard and over two, the longest beginning of every suffix that two pages have."""
+    rng = random.Random(5)
+    for trial in range(20):
+        line = [rng.choice("abc") for _ in range(40)]
+        piece = lambda: " ".join(line[(k := rng.randrange(40)) : k + rng.randint(1, 20)] if rng.random() < 0.5 else rng.choices("abc", k=rng.randint(1, 9)))
+        pages = [[piece() for _ in range(rng.randint(0, 3))] for _ in range(rng.randint(2, 8))]
+        run, most = html_extract.RUN, html_extract.LONG
+        holders = {}
+        for k, texts in enumerate(pages):
+            for t in texts:
+                w = tuple(t.split())
+                for at in range(max(1, len(w) - run + 1)):
+                    for n in range(min(run, len(w)), min(most, len(w) - at) + 1):
+                        holders.setdefault((len(w) < run, w[at : at + n]), set()).add(k)
+        want = {}
+        for texts in pages:
+            for t in texts:
+                w = tuple(t.split())
+                for at in range(max(1, len(w) - run + 1)):
+                    s = w[at : at + most]
+                    want[len(w) < run, s] = max((n for n in range(min(run, len(w)), len(s) + 1) if len(holders[len(w) < run, s[:n]]) > 1), default=0)
+        frame = pd.DataFrame({"page_key": range(len(pages)), "texts": pages, "sketch": [[k] * html_extract.SKETCH for k in range(len(pages))]})
+        half = len(pages) // 2 if trial % 2 else 0
+        shards = pd.concat([html_extract.shard_runs(f, most) for f in (frame[:half], frame[half:]) if len(f)])
+        got = html_extract.host_repeats(shards)
+        assert sorted(got["reach"]) == sorted(n for n in want.values() if n)
+        assert shards["run"].nunique() == len(want)
+
+
+@pytest.mark.parametrize("shard", [512, 4])
+def test_html_common_phrases_are_no_boilerplate(spark, monkeypatch, shard):
+    """Prose of a page that declares nothing, all of whose phrases of five words stand on other pages too, and a quote in it stay; what repeats at length goes."""
+    monkeypatch.setattr(html_extract, "SHARD_PAGES", shard)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    phrases = [" ".join(word() for _ in range(5)) for _ in range(60)]
+    notice, motto = " ".join(word() for _ in range(40)), " ".join(word() for _ in range(12))
+    prose = [" ".join([*rng.sample(phrases, 12), *([motto] if i == 3 else [])]) for i in range(20)]
+    rows = [(i, f"http://h.org/{i}", f"<div>{motto}</div><p>{t}</p><div>{notice} {word()}</div>") for i, t in enumerate(prose)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(prose))
+
+
 def test_profiles_are_fitted_on_all_labelled_rows(spark):
     """More rows than the sample that was once taken: the n-gram of each single row counts."""
     docs = spark.range(45_000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'zq' else 'ab' end as text", "case when id % 3 = 0 then 'x' else 'y' end as lang")
