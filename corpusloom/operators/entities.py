@@ -75,24 +75,50 @@ GATES = {
 }
 
 
+#: Labels with a digit in every match; signs that matches of others hold.
+_WITH_DIGITS = frozenset(GATES) - {"EMAIL", "VAT_ES", "URL", "MAC_ADDRESS", "HASHTAG", "SOCIAL_MENTION"}
+_SIGNS = {"EMAIL": "@", "VAT_ES": "ES", "URL": "://", "HASHTAG": "#", "SOCIAL_MENTION": "@"}
+#: Labels without a check.
+_UNCHECKED = ("IPV4", "MAC_ADDRESS", "PASSPORT_EU", "HASHTAG", "SOCIAL_MENTION")
+_FOUND = "array<struct<label:string,text:string>>"
+
+
 def _found(label: str, pattern: str, text: Column) -> Column:
     matches = F.regexp_extract_all(text, F.lit(ascii_boundary(pattern, label not in OPEN_FIRST, label not in OPEN_LAST)), F.lit(0))
-    found = F.transform(matches, lambda m: F.struct(F.lit(label).alias("label"), m.alias("text")))
-    return F.when(F.rlike(text, F.lit(GATES[label])), found).otherwise(F.array().cast("array<struct<label:string,text:string>>"))
+    return F.transform(matches, lambda m: F.struct(F.lit(label).alias("label"), m.alias("text")))
+
+
+def _searched(labels: list[str], text: Column) -> Column:
+    """Matches of the labels' rules in a text; a label's rules run where its gate opens."""
+    none = F.array().cast(_FOUND)
+    found = []
+    for label in labels:
+        sign = _SIGNS.get(label)
+        opens = F.rlike(text, F.lit(GATES[label]))
+        opens = opens if sign is None else F.contains(text, F.lit(sign)) if sign == GATES[label] else F.contains(text, F.lit(sign)) & opens
+        found.append(F.when(opens, F.flatten(F.array(*[_found(name, p, text) for name, p in RULES if name == label]))).otherwise(none))
+    return F.flatten(F.array(*found)) if found else none
 
 
-def regex_entities(chunks: DataFrame, strict: bool = True, labels: list[str] | None = None) -> DataFrame:
+def regex_entities(chunks: DataFrame, strict: bool = True, labels: list[str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, chunk_id, label, text): matches of every rule, dates normalised, others validated.
 
-    strict=False keeps labels that have no check (IPV4, MAC_ADDRESS, ...) as they are; labels asks for
-    some rules only.  All rules run in one projection over a chunk; only chunks with a match give rows.
+    strict=False keeps labels that have no check (IPV4, MAC_ADDRESS, ...) as they are; with strict they aren't searched.  labels asks for
+    some rules only; carry names columns of the chunk to go with its matches.  All rules run in one projection over a chunk, those that need
+    a digit only where there is one; only chunks with a match give rows.
     """
-    hits = F.flatten(F.array(*[_found(label, p, F.col("text")) for label, p in RULES if labels is None or label in labels]))
-    m = chunks.select("doc_id", "chunk_id", F.explode(hits).alias("m")).select("doc_id", "chunk_id", "m.label", F.col("m.text").alias("raw"))
+    asked = [label for label in GATES if (labels is None or label in labels) and not (strict and label in _UNCHECKED)]
+    text, none = F.col("text"), F.array().cast(_FOUND)
+    digits = [label for label in asked if label in _WITH_DIGITS]
+    hits = F.concat(
+        F.when(F.rlike(text, F.lit("[0-9]")), _searched(digits, text)).otherwise(none) if digits else none,
+        _searched([label for label in asked if label not in _WITH_DIGITS], text),
+    )
+    m = chunks.select("doc_id", "chunk_id", *carry, F.explode(hits).alias("m")).select("doc_id", "chunk_id", *carry, "m.label", F.col("m.text").alias("raw"))
     value = F.when(F.col("label") == "DATE", normalize_date(F.col("raw"))).otherwise(F.col("raw"))
-    unchecked = F.col("label").isin("IPV4", "MAC_ADDRESS", "PASSPORT_EU", "HASHTAG", "SOCIAL_MENTION")
+    unchecked = F.col("label").isin(*_UNCHECKED)
     good = F.when(F.col("label") == "DATE", value.isNotNull()).when(unchecked, F.lit(not strict)).otherwise(is_valid(F.col("label"), F.col("raw")))
-    return m.filter(good).select("doc_id", "chunk_id", "label", value.alias("text"))
+    return m.filter(good).select("doc_id", "chunk_id", *carry, "label", value.alias("text"))
 
 
 #: By pattern of HEURISTICS, what any match of it holds: one of these, in any case.

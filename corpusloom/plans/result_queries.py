@@ -506,9 +506,8 @@ def entity_mentions(spark, d):
     model = N.merge_windows(_model(spark, d)).select(
         "doc_id", F.format_string("chunk_%03d", index).alias("chunk_id"), "label", "text", "confidence", "start", "end", F.lit(0).cast("long").alias("source_rank")
     )
-    c = A.chunks(spark, d)
-    place = c.select("doc_id", "chunk_id", F.col("start_offset").cast("long").alias("start"), F.col("end_offset").cast("long").alias("end"))
-    rules = N.regex_entities(c).join(place, ["doc_id", "chunk_id"])
+    c = A.chunks(spark, d).select("doc_id", "chunk_id", "text", F.col("start_offset").cast("long").alias("start"), F.col("end_offset").cast("long").alias("end"))
+    rules = N.regex_entities(c, carry=("start", "end"))
     rules = rules.select("doc_id", "chunk_id", "label", "text", F.lit(1.0).alias("confidence"), "start", "end", F.lit(1).cast("long").alias("source_rank"))
     return model.unionByName(rules)
 

@@ -151,6 +151,34 @@ def test_entity_pipeline_against_a_plain_loop(spark, sf_dir):
     assert {(r["doc_id"], r["chunk_id"], i) for r in by_chunk for i in r["entity_ids"]} == ids
 
 
+def test_rules_keep_the_place_of_their_own_chunk(spark, tmp_path):
+    """Documents with one id, or none, give each match once, at its chunk's place, and no text goes through a join."""
+    rows = [(1, "write to a@b.org now", "en", "s"), (1, "x" * 30 + " c@d.org", "en", "s"), (None, "or e@f.org", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = result_queries.entity_mentions(spark, str(tmp_path)).filter("source_rank = 1")
+    assert sorted((str(r["doc_id"]), r["text"], r["start"], r["end"]) for r in got.collect()) == [("1", "a@b.org", 0, 20), ("1", "c@d.org", 0, 38), ("None", "e@f.org", 0, 10)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_each_rule_alone(spark):
+    """A text that holds nothing but one rule's match, so that nothing else in it opens the rule's gate."""
+    texts = [
+        "a@b.org", "+34 912 345 678", "4111111111111111", "ES9121000418450200051332", "BE68539007547034", "12345678Z", "X1234567L", "B1234567J", "ESABCDEFGHI", "1234 BCD",
+        "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", "41° 24' 12.2\" N, 2° 10' 26.5\" E", "41.40338, 2.17403", "12d, 3d", "https://www.a.org/x", "1.2.3.4", "AB:BB:CC:DD:EE:FF", "#año", "@yo", "29-02-2024",
+        "2024-03-08", "8 de marzo de 2023", "March 8, 2023", "enero de 2020", "May 2020",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("chunk_id", F.lit("c"))
+    found = [(k, label, m) for k, t in enumerate(texts) for label, p in N.RULES for m in re.findall(p, t, re.ASCII)]
+    assert {k for k, _, _ in found} == set(range(len(texts)))
+    raw = spark.createDataFrame(found, "doc_id long, label string, raw string")
+    unchecked = F.col("label").isin("IPV4", "MAC_ADDRESS", "PASSPORT_EU", "HASHTAG", "SOCIAL_MENTION")
+    date = F.when(F.col("label") == "DATE", E.normalize_date(F.col("raw")))
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "label", "text").collect()))
+    for strict in (False, True):
+        good = raw.filter((unchecked & F.lit(not strict)) | date.isNotNull() | E.is_valid(F.col("label"), F.col("raw"))).select("doc_id", "label", F.coalesce(date, "raw").alias("text"))
+        assert rows(N.regex_entities(df, strict=strict)) == rows(good)
+
+
 def test_ids_of_chunks_are_those_of_kept_entities(spark):
     rows = [(1, "c0", "ORG", "Acme Corp", 0.5, 0, 9), (1, "c1", "ORG", "Acme Corq", 0.9, 50, 59), (1, "c2", "ORG", "Other", 0.1, 90, 95)]
     kept = N.dedupe_fuzzy(entities(spark, rows))
